@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..constants import IGNORE, MASK, MASK_PROBABILITY, PROTECTED_IDS, REPLACE_PROBABILITY, VOCAB_SIZE
 from ..functions.arrays import col, where
-from ..functions.hashing import uniform, uniform_index
+from ..functions.hashing import happens, uniform, uniform_index
 
 
 @dataclass(frozen=True)
@@ -29,18 +29,11 @@ def is_special(x: Column, protected=PROTECTED_IDS) -> Column:
     return x.isin(*protected)
 
 
-def bernoulli(p: float, seed: int, purpose: str, *keys, algorithm: str = "md5") -> Column:
-    """True with probability ``p``, independently per key."""
-    if p <= 0:
-        return F.lit(False)
-    return uniform(seed, purpose, *keys, algorithm=algorithm) < F.lit(float(p))
-
-
 def corrupted_sentences(sequence_ids, key: str, cfg: CorruptionConfig) -> Column:
     """True at the tokens of sentences drawn to be left unmasked."""
     return F.transform(
         col(sequence_ids),
-        lambda s: bernoulli(
+        lambda s: happens(
             cfg.sentence_probability, cfg.seed, f"sentence:{cfg.epoch}", key, s, algorithm=cfg.algorithm
         ),
     )
@@ -60,7 +53,7 @@ def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfi
         spared = lambda i: F.lit(False)
 
     def draw(p, purpose, i):
-        return bernoulli(p, cfg.seed, f"{purpose}:{cfg.epoch}", key, i, algorithm=cfg.algorithm)
+        return happens(p, cfg.seed, f"{purpose}:{cfg.epoch}", key, i, algorithm=cfg.algorithm)
 
     selected = F.transform(
         "input_ids",

@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.clock import microseconds
 from .ordering import carry_forward, global_index, range_buckets
 
 
 def timeline(df: DataFrame, order: list[str], time: str) -> DataFrame:
     """Bucket rows by time (microseconds), then by the tie-breaking column."""
-    micros = F.unix_micros(F.col(time).cast("timestamp"))
-    return range_buckets(df.withColumn("_t", micros), ["_t", *order[1:]]).drop("_t")
+    return range_buckets(df.withColumn("_t", microseconds(df, time)), ["_t", *order[1:]]).drop("_t")
 
 
 def number_steps(df: DataFrame, run: str, order: list[str], time: str) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..functions.clock import instant
 from ..operators.metrics import confusion, confusion_metrics
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
@@ -23,7 +24,7 @@ def windowed(
     Rows are combined before the shuffle, and state is one row per window and
     key, so a key with very many rows costs no more than others.
     """
-    clocked = log.withColumn("_at", F.col(time).cast("timestamp")).withWatermark("_at", delay)
+    clocked = log.withColumn("_at", instant(log, time)).withWatermark("_at", delay)
     grouped = clocked.groupBy(F.window("_at", width), *keys).agg(*aggregates)
     bounds = [F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end")]
     return grouped.select(*bounds, *[c for c in grouped.columns if c != "window"])
