@@ -14,7 +14,7 @@ TABLES = (
 
 
 def connect(folder: str) -> duckdb.DuckDBPyConnection:
-    con = duckdb.connect()
+    con = duckdb.connect(config={'memory_limit': '8GB', 'max_temp_directory_size': '4GB'})
     for name in TABLES:
         if Path(f"{folder}/{name}.parquet").exists():
             con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{folder}/{name}.parquet')")
