@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..constants import MAX_SAMPLED_DOCUMENTS, MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 from ..functions.arrays import col
 from ..functions.text import LINE, MARKED_PRETOKEN, PRETOKEN, add_markers, cut_at_padding, pieces
-from ..session import ensure_checkpoints
+from ..session import local_table, materialized, scratch_partitions
 from .encode import encode_pieces, token_rows
 from .sampling import draws_with_replacement
 
@@ -98,12 +98,12 @@ class Vocabulary:
     merges: list[tuple[int, int, int]]
 
     def vocab(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame([(t, i) for i, t in enumerate(self.tokens)], "token string, id int")
+        return local_table(spark, [(t, i) for i, t in enumerate(self.tokens)], "token string, id int")
 
     def merge_table(self, spark: SparkSession) -> DataFrame:
         rows = [(r, self.tokens[a], self.tokens[b], a, b, c) for r, (a, b, c) in enumerate(self.merges)]
-        return spark.createDataFrame(
-            rows, "rank int, left string, right string, left_id int, right_id int, id int"
+        return local_table(
+            spark, rows, "rank int, left string, right string, left_id int, right_id int, id int"
         )
 
 
@@ -129,36 +129,56 @@ def _independent_prefix(rows: list[tuple[str, int]], complete: bool, approx: boo
     return [t for t in taken if t[1] > bound] or taken[:1]
 
 
+def _merged(symbols: Column, batch: list[tuple[str, str]]) -> Column:
+    for pair, new in batch:
+        symbols = F.replace(symbols, F.lit(pair), F.lit(new))
+    return symbols
+
+
+def _pair_changes(words: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
+    """How the pair counts change when ``batch`` is merged; only the words that
+    hold one of its pairs are taken apart."""
+    touched = F.lit(False)
+    for pair, _ in batch:
+        touched = touched | F.contains("symbols", F.lit(pair))
+    before = words.where(touched)
+    after = before.select(_merged(F.col("symbols"), batch).alias("symbols"), "n")
+    return pair_counts(before.select("symbols", (-F.col("n")).alias("n")).unionByName(after))
+
+
 def learn(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
     approx: bool = False,
     candidates: int = 512,
-    merges_per_checkpoint: int = 64,
+    merges_per_write: int = 32,
 ) -> Vocabulary:
     """Learn merges from pre-token counts ``(piece, n)``.
 
-    Per round one aggregation over the distinct words; the driver sees only the
+    Words and pair counts are kept as tables. A round merges some pairs and
+    corrects the counts by the words that changed; the driver sees only the
     ``candidates`` most frequent pairs. Ties go to the lower left, then the lower
     right id. ``approx`` needs far fewer rounds for a large vocabulary.
     """
-    ensure_checkpoints(counts.sparkSession)
     tokens = [*SPECIAL_TOKENS, *ALPHABET]
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
-    start = counts.select(initial_symbols("piece").alias("symbols"), "n")
-    words = start.where(F.length("symbols") > 1).checkpoint()
-    pending = 0
+    start = counts.select(initial_symbols("piece").alias("symbols"), "n").where(F.length("symbols") > 1)
+    # A fixed number of partitions: every round scans all distinct words.
+    parts = scratch_partitions(counts.sparkSession)
+    words = materialized(start.repartition(parts, "symbols"))
+    pairs = materialized(pair_counts(words))
+    unwritten = 0
     while len(tokens) < vocab_size:
         top = (
-            pair_counts(words).where(F.col("n") >= min_frequency)
+            pairs.where(F.col("n") >= min_frequency)
             .orderBy(F.desc("n"), F.asc("pair")).limit(candidates).collect()
         )
         if not top:
             break
         rows = [(r["pair"], r["n"]) for r in top]
-        symbols = F.col("symbols")
+        batch = []
         for pair, _ in _independent_prefix(rows, len(rows) < candidates, approx):
             left, right = symbol_id(pair[0]), symbol_id(pair[1])
             token = tokens[left] + tokens[right]
@@ -168,11 +188,15 @@ def learn(
                 ids[token] = len(tokens)
                 tokens.append(token)
             merges.append((left, right, ids[token]))
-            symbols = F.replace(symbols, F.lit(pair), F.lit(symbol(ids[token])))
-            pending += 1
-        words = words.select(symbols.alias("symbols"), "n")
-        if pending >= merges_per_checkpoint:
-            words, pending = words.where(F.length("symbols") > 1).checkpoint(), 0
+            batch.append((pair, symbol(ids[token])))
+        if len(tokens) >= vocab_size:
+            break
+        corrected = pairs.unionByName(_pair_changes(words, batch)).groupBy("pair").agg(F.sum("n").alias("n"))
+        pairs = materialized(corrected.where("n > 0"))
+        words = words.select(_merged(F.col("symbols"), batch).alias("symbols"), "n")
+        unwritten += len(batch)
+        if unwritten >= merges_per_write:
+            words, unwritten = materialized(words.where(F.length("symbols") > 1)), 0
     return Vocabulary(tokens, merges)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -94,15 +94,12 @@ def proposal_table(proposal: DataFrame, temperature: float = 1.0, limit: int = 4
     return ids, np.cumsum(weights.astype(np.int64))
 
 
-def _lookup_udf(ids: np.ndarray, running: np.ndarray):
-    @F.pandas_udf("array<int>")
-    def lookup(ranks: pd.Series) -> pd.Series:
-        lengths = ranks.map(len).to_numpy()
-        if not len(lengths):
-            return pd.Series([], dtype=object)
-        flat = np.concatenate([np.asarray(r, dtype=np.int64) for r in ranks])
-        found = ids[np.searchsorted(running, flat, side="right")]
-        return pd.Series(np.split(found, np.cumsum(lengths)[:-1]))
+def _rank_lookup(ids: np.ndarray, running: np.ndarray):
+    @F.arrow_udf("array<int>")
+    def lookup(ranks: pa.Array) -> pa.Array:
+        found = ids[np.searchsorted(running, ranks.flatten().to_numpy(zero_copy_only=False), side="right")]
+        offsets = np.asarray(ranks.offsets)
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), pa.array(found))
 
     return lookup
 
@@ -125,7 +122,7 @@ def replace_tokens(
             r, uniform_index(uniform(cfg.seed, f"sample:{cfg.epoch}", key, i, algorithm=cfg.algorithm), total)
         ).otherwise(F.lit(0).cast("bigint")),
     )
-    drawn = masked.withColumn("_drawn", _lookup_udf(ids, running)(rank))
+    drawn = masked.withColumn("_drawn", _rank_lookup(ids, running)(rank))
     return drawn.withColumn("sampled_input_ids", where("replaced", "_drawn", "input_ids")).drop("_drawn")
 
 

@@ -1,17 +1,24 @@
-"""Text to token ids, as joins between pieces and a dictionary."""
+"""Text to token ids, by a bounded vocabulary or a dictionary of any size."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, UNK, VOCAB_SIZE
 from ..functions.arrays import col
 from ..functions.text import MARKED_WORD, WORD, add_markers, cut_at_padding, pieces
+from ..session import local_table
 from .skew import salted_lookup
 
 FIRST_WORD_ID = len(SPECIAL_TOKENS)
 
+# A table larger than this is not taken for a vocabulary.
+MAX_VOCABULARY = 8 * VOCAB_SIZE
+
 
 def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD) -> DataFrame:
     """Corpus frequency ``n`` of every ``piece``; counted before the shuffle."""
@@ -21,7 +28,7 @@ def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD) -> Data
 
 
 def special_rows(spark) -> DataFrame:
-    return spark.createDataFrame([(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "piece string, id int")
+    return local_table(spark, [(t, i) for i, t in enumerate(SPECIAL_TOKENS)], "piece string, id int")
 
 
 def word_vocabulary(
@@ -61,17 +68,42 @@ def regroup(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return by_sentence.groupBy(*keys).agg(nested.alias("input_ids"))
 
 
+def vocabulary_arrays(vocabulary: DataFrame, limit: int) -> tuple[list[str], np.ndarray]:
+    """Pieces and ids on the driver; refused beyond ``limit`` rows."""
+    rows = vocabulary.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"the vocabulary has more than {limit} entries")
+    return [r["piece"] for r in rows], np.array([r["id"] for r in rows], dtype=np.int32)
+
+
+def _nested_lookup(words: list[str], ids: np.ndarray, unknown: int):
+    @F.arrow_udf("array<array<int>>")
+    def lookup(nested: pa.Array) -> pa.Array:
+        inner = nested.flatten()
+        places = pc.index_in(inner.flatten(), value_set=pa.array(words, pa.string()))
+        found = pc.fill_null(pc.take(pa.array(ids), places), unknown)
+
+        def offsets(lists):
+            o = np.asarray(lists.offsets)
+            return pa.array(o - o[0])
+
+        return pa.ListArray.from_arrays(offsets(nested), pa.ListArray.from_arrays(offsets(inner), found))
+
+    return lookup
+
+
 def encode_words(
-    df: DataFrame, keys: list[str], segs: Column | str, vocabulary: DataFrame, pattern: str = MARKED_WORD
+    df: DataFrame, segs: Column | str, vocabulary: DataFrame, pattern: str = MARKED_WORD,
+    limit: int = MAX_VOCABULARY, out: str = "input_ids",
 ) -> DataFrame:
-    """Word ids per sentence; words outside the vocabulary become UNK.
+    """Add word ids per sentence; words outside the vocabulary become UNK.
 
-    The vocabulary has at most ``vocab_size`` rows, so it is broadcast.
+    The vocabulary is bounded, so it travels to the tasks and whole Arrow batches
+    are looked up at once: one map over the documents, no shuffle.
     """
-    rows = piece_rows(df, keys, segs, pattern)
-    looked_up = rows.join(F.broadcast(vocabulary), "piece", "left")
-    ids = looked_up.select(*keys, "sent", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
-    return regroup(ids, keys, "id")
+    words, ids = vocabulary_arrays(vocabulary, limit)
+    split = F.transform(add_markers(segs), lambda s: pieces(s, pattern))
+    return df.withColumn(out, _nested_lookup(words, ids, UNK)(split))
 
 
 def encode_pieces(

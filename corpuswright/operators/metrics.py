@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..constants import IGNORE
 from ..functions.arrays import argmax, col
 from ..functions.scores import class_one, nan_to_zero, ratio, sigmoid, softmax
-from ..session import ensure_checkpoints
+from ..session import materialized
 from .ordering import range_buckets, running_total
 from .skew import salted_lookup
 
@@ -71,12 +71,10 @@ def auc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFra
     """
     group = list(group)
     positive, negative = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
-    ensure_checkpoints(df.sparkSession)
-    merged = (
+    merged = materialized(
         df.select(*group, F.col(score).cast("double").alias("_score"), label)
         .groupBy(*group, "_score")
         .agg(positive.alias("_pos"), negative.alias("_neg"))
-        .checkpoint()
     )
     ranked = running_total(range_buckets(merged, ["_score"]), "_neg", ["_score"], group)
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
@@ -99,18 +97,18 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     Equal pairs are merged first. Ranks go back to the pairs by a salted join, so
     a value shared by very many pairs is not one task's work.
     """
-    ensure_checkpoints(df.sparkSession)
-    pairs = (
+    pairs = materialized(
         df.select(F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
         .where("_x is not null and _y is not null")
         .groupBy("_x", "_y")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .checkpoint()
     )
     ranked = pairs
     for value, other, rank in (("_x", "_y", "_rx"), ("_y", "_x", "_ry")):
         # _n rows stand behind a value; it occurs in _pairs rows of the join.
-        per_value = pairs.groupBy(value).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_pairs")).checkpoint()
+        per_value = materialized(
+            pairs.groupBy(value).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_pairs"))
+        )
         ranks = average_ranks(per_value.select(value, "_n"), value, "_n").withColumnRenamed("rank", rank)
         table = ranks.join(per_value.select(value, "_pairs"), value)
         ranked = salted_lookup(ranked, table, value, [other], "_pairs")

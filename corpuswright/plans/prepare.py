@@ -12,6 +12,7 @@ from ..constants import MIN_FREQUENCY, VOCAB_SIZE
 from ..functions.text import segments
 from ..operators.encode import encode_words, piece_counts, word_vocabulary
 from ..operators.sampling import concat_corpora, head_fraction, make_splits, train_subset
+from ..session import materialized, spread
 from ..sources.corpus import cached, file_state, prune, require_sizes
 
 
@@ -42,8 +43,9 @@ def encoded_documents(
     docs = spark.read.parquet(path)
 
     def build() -> DataFrame:
-        vocabulary = word_vocabulary(piece_counts(docs), vocab_size, min_frequency)
-        return encode_words(docs, [key], segments(["text"], True), vocabulary)
+        texts = spread(docs.select(key, "text"))
+        vocabulary = word_vocabulary(piece_counts(texts), vocab_size, min_frequency)
+        return encode_words(texts, segments(["text"], True), vocabulary).select(key, "input_ids")
 
     options = {"files": file_state(docs), "vocab": vocab_size, "min": min_frequency, "pieces": "words"}
     return cached(spark, "documents", None, options, build)
@@ -58,25 +60,18 @@ def role_of_split(corpus: Corpus) -> Column:
     return role
 
 
-def prepared(corpus: Corpus, encode: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """One corpus by role, downsampled per split and encoded: ``key``, ``split``,
-    ``input_ids`` and, if there is one, ``label``.
-
-    The sample is the first rows of every split. They are picked before encoding,
-    so rows that are dropped are never tokenized.
-    """
+def selected(corpus: Corpus) -> DataFrame:
+    """Rows of one corpus by role, downsampled per split: the first rows of every
+    split are kept."""
     rows = corpus.rows.withColumn("split", role_of_split(corpus)).where(F.col("split").isNotNull())
     if corpus.fraction < 1.0:
         rows = head_fraction(rows, corpus.key, F.lit(corpus.fraction), ["split"])
-    carried = ["split", *(["label"] if "label" in rows.columns else [])]
-    ids = encode(rows)
-    joined = ids.join(rows.select(corpus.key, *carried), corpus.key)
-    return prune(joined, columns=(corpus.key, "split", "input_ids"))
+    return rows
 
 
 def make_datasets(
     corpora: list[Corpus],
-    encode: Callable[[DataFrame], DataFrame],
+    encode: Callable[[DataFrame, Corpus], DataFrame],
     validation_size: int | None = None,
     test_size: int | None = None,
     train_size: int = -1,
@@ -84,17 +79,22 @@ def make_datasets(
     train_seed: int = 42,
     compat: bool = True,
 ) -> DataFrame:
-    """All corpora combined, with exact splits: the last word on ``split``.
+    """All corpora combined, with exact splits: ``corpus_ord``, ``key``, ``split``,
+    ``input_ids`` and, where there is one, ``label``.
 
     With a validation size, validation (and test) rows are cut from train. The
     train subset has its own seed, so changing it leaves the validation set alone.
+    Which rows stay is settled on keys alone. ``encode`` then adds ``input_ids``
+    to the rows that are left, so rows that are dropped are never tokenized.
     """
-    parts = [prepared(c, encode).withColumnRenamed(c.key, "key") for c in corpora]
-    combined = concat_corpora(parts, ["key", "split", "input_ids", "label"])
+    chosen = [selected(c) for c in corpora]
+    keys = concat_corpora(
+        [rows.withColumn("key", F.col(c.key).cast("string")) for c, rows in zip(corpora, chosen)], ["key", "split"]
+    )
     # Corpora may share keys; the pair is unique.
-    combined = combined.withColumn("row_key", F.concat_ws("/", "corpus_ord", "key"))
-    train = combined.where("split = 'train'").drop("split")
-    rest = combined.where("split <> 'train'")
+    keys = materialized(keys.withColumn("row_key", F.concat_ws("/", "corpus_ord", "key")))
+    train = keys.where("split = 'train'").drop("split")
+    rest = keys.where("split <> 'train'")
     cut = make_splits(train, "row_key", validation_size, test_size, split_seed, compat)
     if train_size != -1:
         kept = train_subset(cut.where("split = 'train'").drop("split"), "row_key", train_size, train_seed)
@@ -103,6 +103,12 @@ def make_datasets(
         # Cut sets replace the corpora's own ones.
         replaced = ["validation"] + (["test"] if test_size is not None else [])
         rest = rest.where(~F.col("split").isin(*replaced))
-    out = cut.unionByName(rest)
-    require_sizes(out)
-    return out
+    final = materialized(cut.unionByName(rest).drop("row_key"))
+    require_sizes(final)
+    parts = []
+    for i, (corpus, rows) in enumerate(zip(corpora, chosen)):
+        mine = final.where(F.col("corpus_ord") == i).select(F.col("key").alias("_key"), F.col("split").alias("_split"))
+        left = rows.drop("split").join(mine, F.col(corpus.key).cast("string") == F.col("_key"))
+        left = left.withColumnsRenamed({"_key": "key", "_split": "split"})
+        parts.append(prune(encode(left, corpus), columns=("key", "split", "input_ids")))
+    return concat_corpora(parts, ["key", "split", "input_ids", "label"])

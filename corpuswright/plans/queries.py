@@ -19,7 +19,7 @@ from ..operators import features as X
 from ..operators import sampling as P
 from ..operators.ordering import union_all
 from ..operators.rollup import path_rollup
-from ..session import shared_path
+from ..session import local_table, scratch_partitions, shared_path, spread
 from ..sources import catalog as C
 from ..sources import corpus as R
 from ..sources import ledger as L
@@ -51,6 +51,11 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents for work on their text."""
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 def fresh(spark: SparkSession, name: str) -> str:
     return shared_path(spark, "runs", f"{name}-{uuid.uuid4().hex}")
 
@@ -136,7 +141,7 @@ def corpus_validation(spark, sf):
 def task_range(spark, sf):
     """SMP-8. Four workers, each with its range of the 20 sources as tasks."""
     n = len(SOURCES)
-    tasks = spark.createDataFrame([(i, s) for i, s in enumerate(SOURCES)], "ordinal int, source string")
+    tasks = local_table(spark, [(i, s) for i, s in enumerate(SOURCES)], "ordinal int, source string")
     share = n // 4
     ranges = [
         C.task_range(tasks, w * share, (w + 1) * share, n).withColumn("worker", F.lit(w)) for w in range(4)
@@ -230,9 +235,9 @@ def prepared_splits(spark, sf):
     first = Corpus("documents", None, labelled, "doc_id", validation_splits=("de", "fr"), test_splits=("es",),
                    fraction=0.75)
     encoding = encoded(spark, sf)
-    out = make_datasets([first], lambda rows: encoding, train_size=TRAIN_SIZE)
+    out = make_datasets([first], lambda rows, _: rows.join(encoding, "doc_id"), train_size=TRAIN_SIZE)
     return out.select(
-        F.col("key").alias("doc_id"), "split", F.col("label").cast("int").alias("label"),
+        F.col("key").cast("bigint").alias("doc_id"), "split", F.col("label").cast("int").alias("label"),
         F.size(F.flatten("input_ids")).cast("bigint").alias("n_tokens"),
     )
 
@@ -272,7 +277,7 @@ def text_sink(spark, sf):
 @query
 def sentence_stats(spark, sf):
     """STR-2, per document, without exploding."""
-    docs = table(spark, sf, "documents").withColumn("sents", T.sentences("text"))
+    docs = documents(spark, sf).withColumn("sents", T.sentences("text"))
     lengths = F.transform("sents", lambda s: F.length(s))
     return docs.select(
         "doc_id",
@@ -286,20 +291,21 @@ def sentence_stats(spark, sf):
 @query
 def word_freq(spark, sf):
     """AGG-18."""
-    return E.piece_counts(table(spark, sf, "documents"))
+    return E.piece_counts(documents(spark, sf))
 
 
 @query
 def vocab_topk(spark, sf):
     """TOPK-1, SRC-7."""
-    return E.word_vocabulary(E.piece_counts(table(spark, sf, "documents")))
+    return E.word_vocabulary(E.piece_counts(documents(spark, sf)))
 
 
 @query
 def adjacent_pair_freq(spark, sf):
     """AGG-19, first round: adjacent byte pairs over the distinct words."""
-    counts = E.piece_counts(table(spark, sf, "documents"))
+    counts = E.piece_counts(documents(spark, sf))
     words = counts.select(bpe.initial_symbols("piece").alias("symbols"), "n")
+    words = words.repartition(scratch_partitions(spark), "symbols")
     first_id = F.ascii(F.substring("pair", 1, 1)) - F.lit(0x100)
     second_id = F.ascii(F.substring("pair", 2, 1)) - F.lit(0x100)
     return bpe.pair_counts(words).select(first_id.alias("left_id"), second_id.alias("right_id"), "n")
@@ -609,7 +615,7 @@ def macro_score(spark, sf):
     rows drop out."""
     chosen = ["eval_label_MCC", "eval_label_ACCURACY", "eval_label_F1"]
     rows = [(i, s, chosen[i % len(chosen)], 3) for i, s in enumerate(SOURCES)]
-    tasks = spark.createDataFrame(rows, "ordinal int, subset string, metric string, epochs int")
+    tasks = local_table(spark, rows, "ordinal int, subset string, metric string, epochs int")
     results = L.task_results(tasks, source_ledger(spark, sf))
     total = L.suite_score(results)
     return total.select(rounded("score", 9).alias("score"), "n_tasks")
@@ -630,7 +636,7 @@ def conversation_vectors(spark, sf) -> DataFrame:
     vocabulary = E.word_vocabulary(E.piece_counts(turns))
     cfg = X.FeatureConfig()
     first = turns.where(F.col("turn") < cfg.max_sentences)
-    per_turn = E.encode_words(first, ["conv_id", "turn"], F.array("text"), vocabulary)
+    per_turn = E.encode_words(first, F.array("text"), vocabulary)
     nested = F.transform(
         F.sort_array(F.collect_list(F.struct("turn", F.flatten("input_ids").alias("ids")))), lambda x: x["ids"]
     )
@@ -732,7 +738,7 @@ def loss_accumulation(spark, sf):
 
 
 def document_vocabulary(spark, sf) -> bpe.Vocabulary:
-    counts = bpe.pretoken_counts(table(spark, sf, "documents"))
+    counts = bpe.pretoken_counts(documents(spark, sf))
     return bpe.learn(counts, bpe.FIRST_MERGE_ID + BPE_MERGES)
 
 
@@ -743,7 +749,7 @@ def bpe_learn(spark, sf):
 
 
 def bpe_documents(spark, sf) -> tuple[bpe.Vocabulary, DataFrame]:
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = documents(spark, sf)
     vocabulary = document_vocabulary(spark, sf)
     ids = bpe.encode(docs, ["doc_id"], T.sentences("text"), vocabulary, fresh(spark, "dictionary"))
     return vocabulary, ids

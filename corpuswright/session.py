@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
@@ -47,11 +50,33 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_folder(spark), "corpuswright", *parts])
 
 
-def ensure_checkpoints(spark: SparkSession) -> None:
-    """Let ``DataFrame.checkpoint`` write to the shared folder."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(shared_path(spark, "checkpoints"))
+def materialized(df: DataFrame) -> DataFrame:
+    """Write to a new folder of the shared storage and read back.
+
+    Cuts the lineage and keeps a result that several jobs need; a lost executor
+    loses nothing of it.
+    """
+    path = shared_path(df.sparkSession, "tables", uuid.uuid4().hex)
+    df.write.mode("errorifexists").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
+    """Small fixed table whose size the optimizer knows."""
+    schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    if not rows:
+        return spark.createDataFrame([], schema)
+    columns = [pa.array(list(c)) for c in zip(*rows)]
+    return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for a scan that has fewer splits than there are cores.
+
+    A large scan has many more splits and is returned as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -61,9 +86,3 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 def scratch_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
-__all__ = [
-    "CHECKPOINT_SETTING", "ensure_checkpoints", "local_session", "path_exists",
-    "scratch_partitions", "shared_folder", "shared_path",
-]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import parse_spec
+from ..session import local_table
 
 ENTRY = T.StructType([
     T.StructField("name", T.StringType(), False),
@@ -67,7 +68,7 @@ def with_task_kind(entries: DataFrame) -> DataFrame:
 
 
 def catalog(spark: SparkSession) -> DataFrame:
-    return with_task_kind(spark.createDataFrame(ENTRIES, ENTRY))
+    return with_task_kind(local_table(spark, ENTRIES, ENTRY))
 
 
 def lookup(entries: DataFrame, name: str, subset: str | None = None) -> DataFrame:
@@ -115,14 +116,14 @@ def zip_ratios(spark: SparkSession, names: list[str], ratios: list[float] | floa
         ratios = [ratios]
     if len(names) != len(ratios):
         raise ValueError("as many ratios as corpora are needed")
-    both = spark.createDataFrame([(names, [float(r) for r in ratios])], "name array<string>, ratio array<double>")
+    both = local_table(spark, [(names, [float(r) for r in ratios])], "name array<string>, ratio array<double>")
     pairs = F.explode(F.arrays_zip("name", "ratio"))
     return both.select(pairs.alias("p")).select("p.name", "p.ratio")
 
 
 def tasks(spark: SparkSession) -> DataFrame:
     rows = [(i, *t) for i, t in enumerate(TASKS)]
-    return spark.createDataFrame(rows, "ordinal int, subset string, metric string, epochs int")
+    return local_table(spark, rows, "ordinal int, subset string, metric string, epochs int")
 
 
 def task_range(task_table: DataFrame, start: int = 0, end: int | None = None, size: int | None = None) -> DataFrame:
