@@ -251,25 +251,23 @@ def encode_dictionary(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return counts.mapInPandas(run, "piece string, n bigint, ids array<int>")
 
 
-def marked_piece_counts(df: DataFrame, segs) -> DataFrame:
+def marked_piece_counts(df: DataFrame, segs, pattern: str = MARKED_PRETOKEN) -> DataFrame:
     """Frequencies of the pieces of marked segments, special tokens included."""
     marked = df.select(F.explode(add_markers(segs)).alias("_segment"))
     return (
-        marked.select(F.explode(pieces("_segment", MARKED_PRETOKEN)).alias("piece"))
+        marked.select(F.explode(pieces("_segment", pattern)).alias("piece"))
         .groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     )
 
 
-def encode(df: DataFrame, keys: list[str], segs, vocabulary: Vocabulary, dictionary_path: str) -> DataFrame:
+def encode(df: DataFrame, keys: list[str], segs, vocabulary: Vocabulary) -> DataFrame:
     """Nested subword ids per document; nothing is truncated.
 
-    The dictionary of distinct pieces is written to ``dictionary_path`` (a new
-    folder reachable by every executor), since the salted join reads it twice.
+    The dictionary of distinct pieces is stored, since the salted join reads it
+    more than once.
     """
-    dictionary = encode_dictionary(marked_piece_counts(df, segs), vocabulary)
-    dictionary.write.mode("errorifexists").parquet(dictionary_path)
-    stored = df.sparkSession.read.parquet(dictionary_path)
-    return encode_pieces(df, keys, segs, stored, MARKED_PRETOKEN)
+    dictionary = materialized(encode_dictionary(marked_piece_counts(df, segs), vocabulary))
+    return encode_pieces(df, keys, segs, dictionary, MARKED_PRETOKEN)
 
 
 def tokens_to_text(joined) -> Column:

@@ -19,7 +19,7 @@ from ..operators import features as X
 from ..operators import sampling as P
 from ..operators.ordering import union_all
 from ..operators.rollup import path_rollup
-from ..session import local_table, scratch_partitions, shared_path, spread
+from ..session import local_table, materialized, scratch_partitions, shared_path, spread
 from ..sources import catalog as C
 from ..sources import corpus as R
 from ..sources import ledger as L
@@ -38,6 +38,7 @@ LOG_EVERY, EVALUATE_EVERY, SAVE_EVERY, ACCUMULATION = 5, 10, 20, 4
 GATE_THRESHOLD = 50.0
 VECTOR_DIM, CLASSES = 64, 10
 BPE_MERGES = 64
+WORD_MERGES = 32
 RATIOS = [0.25, 0.5, 0.75, 1.0]
 SOURCES = [f"src{i}" for i in range(20)]
 
@@ -748,10 +749,34 @@ def bpe_learn(spark, sf):
     return document_vocabulary(spark, sf).merge_table(spark)
 
 
+def word_merges(spark, sf) -> bpe.Vocabulary:
+    return bpe.learn(E.piece_counts(documents(spark, sf)), bpe.FIRST_MERGE_ID + WORD_MERGES)
+
+
+@query
+def bpe_learn_words(spark, sf):
+    """AGG-19 with plain words as pieces."""
+    return word_merges(spark, sf).merge_table(spark).select("rank", "left_id", "right_id", "id")
+
+
+@query
+def bpe_encode_words(spark, sf):
+    """STR-3, JOIN-4 with plain words as pieces."""
+    docs = documents(spark, sf)
+    segs = T.sentences("text")
+    counts = bpe.marked_piece_counts(docs, segs, T.MARKED_WORD)
+    dictionary = materialized(bpe.encode_dictionary(counts, word_merges(spark, sf)))
+    ids = E.encode_pieces(docs, ["doc_id"], segs, dictionary, T.MARKED_WORD)
+    return ids.select(
+        "doc_id", F.size(F.flatten("input_ids")).cast("bigint").alias("n_tokens"),
+        A.weighted_checksum(F.flatten("input_ids")).alias("checksum"),
+    )
+
+
 def bpe_documents(spark, sf) -> tuple[bpe.Vocabulary, DataFrame]:
     docs = documents(spark, sf)
     vocabulary = document_vocabulary(spark, sf)
-    ids = bpe.encode(docs, ["doc_id"], T.sentences("text"), vocabulary, fresh(spark, "dictionary"))
+    ids = bpe.encode(docs, ["doc_id"], T.sentences("text"), vocabulary)
     return vocabulary, ids
 
 
