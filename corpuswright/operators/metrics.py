@@ -123,8 +123,13 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def pearson(x, y) -> Column:
-    """Aggregate: Pearson correlation, 0 where undefined."""
-    return nan_to_zero(F.corr(col(x).cast("double"), col(y).cast("double")))
+    """Aggregate: Pearson correlation, 0 where undefined.
+
+    ``corr`` itself fails on constant input when ANSI arithmetic is on.
+    """
+    x, y = col(x).cast("double"), col(y).cast("double")
+    x, y = F.when(y.isNotNull(), x), F.when(x.isNotNull(), y)
+    return ratio(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
 
 
 def multiclass_accuracy(logits, label) -> Column:
