@@ -110,18 +110,25 @@ class Vocabulary:
 def _independent_prefix(rows: list[tuple[str, int]], complete: bool, approx: bool) -> list[tuple[str, int]]:
     """Leading pairs that can be merged in one round.
 
-    The pairs share no symbol. A pair that appears through a merge is at most as
-    frequent as one that was there before and touches a merged symbol, so members
-    strictly more frequent than the first pair left out keep their rank. Without
-    that last cut (``approx``) equally frequent pairs may change places.
+    No symbol is the left part of one pair and the right part of another, so
+    occurrences of the pairs never overlap or touch a shared symbol. A pair that
+    appears through a merge comes out of one that ends where a merged pair starts
+    or starts where it ends, and is at most as frequent as that one; members
+    strictly more frequent than the first such pair keep their rank. A symbol
+    paired with itself can feed on its own repeats, so it is merged alone. Without
+    the last cut (``approx``) equally frequent pairs may change places.
     """
-    taken, used, bound = [], set(), None
+    taken, lefts, rights, bound = [], set(), set(), None
     for pair, n in rows:
-        if used & set(pair):
+        left, right = pair
+        if left == right and not taken:
+            return [(pair, n)]
+        if left == right or left in rights or right in lefts:
             bound = n
             break
         taken.append((pair, n))
-        used |= set(pair)
+        lefts.add(left)
+        rights.add(right)
     if bound is None and not complete:
         bound = rows[-1][1]
     if approx or bound is None:
@@ -137,13 +144,13 @@ def _merged(symbols: Column, batch: list[tuple[str, str]]) -> Column:
 
 def _pair_changes(words: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
     """How the pair counts change when ``batch`` is merged; only the words that
-    hold one of its pairs are taken apart."""
-    touched = F.lit(False)
-    for pair, _ in batch:
-        touched = touched | F.contains("symbols", F.lit(pair))
-    before = words.where(touched)
-    after = before.select(_merged(F.col("symbols"), batch).alias("symbols"), "n")
-    return pair_counts(before.select("symbols", (-F.col("n")).alias("n")).unionByName(after))
+    the merges alter are taken apart."""
+    both = words.withColumn("_after", _merged(F.col("symbols"), batch)).where("symbols <> _after")
+    sides = F.array(
+        F.struct("symbols", (-F.col("n")).alias("n")),
+        F.struct(F.col("_after").alias("symbols"), "n"),
+    )
+    return pair_counts(both.select(F.explode(sides).alias("w")).select("w.symbols", "w.n"))
 
 
 def learn(
@@ -152,7 +159,7 @@ def learn(
     min_frequency: int = MIN_FREQUENCY,
     approx: bool = False,
     candidates: int = 512,
-    merges_per_write: int = 32,
+    merges_per_write: int = 8,
 ) -> Vocabulary:
     """Learn merges from pre-token counts ``(piece, n)``.
 

@@ -23,6 +23,7 @@ from ..session import local_table, materialized, scratch_partitions, shared_path
 from ..sources import catalog as C
 from ..sources import corpus as R
 from ..sources import ledger as L
+from ..sources import vocabulary as V
 from ..streaming import corpus as SC
 from ..streaming import evaluation as SE
 from .prepare import Corpus, encoded_documents, make_datasets
@@ -738,9 +739,16 @@ def loss_accumulation(spark, sf):
 # --- subwords --------------------------------------------------------------
 
 
+def text_options(spark, sf, **options) -> dict:
+    return {"files": R.file_state(table(spark, sf, "documents")), **options}
+
+
 def document_vocabulary(spark, sf) -> bpe.Vocabulary:
-    counts = bpe.pretoken_counts(documents(spark, sf))
-    return bpe.learn(counts, bpe.FIRST_MERGE_ID + BPE_MERGES)
+    size = bpe.FIRST_MERGE_ID + BPE_MERGES
+    name = V.artefact_name("ByteLevelBPETokenizer", size, 2)
+    return V.trained(
+        spark, name, text_options(spark, sf), lambda: bpe.learn(bpe.pretoken_counts(documents(spark, sf)), size)
+    )
 
 
 @query
@@ -750,7 +758,9 @@ def bpe_learn(spark, sf):
 
 
 def word_merges(spark, sf) -> bpe.Vocabulary:
-    return bpe.learn(E.piece_counts(documents(spark, sf)), bpe.FIRST_MERGE_ID + WORD_MERGES)
+    size = bpe.FIRST_MERGE_ID + WORD_MERGES
+    options = text_options(spark, sf, pieces="words", size=size)
+    return V.trained(spark, "words", options, lambda: bpe.learn(E.piece_counts(documents(spark, sf)), size))
 
 
 @query
@@ -774,9 +784,12 @@ def bpe_encode_words(spark, sf):
 
 
 def bpe_documents(spark, sf) -> tuple[bpe.Vocabulary, DataFrame]:
-    docs = documents(spark, sf)
     vocabulary = document_vocabulary(spark, sf)
-    ids = bpe.encode(docs, ["doc_id"], T.sentences("text"), vocabulary)
+    options = text_options(spark, sf, merges=vocabulary.merges)
+    ids = R.cached(
+        spark, "documents", "subwords", options,
+        lambda: bpe.encode(documents(spark, sf), ["doc_id"], T.sentences("text"), vocabulary),
+    )
     return vocabulary, ids
 
 

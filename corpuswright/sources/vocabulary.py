@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import SparkSession
 
 from ..constants import SPECIAL_TOKENS
 from ..operators.bpe import Vocabulary
+from ..session import path_exists
+from .corpus import cache_path
 
 ALGORITHMS = ("ByteLevelBPETokenizer",)
 
@@ -31,3 +36,23 @@ def load(spark: SparkSession, path: str) -> Vocabulary:
         raise ValueError("the special tokens are not the first entries of this vocabulary")
     merges = spark.read.parquet(f"{path}/merges").orderBy("rank").collect()
     return Vocabulary(tokens, [(r["left_id"], r["right_id"], r["id"]) for r in merges])
+
+
+def trained(
+    spark: SparkSession, name: str, options: dict, train: Callable[[], Vocabulary]
+) -> Vocabulary:
+    """Stored vocabulary for these options, trained and stored if there is none.
+
+    ``options`` should cover the text (for instance by its files' state) and all
+    training parameters. A first folder whose tables are not both complete is
+    passed over.
+    """
+    folder = cache_path(spark, "vocabulary", name, options)
+    if path_exists(spark, f"{folder}/merges/_SUCCESS") and path_exists(spark, f"{folder}/vocab/_SUCCESS"):
+        return load(spark, folder)
+    vocabulary = train()
+    if path_exists(spark, folder):
+        folder = f"{folder}-{uuid.uuid4().hex}"
+    parent, _, last = folder.rpartition("/")
+    save(spark, vocabulary, parent, last)
+    return vocabulary

@@ -126,3 +126,15 @@ def test_empty_and_blank_texts(spark):
     vocabulary = E.word_vocabulary(E.piece_counts(df), min_frequency=1)
     out = {r["doc_id"]: r["input_ids"] for r in E.encode_words(df, T.sentences("text"), vocabulary).collect()}
     assert out == {1: [], 2: [[2, 4]], 3: [[2, 6, 4]]}
+
+
+def test_vocabulary_is_trained_once(spark):
+    calls = []
+
+    def train():
+        calls.append(1)
+        return bpe.Vocabulary([*SPECIAL_TOKENS, "a"], [])
+
+    for options in ({"k": 1}, {"k": 1}, {"k": 2}):
+        assert V.trained(spark, "toy", options, train).tokens[-1] == "a"
+    assert len(calls) == 2
