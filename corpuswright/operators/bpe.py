@@ -10,7 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +21,7 @@ from ..constants import MAX_SAMPLED_DOCUMENTS, MIN_FREQUENCY, SPECIAL_TOKENS, VO
 from ..functions.arrays import col
 from ..functions.text import LINE, MARKED_PRETOKEN, PRETOKEN, add_markers, cut_at_padding, pieces
 from ..session import local_table, materialized, scratch_partitions
-from .encode import encode_pieces, token_rows
+from .encode import encode_pieces
 from .sampling import draws_with_replacement
 
 
@@ -283,10 +286,17 @@ def tokens_to_text(joined) -> Column:
     return F.make_valid_utf8(F.encode(as_latin, "ISO-8859-1").cast("string"))
 
 
-def decode(encoded: DataFrame, keys: list[str], vocabulary: Vocabulary, ids: str = "ids") -> DataFrame:
-    """Flat ids back to ``text``, cut at the first PAD."""
-    vocab = vocabulary.vocab(encoded.sparkSession)  # at most vocab_size rows
-    rows = token_rows(encoded, keys, ids).join(F.broadcast(vocab), "id")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    joined = rows.groupBy(*keys).agg(F.array_join(parts, "").alias("_joined"))
-    return joined.select(*keys, cut_at_padding(tokens_to_text("_joined")).alias("text"))
+def _token_lookup(tokens: list[str]):
+    @F.arrow_udf("array<string>")
+    def lookup(ids: pa.Array) -> pa.Array:
+        offsets = np.asarray(ids.offsets)
+        found = pc.take(pa.array(tokens, pa.string()), ids.flatten())
+        return pa.ListArray.from_arrays(pa.array(offsets - offsets[0]), found)
+
+    return lookup
+
+
+def decode(encoded: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "text") -> DataFrame:
+    """Add the text of flat ids, cut at the first PAD: one map, no shuffle."""
+    joined = F.array_join(_token_lookup(vocabulary.tokens)(ids), "")
+    return encoded.withColumn(out, cut_at_padding(tokens_to_text(joined)))

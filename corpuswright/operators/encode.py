@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, UNK, VOCAB_SIZE
-from ..functions.arrays import col
-from ..functions.text import MARKED_WORD, WORD, add_markers, cut_at_padding, pieces
+from ..functions.text import MARKED_WORD, WORD, add_markers, pieces
 from ..session import local_table
 from .skew import salted_lookup
 
@@ -117,22 +116,3 @@ def encode_pieces(
     rows = piece_rows(df, keys, segs, pattern)
     looked_up = salted_lookup(rows, dictionary, "piece", [*keys, "sent", "pos"], "n")
     return regroup(looked_up.select(*keys, "sent", "pos", "ids"), keys, "ids")
-
-
-def token_rows(encoded: DataFrame, keys: list[str], ids: str = "input_ids") -> DataFrame:
-    """One row per id of a flat id array: keys, ``pos`` (0-based), ``id``."""
-    return encoded.select(*keys, F.posexplode(ids).alias("pos", "id"))
-
-
-def decode(encoded: DataFrame, keys: list[str], vocabulary: DataFrame, ids: str = "ids") -> DataFrame:
-    """Flat ids back to ``text``: tokens joined in order, cut at the first PAD.
-
-    ``vocabulary`` is ``(token, id)``, bounded by the vocabulary size.
-    """
-    rows = token_rows(encoded, keys, ids).join(F.broadcast(vocabulary), "id")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"])
-    return rows.groupBy(*keys).agg(cut_at_padding(F.array_join(parts, "")).alias("text"))
-
-
-def flat(ids="input_ids") -> Column:
-    return F.flatten(col(ids))

@@ -83,12 +83,12 @@ def auc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFra
     return ranked.groupBy(*group).agg(area) if group else ranked.agg(area)
 
 
-def average_ranks(values: DataFrame, value: str, weight: str) -> DataFrame:
-    """Rank of each distinct value when every row counts ``weight`` times; equal
-    rows share the mean of their ranks."""
+def average_ranks(values: DataFrame, value: str, weight: str, out: str) -> DataFrame:
+    """Add the rank of each distinct value when it stands for ``weight`` rows;
+    equal rows share the mean of their ranks."""
     ranked = running_total(range_buckets(values, [value]), weight, [value])
     mean = F.col("_before").cast("double") + (F.col(weight).cast("double") + F.lit(1.0)) / F.lit(2.0)
-    return ranked.select(value, mean.alias("rank"))
+    return ranked.select(*values.columns, mean.alias(out))
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -105,13 +105,10 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     )
     ranked = pairs
     for value, other, rank in (("_x", "_y", "_rx"), ("_y", "_x", "_ry")):
-        # _n rows stand behind a value; it occurs in _pairs rows of the join.
-        per_value = materialized(
-            pairs.groupBy(value).agg(F.sum("_n").alias("_n"), F.count(F.lit(1)).alias("_pairs"))
-        )
-        ranks = average_ranks(per_value.select(value, "_n"), value, "_n").withColumnRenamed("rank", rank)
-        table = ranks.join(per_value.select(value, "_pairs"), value)
-        ranked = salted_lookup(ranked, table, value, [other], "_pairs")
+        # _rows rows stand behind a value; it occurs in _pairs rows of the join.
+        per_value = pairs.groupBy(value).agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_pairs"))
+        ranks = materialized(average_ranks(per_value, value, "_rows", rank).drop("_rows"))
+        ranked = salted_lookup(ranked, ranks, value, [other], "_pairs")
     n = F.col("_n").cast("double")
     total = pairs.agg(F.sum("_n")).scalar().cast("double")
     middle = (total + F.lit(1.0)) / F.lit(2.0)

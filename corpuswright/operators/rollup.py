@@ -19,8 +19,8 @@ def path_levels(path: str, levels: int = MAX_LEVELS) -> list[Column]:
 
 
 def path_rollup(df: DataFrame, path: str, value: str, levels: int = MAX_LEVELS) -> DataFrame:
-    """Sum of ``value`` per path prefix, and the grand total (null levels)."""
+    """Sum of ``value`` per path prefix, and the grand total (null levels), in one
+    scan and one shuffle of partial sums."""
     names = [f"level_{i}" for i in range(levels)]
-    totals = df.select(*path_levels(path, levels), value).groupBy(*names).agg(F.sum(value).alias("total"))
-    grand = totals.agg(F.sum("total").alias("total"))
-    return totals.unionByName(grand, allowMissingColumns=True)
+    split = df.select(*path_levels(path, levels), value)
+    return split.groupingSets([[F.col(n) for n in names], []], *names).agg(F.sum(value).alias("total"))

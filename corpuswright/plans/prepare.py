@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, VOCAB_SIZE
-from ..functions.text import segments
+from ..functions.text import MARKED_WORD, SENTENCE, WORD, segments
 from ..operators.encode import encode_words, piece_counts, word_vocabulary
 from ..operators.sampling import concat_corpora, head_fraction, make_splits, train_subset
 from ..session import materialized, spread
@@ -33,12 +33,13 @@ class Corpus:
 
 def encoded_documents(
     spark: SparkSession, path: str, key: str = "doc_id", vocab_size: int = VOCAB_SIZE,
-    min_frequency: int = MIN_FREQUENCY,
+    min_frequency: int = MIN_FREQUENCY, **options,
 ) -> DataFrame:
     """Word-encoded documents of a Parquet corpus, through the corpus cache.
 
-    The cache key covers the files read and the vocabulary's parameters. The rows
-    are the encoding only: segments, masks and batches are drawn when reading.
+    The cache key covers the files read, the patterns, the vocabulary's parameters
+    and any further ``options``. The rows are the encoding only: segments, masks
+    and batches are drawn when reading.
     """
     docs = spark.read.parquet(path)
 
@@ -47,7 +48,9 @@ def encoded_documents(
         vocabulary = word_vocabulary(piece_counts(texts), vocab_size, min_frequency)
         return encode_words(texts, segments(["text"], True), vocabulary).select(key, "input_ids")
 
-    options = {"files": file_state(docs), "vocab": vocab_size, "min": min_frequency, "pieces": "words"}
+    options |= {
+        "files": file_state(docs), "vocab": vocab_size, "min": min_frequency, "patterns": [SENTENCE, MARKED_WORD, WORD]
+    }
     return cached(spark, "documents", None, options, build)
 
 

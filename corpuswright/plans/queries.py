@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,7 @@ from ..operators import features as X
 from ..operators import sampling as P
 from ..operators.ordering import union_all
 from ..operators.rollup import path_rollup
-from ..session import local_table, materialized, scratch_partitions, shared_path, spread
+from ..session import local_table, materialized, scratch_partitions, scratch_path, spread
 from ..sources import catalog as C
 from ..sources import corpus as R
 from ..sources import ledger as L
@@ -58,12 +57,14 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
-def fresh(spark: SparkSession, name: str) -> str:
-    return shared_path(spark, "runs", f"{name}-{uuid.uuid4().hex}")
+def this_run(spark: SparkSession) -> dict:
+    """Cache option that keeps the queries of one application apart from those of
+    others: they share work with each other, but find nothing ready made."""
+    return {"run": spark.sparkContext.applicationId}
 
 
 def encoded(spark: SparkSession, sf: str) -> DataFrame:
-    return encoded_documents(spark, f"{sf}/documents.parquet")
+    return encoded_documents(spark, f"{sf}/documents.parquet", **this_run(spark))
 
 
 def whole(spark: SparkSession, sf: str) -> DataFrame:
@@ -80,6 +81,12 @@ def corrupted(spark: SparkSession, sf: str) -> DataFrame:
     return corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(proposal(docs)))
 
 
+def one_row(frames: list[DataFrame]) -> DataFrame:
+    """One-row results side by side, without a join."""
+    rows = union_all(frames)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
+
+
 def count_true(flags):
     return F.size(F.filter(flags, lambda f: f)).cast("bigint")
 
@@ -268,7 +275,7 @@ def pair_segments(spark, sf):
 def text_sink(spark, sf):
     """SRC-4, SRC-6. Texts written as lines and read back; newlines inside a text
     make further lines."""
-    path = fresh(spark, "lines")
+    path = scratch_path(spark, "lines")
     R.write_lines(R.scan(spark, f"{sf}/documents.parquet"), path)
     lines = spark.read.option("lineSep", "\n").text(path)
     return lines.agg(
@@ -326,9 +333,9 @@ def encode_words(spark, sf):
 # --- features --------------------------------------------------------------
 
 
-def vector_sums(frame: DataFrame) -> DataFrame:
+def vector_sums(frame: DataFrame, *others) -> DataFrame:
     return frame.select(
-        "doc_id", F.size("input_ids").cast("bigint").alias("n_tokens"),
+        "doc_id", *others, F.size("input_ids").cast("bigint").alias("n_tokens"),
         *[A.weighted_checksum(c).alias(f"{c[:-4]}_checksum") for c in X.VECTORS],
     )
 
@@ -343,7 +350,7 @@ def feature_rows(spark, sf):
 def segment_pick(spark, sf):
     """SMP-7, ARR-5."""
     feats = X.features(encoded(spark, sf), "doc_id")
-    return vector_sums(feats).join(feats.select("doc_id", F.col("offset").cast("bigint").alias("start")), "doc_id")
+    return vector_sums(feats, F.col("offset").cast("bigint").alias("start"))
 
 
 @query
@@ -464,12 +471,9 @@ def rtd_metrics(spark, sf):
     counts = metrics.binary_metrics(tokens, "p", "label")
     area = metrics.auc(tokens, "p", "label")
     names = ["ACCURACY", "PRECISION", "RECALL", "F1", "MCC"]
-    wide = counts.select(
-        F.lit("is_fake_token").alias("label_name"), *metrics.CONFUSION,
-        *[rounded(c, 9).alias(c.lower()) for c in names],
-    )
-    one = area.select(F.lit("is_fake_token").alias("label_name"), rounded("AUC", 9).alias("auc"))
-    return wide.join(F.broadcast(one), "label_name")
+    wide = counts.select(*metrics.CONFUSION, *[rounded(c, 9).alias(c.lower()) for c in names])
+    both = one_row([wide, area.select(rounded("AUC", 9).alias("auc"))])
+    return both.withColumn("label_name", F.lit("is_fake_token"))
 
 
 @query
@@ -525,16 +529,14 @@ def correlations(spark, sf):
     """AGG-5, AGG-6, WIN-6. Length against the 0/1 label, and against the number
     of words."""
     docs = scored_documents(spark, sf).select("doc_id", "n_chars", "quality")
-    words = table(spark, sf, "documents").select("doc_id", F.size(T.pieces("text", T.WORD)).alias("n_words"))
+    words = table(spark, sf, "documents").select("n_chars", F.size(T.pieces("text", T.WORD)).alias("n_words"))
     out = []
     for name, frame, x, y in (
         ("quality", docs, "n_chars", "quality"),
-        ("words", table(spark, sf, "documents").select("doc_id", "n_chars").join(words, "doc_id"), "n_chars", "n_words"),
+        ("words", words, "n_chars", "n_words"),
     ):
-        rank = metrics.spearman(frame, x, y).withColumn("pair", F.lit(name))
-        line = frame.agg(metrics.pearson(x, y).alias("r")).withColumn("pair", F.lit(name))
-        both = rank.join(F.broadcast(line), "pair")
-        out.append(both.select("pair", rounded("SPEARMAN_CORR", 9).alias("spearman"), rounded("r", 9).alias("pearson")))
+        both = one_row([metrics.spearman(frame, x, y), frame.agg(metrics.pearson(x, y).alias("r"))])
+        out.append(both.select(F.lit(name).alias("pair"), rounded("SPEARMAN_CORR", 9).alias("spearman"), rounded("r", 9).alias("pearson")))
     return union_all(out)
 
 
@@ -598,7 +600,7 @@ def source_ledger(spark, sf) -> DataFrame:
 def metric_ledger(spark, sf):
     """SRC-8, SRC-10, SORT-1, STR-6, STR-7. Written, read back, put in display
     order by a number per metric name."""
-    path = fresh(spark, "ledger")
+    path = scratch_path(spark, "ledger")
     config = {"learning_rate": 0.0005, "fp16": True, "num_hidden_layers": 12}
     rows = source_ledger(spark, sf).withColumn("config", L.config_map(config))
     L.append(rows, path)
@@ -740,7 +742,7 @@ def loss_accumulation(spark, sf):
 
 
 def text_options(spark, sf, **options) -> dict:
-    return {"files": R.file_state(table(spark, sf, "documents")), **options}
+    return {"files": R.file_state(table(spark, sf, "documents")), **this_run(spark), **options}
 
 
 def document_vocabulary(spark, sf) -> bpe.Vocabulary:
@@ -808,7 +810,7 @@ def bpe_encode(spark, sf):
 def bpe_decode(spark, sf):
     """STR-5. Encoded and decoded again: the marked text comes back whole."""
     vocabulary, ids = bpe_documents(spark, sf)
-    text = bpe.decode(ids.select("doc_id", F.flatten("input_ids").alias("ids")), ["doc_id"], vocabulary)
+    text = bpe.decode(ids.select("doc_id", F.flatten("input_ids").alias("ids")), vocabulary)
     return text.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
@@ -819,7 +821,7 @@ def bpe_decode(spark, sf):
 def stream_encode(spark, sf):
     """STM-1. Documents as a stream of files, encoded into a table."""
     docs = table(spark, sf, "documents")
-    path = fresh(spark, "stream-encode")
+    path = scratch_path(spark, "stream-encode")
     vocabulary = E.word_vocabulary(E.piece_counts(docs))
     arriving = SC.read_files(spark, sf, "documents.parquet", docs.schema)
     SC.write_encoded(SC.encode_stream(arriving, "doc_id", vocabulary), f"{path}/rows", f"{path}/log")
@@ -834,7 +836,7 @@ def stream_encode(spark, sf):
 def stream_eval_log(spark, sf):
     """STM-2. Windows that the watermark has closed."""
     events = table(spark, sf, "events")
-    path = fresh(spark, "stream-log")
+    path = scratch_path(spark, "stream-log")
     log = SC.read_files(spark, sf, "events.parquet", events.schema)
     per_window = SE.evaluation_log(
         log, "ts", S.sigmoid(F.col("value") - F.lit(50.0)), (F.col("event_type") == "error").cast("int"),
@@ -853,7 +855,7 @@ def stream_gate(spark, sf):
     """STM-3. Daily evaluations per run, then the gate as state per run."""
     SE.use_rocksdb(spark)
     events = table(spark, sf, "events")
-    path = fresh(spark, "stream-gate")
+    path = scratch_path(spark, "stream-gate")
     log = SC.read_files(spark, sf, "events.parquet", events.schema)
     metric = F.avg(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("metric")
     daily = SE.windowed(log.withColumnRenamed("user_id", "run"), "ts", "1 day", "1 hour", [metric], ["run"])
@@ -871,15 +873,14 @@ def stream_gate(spark, sf):
 @query
 def corpus_report(spark, sf):
     """The whole path from text to feature rows, summed up per source."""
-    feats = X.features(encoded(spark, sf), "doc_id")
-    sizes = feats.select(
-        "doc_id", F.size("input_ids").alias("n"), (F.size("input_ids") >= X.MAX_LENGTH).cast("int").alias("full")
+    docs = encoded(spark, sf).withColumns(
+        {"sents": F.size("input_ids"), "tokens": F.size(F.flatten("input_ids"))}
     )
-    whole_sizes = encoded(spark, sf).select(
-        "doc_id", F.size("input_ids").alias("sents"), F.size(F.flatten("input_ids")).alias("tokens")
+    sizes = X.features(docs, "doc_id").select(
+        "doc_id", "sents", "tokens", F.size("input_ids").alias("n"),
+        (F.size("input_ids") >= X.MAX_LENGTH).cast("int").alias("full"),
     )
-    docs = table(spark, sf, "documents").select("doc_id", "source")
-    joined = docs.join(sizes, "doc_id").join(whole_sizes, "doc_id")
+    joined = table(spark, sf, "documents").select("doc_id", "source").join(sizes, "doc_id")
     return joined.groupBy("source").agg(
         F.count(F.lit(1)).alias("n_docs"), F.sum("sents").cast("bigint").alias("n_sentences"),
         F.sum("tokens").cast("bigint").alias("n_tokens"), F.sum("n").cast("bigint").alias("n_feature_tokens"),

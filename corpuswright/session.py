@@ -50,13 +50,27 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     return "/".join([shared_folder(spark), "corpuswright", *parts])
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate results of this application."""
+    return shared_path(spark, "scratch", spark.sparkContext.applicationId, f"{name}-{uuid.uuid4().hex}")
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete this application's intermediate results. Frames made from them can
+    no longer be read."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(
+        shared_path(spark, "scratch", spark.sparkContext.applicationId)
+    )
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write to a new folder of the shared storage and read back.
 
     Cuts the lineage and keeps a result that several jobs need; a lost executor
     loses nothing of it.
     """
-    path = shared_path(df.sparkSession, "tables", uuid.uuid4().hex)
+    path = scratch_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

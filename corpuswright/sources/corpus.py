@@ -9,6 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import __version__
 from ..session import path_exists, shared_path
 
 
@@ -50,8 +51,10 @@ def file_state(df: DataFrame) -> str:
 
 def cache_path(spark: SparkSession, name: str, subset: str | None, options: dict) -> str:
     """``<shared>/data/<name>-<subset>-<digest>.cache``; the digest covers every
-    option that changes the rows, the vocabulary included."""
-    digest = hashlib.sha256(json.dumps(options, sort_keys=True).encode()).hexdigest()[:16]
+    option that changes the rows, the vocabulary included, and this package's
+    version."""
+    keyed = json.dumps([__version__, options], sort_keys=True)
+    digest = hashlib.sha256(keyed.encode()).hexdigest()[:16]
     return shared_path(spark, "data", f"{name}-{subset}-{digest}.cache")
 
 

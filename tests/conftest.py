@@ -6,7 +6,7 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 
-from corpuswright.session import local_session  # noqa: E402
+from corpuswright.session import clear_scratch, local_session  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -16,6 +16,7 @@ def spark():
     session = local_session("8", shuffle_partitions=8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
 
 

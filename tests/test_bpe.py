@@ -2,6 +2,7 @@
 
 import json
 import tempfile
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -84,7 +85,7 @@ def test_encode_and_decode(spark, texts, judge, learned):
     got = {r["doc_id"]: r["input_ids"] for r in ids.collect()}
     for i, t in enumerate(texts + ODD):
         assert got[i] == [judge.encode(f"<BOS>{t}<SEP>").ids]
-    back = bpe.decode(ids.select("doc_id", F.flatten("input_ids").alias("ids")), ["doc_id"], learned)
+    back = bpe.decode(ids.select("doc_id", F.flatten("input_ids").alias("ids")), learned)
     back = {r["doc_id"]: r["text"] for r in back.collect()}
     for i, t in enumerate(texts + ODD):
         assert back[i] == f"<BOS>{t}<SEP>".split("<PAD>")[0]
@@ -135,6 +136,7 @@ def test_vocabulary_is_trained_once(spark):
         calls.append(1)
         return bpe.Vocabulary([*SPECIAL_TOKENS, "a"], [])
 
-    for options in ({"k": 1}, {"k": 1}, {"k": 2}):
+    run = uuid.uuid4().hex
+    for options in ({"k": 1, "run": run}, {"k": 1, "run": run}, {"k": 2, "run": run}):
         assert V.trained(spark, "toy", options, train).tokens[-1] == "a"
     assert len(calls) == 2

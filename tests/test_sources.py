@@ -1,3 +1,5 @@
+import uuid
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -77,7 +79,8 @@ def test_cache_reads_through_and_knows_its_options(spark):
         calls.append(1)
         return spark.range(3)
 
-    for options in ({"vocab": 1}, {"vocab": 1}, {"vocab": 2}):
+    run = uuid.uuid4().hex
+    for options in ({"vocab": 1, "run": run}, {"vocab": 1, "run": run}, {"vocab": 2, "run": run}):
         assert R.cached(spark, "toy", None, options, build).count() == 3
     assert len(calls) == 2
     path = R.cache_path(spark, "toy", None, {"vocab": 1})
