@@ -63,24 +63,50 @@ def binary_metrics(df: DataFrame, probability: str, label: str, group: list[str]
     return counts.select("*", *[e.alias(k) for k, e in confusion_metrics().items()])
 
 
-def auc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFrame:
-    """Area under the ROC curve per group, ties counting half.
+def _ranked_scores(df: DataFrame, score: str, label: str, group: list[str]) -> DataFrame:
+    """One row per group and distinct score: ``_pos`` and ``_neg`` labels, and
+    ``_before``, the negatives at lower scores.
 
     Equal scores are merged first, so that a frequent score is one row before
-    anything is sorted. One class only gives null.
+    anything is sorted. The merged rows are stored: the input is read once.
     """
-    group = list(group)
-    positive, negative = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     merged = materialized(
         df.select(*group, F.col(score).cast("double").alias("_score"), label)
         .groupBy(*group, "_score")
-        .agg(positive.alias("_pos"), negative.alias("_neg"))
+        .agg(F.count_if(F.col(label) == 1).alias("_pos"), F.count_if(F.col(label) == 0).alias("_neg"))
     )
-    ranked = running_total(range_buckets(merged, ["_score"]), "_neg", ["_score"], group)
+    return running_total(range_buckets(merged, ["_score"]), "_neg", ["_score"], group)
+
+
+def _area() -> Column:
+    """Aggregate over ranked scores: area under the ROC curve, ties counting half;
+    null if one class is missing."""
     pos, neg = F.col("_pos").cast("double"), F.col("_neg").cast("double")
     wins = F.sum(pos * (F.col("_before").cast("double") + neg / F.lit(2.0)))
-    area = F.try_divide(wins, F.sum(pos) * F.sum(neg)).alias("AUC")
-    return ranked.groupBy(*group).agg(area) if group else ranked.agg(area)
+    return F.try_divide(wins, F.sum(pos) * F.sum(neg))
+
+
+def auc(df: DataFrame, score: str, label: str, group: list[str] = ()) -> DataFrame:
+    """Area under the ROC curve per group."""
+    ranked = _ranked_scores(df, score, label, list(group))
+    return ranked.groupBy(*group).agg(_area().alias("AUC"))
+
+
+def binary_report(
+    df: DataFrame, probability: str, label: str, group: list[str] = (), threshold: float = 0.5
+) -> DataFrame:
+    """Confusion counts, their metrics and the AUC per group, from one reading."""
+    ranked = _ranked_scores(df, probability, label, list(group))
+    yes = F.col("_score") >= F.lit(threshold)
+
+    def total(where: Column, counts: str) -> Column:
+        return F.coalesce(F.sum(F.when(where, F.col(counts))), F.lit(0)).cast("bigint")
+
+    counts = ranked.groupBy(*group).agg(
+        total(yes, "_pos").alias("tp"), total(yes, "_neg").alias("fp"),
+        total(~yes, "_neg").alias("tn"), total(~yes, "_pos").alias("fn"), _area().alias("AUC"),
+    )
+    return counts.select("*", *[e.alias(k) for k, e in confusion_metrics().items()])
 
 
 def average_ranks(values: DataFrame, value: str, weight: str, out: str) -> DataFrame:

@@ -23,9 +23,9 @@ BUCKET = "_bucket"
 _EXACT = float(2**53)
 
 
-def default_buckets(df: DataFrame) -> int:
+def default_buckets(df: DataFrame, most: int = 8192) -> int:
     """Enough buckets to spread one hot group over every shuffle partition."""
-    return max(64, min(8192, 4 * scratch_partitions(df.sparkSession)))
+    return max(64, min(most, 4 * scratch_partitions(df.sparkSession)))
 
 
 def hash_buckets(df: DataFrame, draw: str, buckets: int | None = None) -> DataFrame:
@@ -58,10 +58,12 @@ def _bucketed(df: DataFrame, column: str, splits: list[float], out: str) -> Data
 def range_buckets(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
     """Bucket by value range of numeric ``order`` columns, by quantiles.
 
-    A value of the first column that fills several buckets on its own gets a
-    bucket to itself, which is then cut further by the second order column.
+    The quantiles cost one pass over that column alone. A value of the first
+    column that fills several buckets on its own gets a bucket to itself, which is
+    then cut further by the second order column.
     """
-    buckets = buckets or default_buckets(df)
+    # Quantile sketches grow with the number of buckets.
+    buckets = buckets or default_buckets(df, 2048)
     splits, heavy = _quantile_splits(df, order[0], buckets)
     out = _bucketed(df, order[0], splits, BUCKET)
     if heavy and len(order) > 1:

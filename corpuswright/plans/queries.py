@@ -467,13 +467,12 @@ def scored_tokens(spark, sf) -> DataFrame:
 def rtd_metrics(spark, sf):
     """AGG-8, FLT-2, AGG-1..3 over all scored tokens."""
     tokens = scored_tokens(spark, sf).withColumn("p", metrics.positive_probability("logit"))
-    # Few distinct scores: both jobs start from their counts.
-    counts = metrics.binary_metrics(tokens, "p", "label")
-    area = metrics.auc(tokens, "p", "label")
-    names = ["ACCURACY", "PRECISION", "RECALL", "F1", "MCC"]
-    wide = counts.select(*metrics.CONFUSION, *[rounded(c, 9).alias(c.lower()) for c in names])
-    both = one_row([wide, area.select(rounded("AUC", 9).alias("auc"))])
-    return both.withColumn("label_name", F.lit("is_fake_token"))
+    out = metrics.binary_report(tokens, "p", "label")
+    names = ["ACCURACY", "PRECISION", "RECALL", "F1", "MCC", "AUC"]
+    return out.select(
+        F.lit("is_fake_token").alias("label_name"), *metrics.CONFUSION,
+        *[rounded(c, 9).alias(c.lower()) for c in names],
+    )
 
 
 @query
@@ -590,10 +589,9 @@ def gumbel_sample(spark, sf):
 
 def source_ledger(spark, sf) -> DataFrame:
     docs = scored_documents(spark, sf).withColumn("p", metrics.positive_probability("logit"))
-    wide = metrics.binary_metrics(docs, "p", "quality", ["source"])
-    area = metrics.auc(docs, "p", "quality", ["source"])
+    wide = metrics.binary_report(docs, "p", "quality", ["source"])
     names = ["ACCURACY", "PRECISION", "RECALL", "F1", "MCC", "AUC"]
-    return L.to_rows(wide.join(area, "source"), F.col("source"), names, "label", F.lit(0).cast("bigint"))
+    return L.to_rows(wide, F.col("source"), names, "label", F.lit(0).cast("bigint"))
 
 
 @query
@@ -824,8 +822,8 @@ def stream_encode(spark, sf):
     path = scratch_path(spark, "stream-encode")
     vocabulary = E.word_vocabulary(E.piece_counts(docs))
     arriving = SC.read_files(spark, sf, "documents.parquet", docs.schema)
-    SC.write_encoded(SC.encode_stream(arriving, "doc_id", vocabulary), f"{path}/rows", f"{path}/log")
-    rows = SC.read_encoded(spark, f"{path}/rows", "doc_id")
+    SC.write_stream(SC.encode_stream(arriving, ["doc_id"], vocabulary), f"{path}/rows", f"{path}/log")
+    rows = spark.read.parquet(f"{path}/rows")
     return rows.select(
         "doc_id", F.size("input_ids").cast("bigint").alias("n_sentences"),
         A.weighted_checksum(F.flatten("input_ids")).alias("checksum"),
@@ -842,7 +840,7 @@ def stream_eval_log(spark, sf):
         log, "ts", S.sigmoid(F.col("value") - F.lit(50.0)), (F.col("event_type") == "error").cast("int"),
         "value", "6 hours", "1 hour",
     )
-    SC.write_encoded(per_window, f"{path}/rows", f"{path}/log")
+    SC.write_stream(per_window, f"{path}/rows", f"{path}/log")
     out = spark.read.parquet(f"{path}/rows")
     return out.select(
         F.unix_micros("window_start").alias("window_start"), "n", rounded("loss").alias("loss"),
@@ -859,10 +857,10 @@ def stream_gate(spark, sf):
     log = SC.read_files(spark, sf, "events.parquet", events.schema)
     metric = F.avg(F.when(F.col("event_type") == "purchase", F.col("value"))).alias("metric")
     daily = SE.windowed(log.withColumnRenamed("user_id", "run"), "ts", "1 day", "1 hour", [metric], ["run"])
-    SC.write_encoded(daily, f"{path}/daily", f"{path}/daily-log")
+    SC.write_stream(daily, f"{path}/daily", f"{path}/daily-log")
     schema = spark.read.parquet(f"{path}/daily").schema
     gates = SE.gate_stream(spark.readStream.schema(schema).parquet(f"{path}/daily"), GATE_THRESHOLD)
-    SC.write_encoded(gates, f"{path}/gates", f"{path}/gates-log")
+    SC.write_stream(gates, f"{path}/gates", f"{path}/gates-log")
     out = spark.read.parquet(f"{path}/gates")
     return out.select("run", F.unix_micros("window_start").alias("window_start"), "gate")
 

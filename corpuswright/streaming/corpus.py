@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from ..constants import UNK
-from ..functions.text import MARKED_WORD, sentences
-from ..operators.encode import piece_rows, regroup
+from ..functions.text import sentences
+from ..operators.encode import encode_words
 
 
 def read_files(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
@@ -20,22 +18,18 @@ def run_to_end(writer) -> None:
     query.awaitTermination()
 
 
-def encode_stream(docs: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
-    """Token rows of streamed documents: a stateless projection and a join to the
-    static vocabulary (at most vocab_size rows, so broadcast)."""
-    rows = piece_rows(docs, [key], sentences("text"), MARKED_WORD)
-    found = rows.join(F.broadcast(vocabulary), "piece", "left")
-    return found.select(key, "sent", "pos", F.coalesce("id", F.lit(UNK)).alias("id"))
+def encode_stream(docs: DataFrame, keep: list[str], vocabulary: DataFrame, text: str = "text") -> DataFrame:
+    """Nested ``input_ids`` of streamed documents, next to the ``keep`` columns.
 
+    The same map as in batch, against a vocabulary read once at the start; it has
+    no state, and a document is one row.
+    """
+    return encode_words(docs, sentences(text), vocabulary).select(*keep, "input_ids")
 
-def write_encoded(tokens: DataFrame, path: str, checkpoint: str) -> None:
-    """Append token rows to Parquet; the sink's log keeps each document once."""
+
+def write_stream(rows: DataFrame, path: str, checkpoint: str) -> None:
+    """Append finished rows to Parquet; the sink's log keeps each of them once."""
     run_to_end(
-        tokens.writeStream.format("parquet").outputMode("append")
+        rows.writeStream.format("parquet").outputMode("append")
         .option("path", path).option("checkpointLocation", checkpoint)
     )
-
-
-def read_encoded(spark: SparkSession, path: str, key: str) -> DataFrame:
-    """Nested ``input_ids`` per document from the stored token rows."""
-    return regroup(spark.read.parquet(path), [key], "id")

@@ -62,6 +62,15 @@ def test_auc_against_all_pairs(spark):
     assert got == pytest.approx({g: brute_auc(p) for g, p in pdf.groupby("g")})
 
 
+def test_report_equals_its_parts(spark):
+    df = spark.createDataFrame(scores_with_hot_value()).withColumn("p", M.positive_probability("s"))
+    report = {r["g"]: r.asDict() for r in M.binary_report(df, "p", "y", ["g"]).collect()}
+    for r in M.binary_metrics(df, "p", "y", ["g"]).collect():
+        assert {k: report[r["g"]][k] for k in r.asDict()} == r.asDict()
+    areas = {r["g"]: r["AUC"] for r in M.auc(df, "p", "y", ["g"]).collect()}
+    assert {g: r["AUC"] for g, r in report.items()} == areas
+
+
 def test_correlations(spark):
     pdf = scores_with_hot_value()
     df = spark.createDataFrame(pdf)

@@ -20,16 +20,16 @@ def test_documents_arriving_in_parts(spark, documents, folder):
 
     def run():
         arriving = SC.read_files(spark, f"{folder}/in", "*.parquet", docs.schema)
-        SC.write_encoded(SC.encode_stream(arriving, "doc_id", vocabulary), f"{folder}/out", f"{folder}/log")
+        SC.write_stream(SC.encode_stream(arriving, ["doc_id"], vocabulary), f"{folder}/out", f"{folder}/log")
 
     docs.where("doc_id % 2 = 0").write.parquet(f"{folder}/in")
     run()
-    first = SC.read_encoded(spark, f"{folder}/out", "doc_id").count()
+    first = spark.read.parquet(f"{folder}/out").count()
     docs.where("doc_id % 2 = 1").write.mode("append").parquet(f"{folder}/in")
     run()
     run()
     batch = E.encode_words(docs, T.sentences("text"), vocabulary).select("doc_id", "input_ids")
-    stored = SC.read_encoded(spark, f"{folder}/out", "doc_id")
+    stored = spark.read.parquet(f"{folder}/out")
     assert first < stored.count() == docs.count()
     assert stored.exceptAll(batch).count() == 0
 
@@ -46,7 +46,7 @@ def test_late_rows_are_dropped(spark, folder):
         events(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
         log = SC.read_files(spark, f"{folder}/in", "*.parquet", schema)
         out = SE.evaluation_log(log, "ts", F.col("value"), F.col("bad"), "value", "1 hour", "10 minutes")
-        SC.write_encoded(out, f"{folder}/out", f"{folder}/log")
+        SC.write_stream(out, f"{folder}/out", f"{folder}/log")
 
     run([(1, "2024-01-01 00:10:00", 0.9, 1), (1, "2024-01-01 00:20:00", 0.1, 1), (1, "2024-01-01 02:00:00", 0.5, 0)])
     run([(1, "2024-01-01 00:30:00", 0.9, 1), (1, "2024-01-01 05:00:00", 0.5, 0)])
@@ -64,7 +64,7 @@ def test_gate_keeps_its_state_between_batches(spark, folder):
             "run", F.col("t").cast("timestamp").alias("window_start"), "metric")
         df.write.mode("append").parquet(f"{folder}/in")
         stream = spark.readStream.schema(schema).parquet(f"{folder}/in")
-        SC.write_encoded(SE.gate_stream(stream, 0.0), f"{folder}/out", f"{folder}/log")
+        SC.write_stream(SE.gate_stream(stream, 0.0), f"{folder}/out", f"{folder}/log")
 
     days = [f"2024-01-0{i} 00:00:00" for i in range(1, 6)]
     run([(1, days[0], 0.4), (1, days[1], None), (1, days[2], 0.0), (2, days[0], None)])
