@@ -73,17 +73,30 @@ def bounds(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) ->
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def _range_hashes(codes: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = _power_table(base, len(codes) + 1)
+def _running(codes: np.ndarray, base: int) -> np.ndarray:
     total = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum(codes * up[: len(codes)], out=total[1:])
-    return (total[ends] - total[starts]) * down[starts]
+    np.cumsum(codes * _power_table(base, len(codes) + 1)[0][: len(codes)], out=total[1:])
+    return total
+
+
+def _range_hashes(total: np.ndarray, base: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    return (total[ends] - total[starts]) * _power_table(base, len(total))[1][starts]
+
+
+class ByteHashes:
+    """64-bit hashes of any parts of the bytes, by their content and length."""
+
+    def __init__(self, data: np.ndarray):
+        self.total = _running(_BYTE_CODE[data], BYTE_BASE)
+
+    def __call__(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        h = _range_hashes(self.total, BYTE_BASE, starts, ends)
+        return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(WORD_BASE)))
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each word's bytes and length."""
-    h = _range_hashes(_BYTE_CODE[data], BYTE_BASE, starts, ends)
-    return mix(h ^ ((ends - starts).astype(np.uint64) * np.uint64(WORD_BASE)))
+    return ByteHashes(data)(starts, ends)
 
 
 def sequence_hashes(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
@@ -94,7 +107,7 @@ def sequence_hashes(hashes: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
         return np.zeros(0, np.uint64)
     codes = mix(hashes ^ np.uint64(salt)) if salt else hashes
     at = np.arange(n)
-    return mix(_range_hashes(codes, WORD_BASE, at, at + size) ^ np.uint64((salt + size) & MASK))
+    return mix(_range_hashes(_running(codes, WORD_BASE), WORD_BASE, at, at + size) ^ np.uint64((salt + size) & MASK))
 
 
 def inside(first: np.ndarray, size: int, n_words: int) -> np.ndarray:
