@@ -48,11 +48,12 @@ def cut_plan(capacity: int, max_waste: float = MAX_WASTE, short: int = SHORT) ->
 
 
 def token_pieces(
-    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", column: str = "text", end_id: int = END_ID
+    docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", column: str = "text", end_id: int = END_ID, keep_ids: bool = True
 ) -> DataFrame:
     """Pieces of every document's ids (text's ids, then ``end_id``).
 
-    ``key, start, length, ids_crc32, doc_tokens, ids``; a null text counts as
+    ``key, start, length, ids_crc32, doc_tokens`` and, with ``keep_ids``, ``ids`` as
+    little-endian unsigned 32-bit numbers; a null text counts as
     empty and gives one piece, the end id.  Rows with equal keys are separate
     documents.
     """
@@ -69,12 +70,12 @@ def token_pieces(
             T.StructField("length", T.LongType()),
             T.StructField("ids_crc32", T.LongType()),
             T.StructField("doc_tokens", T.LongType()),
-            T.StructField("ids", T.BinaryType()),
+            *([T.StructField("ids", T.BinaryType())] if keep_ids else []),
         ]
     )
 
     def run(batches):
-        for part in slices(batches, column, 4 << 20):
+        for part in slices(batches, column):
             ids, offsets = tokenizer().encode(part.column(1))
             n = len(offsets) - 1
             ids = np.insert(ids, offsets[1:], end_id).astype("<u4")
@@ -90,8 +91,8 @@ def token_pieces(
             doc = np.repeat(np.arange(n), n_pieces)
             ends = np.cumsum(size)
             at = ends - size
-            raw = ids.tobytes()
-            blobs = [raw[4 * a : 4 * b] for a, b in zip(at, ends)]
+            raw = memoryview(ids).cast("B")
+            blobs = [raw[4 * a : 4 * b] for a, b in zip(at.tolist(), ends.tolist())]
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column(0).take(pa.array(doc)),
@@ -99,7 +100,7 @@ def token_pieces(
                     pa.array(size),
                     pa.array([zlib.crc32(b) for b in blobs], pa.int64()),
                     pa.array(tokens[doc]),
-                    pa.array(blobs, pa.binary()),
+                    *([pa.array(blobs, pa.binary())] if keep_ids else []),
                 ],
                 schema.names,
             )
@@ -192,10 +193,8 @@ def pack(
     """Cut all documents into pieces and place them.
 
     ``key, start, length, ids_crc32, doc_tokens, sequence_id, offset`` and, with
-    ``keep_ids``, the ids as little-endian unsigned 32-bit numbers. Every id of
+    ``keep_ids``, ``ids``. Every id of
     every document is in exactly one piece.
     """
-    pieces = token_pieces(docs, tokenizer_path, capacity, key, column)
-    if not keep_ids:
-        pieces = pieces.drop("ids")
+    pieces = token_pieces(docs, tokenizer_path, capacity, key, column, keep_ids=keep_ids)
     return place(materialized(pieces), capacity, (key, "start", "length", "ids_crc32"))

@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-from itertools import chain
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .batches import flat, kept_in_worker, ranges, slices
-from .segments import Memo, distinct, spread
+from .segments import Memo, spread
 
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
@@ -195,11 +195,9 @@ class Pieces:
         cut[offsets[:-1][offsets[:-1] < len(data)]] = True
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(data))
-        numbers, segments = distinct(data, starts, ends)
-        values = self.memo.many(segments, lambda missing: [self.encode_segment(s) for s in missing])
-        lengths = np.fromiter(map(len, values), np.int64, len(values))
-        ids = np.fromiter(chain.from_iterable(values), np.int32, int(lengths.sum()))
-        return spread(numbers, lengths, ids, np.searchsorted(starts, offsets))
+        make = lambda segments: [array("i", self.encode_segment(s)).tobytes() for s in segments]
+        numbers, values = self.memo.values(data, starts, ends, make)
+        return spread(numbers, values, np.searchsorted(starts, offsets), "i4")
 
     def decode(self, ids: np.ndarray, offsets: np.ndarray) -> list[bytes]:
         """UTF-8 text of each list of ids."""
@@ -279,7 +277,7 @@ def encode(df: DataFrame, model_path: str, column: str = "text", out: str = "ids
     schema = _with(df, **{out: T.ArrayType(T.IntegerType(), False)})
 
     def run(batches):
-        for part in slices(batches, column, 4 << 20):
+        for part in slices(batches, column):
             ids, offsets = model().encode(part.column(column))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
             yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
@@ -326,7 +324,7 @@ def round_trip_digests(df: DataFrame, model_path: str, key: str = "doc_id", colu
         return hashlib.sha256(raw).hexdigest()
 
     def run(batches):
-        for part in slices(batches, column, 4 << 20):
+        for part in slices(batches, column):
             m = model()
             ids, offsets = m.encode(part.column(1))
             names = kept_in_worker(f"decimals-{len(m.pieces)}", lambda: pa.array([str(i) for i in range(len(m.pieces))], pa.large_string()))

@@ -107,6 +107,27 @@ def held_out(key: Column) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+_STATES = "learner int, at binary, z binary, n binary"
+
+
+def _one_pass(sent, turn: int):
+    """One learner's pass over its documents, from the state that all share."""
+
+    def learn(table: pa.Table) -> pa.Table:
+        mine = State.new()
+        at, z, n = sent.value
+        mine.z[at], mine.n[at] = z, n
+        order = pc.sort_indices(table, sort_keys=[("turn", "descending" if turn % 2 else "ascending"), ("y", "ascending")])
+        blobs, y = table.column("places").combine_chunks(), table.column("y").to_numpy()
+        for i in order.to_numpy():
+            mine.learn(np.frombuffer(blobs[i].as_buffer(), "<i4"), int(y[i]))
+        at = np.flatnonzero(mine.n)
+        state = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i4"), mine.z[at], mine.n[at])]
+        return pa.Table.from_arrays([table.column("learner").slice(0, 1).combine_chunks(), *state], ["learner", "at", "z", "n"])
+
+    return learn
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
@@ -144,26 +165,11 @@ def train(
 
     ready = materialized(rows.select("learner", "turn", "y", "text").mapInArrow(prepare, "learner int, turn long, y int, places binary"))
     state = State.new()
-    schema = T.StructType([T.StructField("learner", T.IntegerType()), T.StructField("at", T.BinaryType()), T.StructField("z", T.BinaryType()), T.StructField("n", T.BinaryType())])
     for turn in range(PASSES):
         at = np.flatnonzero(state.n)
         sent = spark.sparkContext.broadcast((at.astype(np.int32), state.z[at], state.n[at]))
 
-        def one_pass(table: pa.Table, sent=sent, turn=turn) -> pa.Table:
-            mine = State.new()
-            at, z, n = sent.value
-            mine.z[at], mine.n[at] = z, n
-            order = pc.sort_indices(table, sort_keys=[("turn", "descending" if turn % 2 else "ascending"), ("y", "ascending")])
-            blobs, y = table.column("places").combine_chunks(), table.column("y").to_numpy()
-            for i in order.to_numpy():
-                mine.learn(np.frombuffer(blobs[i].as_buffer(), "<i4"), int(y[i]))
-            at = np.flatnonzero(mine.n)
-            return pa.Table.from_arrays(
-                [pa.array([table.column("learner")[0].as_py()], pa.int32()), *[pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i4"), mine.z[at], mine.n[at])]],
-                schema.names,
-            )
-
-        done = ready.groupBy("learner").applyInArrow(one_pass, schema).collect()  # one row for each learner
+        done = ready.groupBy("learner").applyInArrow(_one_pass(sent, turn), _STATES).collect()  # one row for each learner
         if not done:
             break
         state = State.new()
