@@ -262,25 +262,23 @@ def _shipped(df: DataFrame, model_path: str):
     return model
 
 
-def _with(df: DataFrame, **added: T.DataType) -> T.StructType:
-    taken = {c.lower() for c in df.columns}
-    clash = [c for c in added if c.lower() in taken]
-    if clash:
-        raise ValueError(f"columns {clash} are there already")
-    return T.StructType([*df.schema.fields, *[T.StructField(c, t) for c, t in added.items()]])
+def _with(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
+    """The columns, with one more; it takes the place of one of that name."""
+    others = [f for f in df.schema.fields if f.name.lower() != name.lower()]
+    return T.StructType([*others, T.StructField(name, kind)])
 
 
 def encode(df: DataFrame, model_path: str, column: str = "text", out: str = "ids") -> DataFrame:
     """Add the ids of each whole text (no begin or end ids). A null or empty text
-    has no ids; other columns stay. Raises if ``out`` is a column already."""
+    has no ids; other columns stay, but for one called ``out``."""
     model = _shipped(df, model_path)
-    schema = _with(df, **{out: T.ArrayType(T.IntegerType(), False)})
+    schema = _with(df, out, T.ArrayType(T.IntegerType(), False))
 
     def run(batches):
         for part in slices(batches, column):
             ids, offsets = model().encode(part.column(column))
             lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()))
-            yield pa.RecordBatch.from_arrays([*part.columns, lists], [*part.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in schema.names[:-1]], lists], schema.names)
 
     return df.mapInArrow(run, schema)
 
@@ -288,7 +286,7 @@ def encode(df: DataFrame, model_path: str, column: str = "text", out: str = "ids
 def decode(df: DataFrame, model_path: str, column: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the text of each list of ids; null for a null list."""
     model = _shipped(df, model_path)
-    schema = _with(df, **{out: T.StringType()})
+    schema = _with(df, out, T.StringType())
 
     def run(batches):
         for part in batches:
@@ -297,7 +295,7 @@ def decode(df: DataFrame, model_path: str, column: str = "ids", out: str = "deco
             ids = lists.flatten().to_numpy(zero_copy_only=False)
             texts = pa.array([t.decode() for t in model().decode(ids, offsets)], pa.string())
             texts = pc.if_else(lists.is_null(), pa.scalar(None, pa.string()), texts)
-            yield pa.RecordBatch.from_arrays([*part.columns, texts], [*part.schema.names, out])
+            yield pa.RecordBatch.from_arrays([*[part.column(c) for c in schema.names[:-1]], texts], schema.names)
 
     return df.mapInArrow(run, schema)
 

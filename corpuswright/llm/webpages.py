@@ -84,7 +84,7 @@ class _Lines(HTMLParser):
 
     def handle_starttag(self, tag, attrs):
         if self.skipped:
-            closes = tag in LANDMARKS or self.skipped in SELF_CLOSING and tag in BLOCKS or self.skipped == "head" and tag == "body"
+            closes = tag in LANDMARKS and not self.n_landmarks or self.skipped in SELF_CLOSING and tag in BLOCKS or self.skipped == "head" and tag == "body"
             if not closes or tag in LANDMARKS and self._left_out(tag, attrs):
                 self.depth += tag == self.skipped
                 return
