@@ -10,8 +10,9 @@ on the full shingle sets.
 Documents with equal shingle sets are one class, and only a class's smallest document
 takes part. In a band's bucket all documents are compared with the smallest one;
 only where a bucket then still holds more than one component are the pairs across
-components compared too. So groups of copies never give all their pairs, and no link
-that could join two components is left out.
+components compared too, in blocks of bounded size that return a spanning forest. So
+groups of copies never give all their pairs, and no link that could join two
+components is left out.
 """
 
 from __future__ import annotations
@@ -33,7 +34,8 @@ BASE, RATE, TOP = 1.001, 20.0, 2**16 - 1
 DOUBT = 15.0
 BLOCK = 1 << 15
 STAR_SIZE = 500
-MAX_BROADCAST_TARGETS = 50_000
+CHUNK = 512
+PAIRS_AT_ONCE = 100_000
 _STEPS = np.array([(i * 0x9E3779B97F4A7C15 >> 13) & 0xFFFFFFFF | 1 for i in range(1, REGISTERS + 1)], np.uint64)
 _MULTIPLIERS = (words.mix(_STEPS) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _MASKS = words.mix(_STEPS * np.uint64(words.WORD_BASE)).astype(np.uint32)
@@ -198,11 +200,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: s
         split.select(F.col("a").alias("doc"), "a", "part", F.lit(0).alias("role")).distinct()
     )
     texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(column).cast("string").alias("text"))
-    if targets.limit(MAX_BROADCAST_TARGETS + 1).count() <= MAX_BROADCAST_TARGETS:
-        rows = texts.join(F.broadcast(targets), "doc")
-    else:
-        rows = texts.join(targets, "doc")
-    rows = rows.select("a", "part", "role", "doc", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
+    rows = texts.join(targets.hint("shuffle_hash"), "doc").select("a", "part", "role", "doc", "text").repartition("a", "part").sortWithinPartitions("a", "part", "role")
 
     def run(batches):
         star, center = None, None
@@ -227,6 +225,122 @@ def confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int, key: s
     return rows.mapInArrow(run, "a long, b long")
 
 
+def _tasks(rows: DataFrame) -> DataFrame:
+    """Rows of a bucket (``k, band, doc``) dealt to tasks, so that every two of them meet
+    in one: a large bucket is cut into chunks, and a task holds two of them (``side``)
+    or one."""
+    sizes = rows.groupBy("band").agg(F.ceil(F.count(F.lit(1)) / F.lit(float(CHUNK))).cast("int").alias("_chunks"))
+    dealt = rows.join(sizes, "band").withColumn("_mine", F.pmod(F.xxhash64("doc"), F.col("_chunks")).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1))
+    dealt = dealt.withColumn("_other", other)
+    low, high = F.least("_mine", "_other"), F.greatest("_mine", "_other")
+    side = F.when(F.col("_chunks") == 1, 0).when(low == high, 0).otherwise(F.when(F.col("_mine") == low, 1).otherwise(2))
+    dealt = dealt.withColumn("task", F.xxhash64("band", low, high)).withColumn("side", side)
+    return dealt.drop("_chunks", "_mine", "_other").repartition("task").sortWithinPartitions("task")
+
+
+def _whole_tasks(batches):
+    """Tables that hold all rows of the tasks in them."""
+    waiting: list[pa.RecordBatch] = []
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        tasks = batch.column("task").to_numpy()
+        last = int(np.flatnonzero(tasks != tasks[-1])[-1]) + 1 if tasks[0] != tasks[-1] else 0
+        if waiting and (last or waiting[-1].column("task")[-1].as_py() != tasks[0]):
+            yield pa.Table.from_batches([*waiting, batch.slice(0, last)]).combine_chunks()
+            waiting = []
+        elif last:
+            yield pa.Table.from_batches([batch.slice(0, last)])
+        waiting.append(batch.slice(last))
+    if waiting:
+        yield pa.Table.from_batches(waiting).combine_chunks()
+
+
+def _crossing(table: pa.Table, threshold: float):
+    """Blocks of row pairs of one task, of different components, that their registers
+    do not rule out and that share no earlier band."""
+    column = lambda name: table.column(name).combine_chunks()
+    tasks, side, component, k = (column(c).to_numpy() for c in ("task", "side", "component", "k"))
+    n = column("n").to_numpy().astype(float)
+    sketch = flat(column("sketch"))[0].view("<u2").reshape(len(n), REGISTERS)
+    new = np.append(True, tasks[1:] != tasks[:-1])
+    ends = np.append(np.flatnonzero(new)[1:], len(tasks))[np.cumsum(new) - 1]
+    partners = ends - np.arange(len(tasks)) - 1
+    reached = np.cumsum(partners)
+    at = 0
+    while at < len(tasks):
+        to = int(np.searchsorted(reached, (reached[at - 1] if at else 0) + PAIRS_AT_ONCE, "right"))
+        to = min(max(to, at + 1), len(tasks))
+        rows = np.arange(at, to)
+        i, j = np.repeat(rows, partners[rows]), ranges(rows + 1, partners[rows])
+        ok = (component[i] != component[j]) & ((side[i] == 0) | (side[i] != side[j]))
+        ok &= np.minimum(n[i], n[j]) >= threshold * np.maximum(n[i], n[j]) - 1e-9
+        i, j = i[ok], j[ok]
+        same = (sketch[i] == sketch[j]).reshape(len(i), BANDS, BAND_ROWS).all(2)
+        first = same.argmax(1) == k[i]
+        i, j = i[first], j[first]
+        if len(i):
+            ok = plausible(sketch[i], sketch[j], n[i], n[j], threshold)
+            yield i[ok], j[ok]
+        at = to
+
+
+def _across(mixed: DataFrame, sketches: DataFrame, docs: DataFrame, size: int, percent: int, key: str, column: str) -> DataFrame:
+    """Links ``a, b`` between components of a bucket, as far as they join any.
+
+    ``mixed`` is a stored table ``k, band, doc, component`` of buckets with several
+    components. First the registers tell which documents have a possible partner;
+    only their sets are then made and compared.
+    """
+    threshold = percent / 100
+
+    def partners(batches):
+        for table in _whole_tasks(batches):
+            found = [np.concatenate(ij) for ij in _crossing(table, threshold)]
+            if found:
+                rows = table.take(pa.array(np.unique(np.concatenate(found))))
+                yield from rows.select(["k", "band", "doc", "component", "n", "sketch"]).to_batches()
+
+    wide = mixed.join(sketches, "doc").select("k", "band", "doc", "component", "n", "sketch")
+    schema = "k int, band long, doc long, component long, n long, sketch binary"
+    needed = materialized(_tasks(wide).mapInArrow(partners, schema).dropDuplicates(["band", "doc"]))
+    texts = docs.select(F.col(key).cast("long").alias("doc"), F.col(column).cast("string").alias("text"))
+    wanted = texts.join(needed.select("doc").distinct().hint("shuffle_hash"), "doc", "left_semi")
+
+    def make_sets(batches):
+        for part in slices(batches, "text"):
+            sets, begins = shingle_sets(part.column("text"), size)
+            blobs = [sets[a:b].astype("<u8").tobytes() for a, b in zip(begins[:-1], begins[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("doc"), pa.array(blobs, pa.binary())], ["doc", "set"])
+
+    sets = wanted.select("doc", "text").mapInArrow(make_sets, "doc long, set binary").dropDuplicates(["doc"])
+
+    def compare(batches):
+        for table in _whole_tasks(batches):
+            own = [np.frombuffer(v.as_buffer(), "<u8") for v in table.column("set").combine_chunks()]
+            doc, component = table.column("doc").to_numpy(), table.column("component").to_numpy()
+            names, node = np.unique(component, return_inverse=True)
+            label = np.arange(len(names))
+            links = []
+            for i, j in _crossing(table, threshold):
+                for a, b in zip(i.tolist(), j.tolist()):
+                    if label[node[a]] == label[node[b]]:
+                        continue
+                    x, y = own[a], own[b]
+                    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+                    common = int((x[at] == y).sum())
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        links.append((doc[a], doc[b]))
+                        low, high = sorted((label[node[a]], label[node[b]]))
+                        label[label == high] = low
+            if links:
+                a, b = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return _tasks(needed.join(sets, "doc")).select("k", "doc", "component", "n", "sketch", "set", "task", "side").mapInArrow(compare, "a long, b long")
+
+
 def near_duplicates(
     docs: DataFrame, size: int = 5, percent: int = 80, key: str = "doc_id", column: str = "text"
 ) -> DataFrame:
@@ -248,31 +362,20 @@ def near_duplicates(
     sketches = materialized(
         some.select("doc", *marks, "sketch").join(classes, marks).where("doc = smallest").select("doc", "n", "sketch").dropDuplicates(["doc"])
     )
-    banded = sketches.select("doc", F.explode(_band_keys()).alias("band"))
+    banded = sketches.select("doc", F.posexplode(_band_keys()).alias("k", "band"))
     smallest = banded.groupBy("band").agg(F.min("doc").alias("a"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
     shared = materialized(banded.join(smallest, "band"))
-    tried = materialized(shared.where("doc <> a").select("a", F.col("doc").alias("b")).distinct())
+    tried = shared.where("doc <> a").select("a", F.col("doc").alias("b")).distinct()
     links = materialized(confirmed(_likely(tried, sketches, threshold), docs, size, percent, key, column))
     found = components(links)
     # Buckets that still hold several components: their remaining pairs.
-    labelled = shared.join(found, F.col("doc") == F.col("node"), "left").select(
-        "band", "doc", F.coalesce("component", "doc").alias("component")
-    )
-    labelled = materialized(labelled)
-    mixed = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
-    left = labelled.join(mixed, "band")
-    other = left.select("band", F.col("doc").alias("doc2"), F.col("component").alias("component2"))
-    rest = (
-        left.join(other, "band")
-        .where("doc < doc2 and component <> component2")
-        .select(F.col("doc").alias("a"), F.col("doc2").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
+    labelled = materialized(
+        shared.join(found, F.col("doc") == F.col("node"), "left").select("k", "band", "doc", F.coalesce("component", "doc").alias("component"))
     )
-    rest = materialized(_likely(rest, sketches, threshold))
-    if not rest.isEmpty():
-        links = links.union(materialized(confirmed(rest, docs, size, percent, key, column)))
-        found = components(links)
+    several = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
+    mixed = materialized(labelled.join(several, "band"))
+    more = materialized(_across(mixed, sketches, docs, size, percent, key, column))
+    found = components(links.union(more))
     named = classes.join(found, F.col("smallest") == F.col("node"), "left").select(
         *marks, F.coalesce("component", "smallest").alias("component")
     )
