@@ -60,9 +60,3 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
 
-
-def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
-    """Binary column from flat bytes."""
-    return pa.Array.from_buffers(
-        pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())]
-    )

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..session import materialized
 from . import words
-from .batches import binaries, flat, slices
+from .batches import flat, slices
 
 BITS = 20
 MAX_DOCUMENTS = 16_000
@@ -108,22 +108,48 @@ def held_out(key: Column) -> Column:
 
 
 _STATES = "learner int, at binary, z binary, n binary"
+_EXAMPLES = "learner int, turn long, y int, places binary"
+_SHARES = "learner int, y binary, ends binary, places binary"
+
+
+def _short(places: np.ndarray) -> bytes:
+    """Ascending places in two bytes each, behind the counts of their upper bits."""
+    upper = np.bincount(places >> 16, minlength=1 << (BITS - 16)).astype("<u4")
+    return upper.tobytes() + (places & 0xFFFF).astype("<u2").tobytes()
+
+
+def _long(raw: bytes) -> np.ndarray:
+    n = 1 << (BITS - 16)
+    upper = np.frombuffer(raw, "<u4", n)
+    return (np.repeat(np.arange(n), upper) << 16) | np.frombuffer(raw, "<u2", offset=4 * n)
+
+
+def _share(table: pa.Table) -> pa.Table:
+    """All examples of a learner in one row, in the order of their turn."""
+    table = table.sort_by([("turn", "ascending"), ("y", "ascending")]).combine_chunks()
+    blobs = table.column("places").to_pylist()
+    ends = np.cumsum([len(b) for b in blobs], dtype="<i8")
+    packed = [table.column("y").to_numpy().astype("<i4").tobytes(), ends.tobytes(), b"".join(blobs)]
+    columns = [table.column("learner").slice(0, 1).combine_chunks(), *[pa.array([x], pa.binary()) for x in packed]]
+    return pa.Table.from_arrays(columns, ["learner", "y", "ends", "places"])
 
 
 def _one_pass(sent, turn: int):
-    """One learner's pass over its documents, from the state that all share."""
-
-    def learn(table: pa.Table) -> pa.Table:
-        mine = State.new()
-        at, z, n = sent.value
-        mine.z[at], mine.n[at] = z, n
-        order = pc.sort_indices(table, sort_keys=[("turn", "descending" if turn % 2 else "ascending"), ("y", "ascending")])
-        blobs, y = table.column("places").combine_chunks(), table.column("y").to_numpy()
-        for i in order.to_numpy():
-            mine.learn(np.frombuffer(blobs[i].as_buffer(), "<i4"), int(y[i]))
-        at = np.flatnonzero(mine.n)
-        state = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i4"), mine.z[at], mine.n[at])]
-        return pa.Table.from_arrays([table.column("learner").slice(0, 1).combine_chunks(), *state], ["learner", "at", "z", "n"])
+    """One pass of every learner over its examples, from the state that all share."""
+
+    def learn(batches):
+        for batch in batches:
+            for learner, labels, ends, raw in zip(*[c.to_pylist() for c in batch.columns]):
+                mine = State.new()
+                at, z, n = sent.value
+                mine.z[at], mine.n[at] = z, n
+                labels, ends = np.frombuffer(labels, "<i4"), np.frombuffer(ends, "<i8")
+                order = range(len(labels))
+                for i in reversed(order) if turn % 2 else order:
+                    mine.learn(_long(raw[ends[i - 1] if i else 0 : ends[i]]), int(labels[i]))
+                at = np.flatnonzero(mine.n)
+                state = [pa.array([x.tobytes()], pa.binary()) for x in (at.astype("<i4"), mine.z[at], mine.n[at])]
+                yield pa.RecordBatch.from_arrays([pa.array([learner], pa.int32()), *state], ["learner", "at", "z", "n"])
 
     return learn
 
@@ -159,17 +185,18 @@ def train(
     def prepare(batches):
         for part in slices(batches, "text"):
             places, owner = features(part.column("text"))
-            offsets = 4 * np.searchsorted(owner, np.arange(part.num_rows + 1))
-            blobs = binaries(places.astype("<i4").view(np.uint8), offsets)
+            cuts = np.searchsorted(owner, np.arange(part.num_rows + 1))
+            blobs = pa.array([_short(places[a:b]) for a, b in zip(cuts[:-1], cuts[1:])], pa.binary())
             yield pa.RecordBatch.from_arrays([part.column("learner"), part.column("turn"), part.column("y"), blobs], ["learner", "turn", "y", "places"])
 
-    ready = materialized(rows.select("learner", "turn", "y", "text").mapInArrow(prepare, "learner int, turn long, y int, places binary"))
+    examples = rows.select("learner", "turn", "y", "text").mapInArrow(prepare, _EXAMPLES)
+    shares = materialized(examples.groupBy("learner").applyInArrow(_share, _SHARES))
     state = State.new()
     for turn in range(PASSES):
         at = np.flatnonzero(state.n)
         sent = spark.sparkContext.broadcast((at.astype(np.int32), state.z[at], state.n[at]))
 
-        done = ready.groupBy("learner").applyInArrow(_one_pass(sent, turn), _STATES).collect()  # one row for each learner
+        done = shares.mapInArrow(_one_pass(sent, turn), _STATES).collect()  # one row for each learner
         if not done:
             break
         state = State.new()
