@@ -1,7 +1,7 @@
 """Toxicity scores by FTRL-proximal logistic regression over hashed word n-grams.
 
 Features are the distinct words, word beginnings, pairs of neighbours and pairs with
-one word between, hashed to 2**20 places. Each coordinate has its own learning rate,
+one word between, hashed to 2**18 places. Each coordinate has its own learning rate,
 and an L1 penalty keeps most weights at exactly zero, so the weights sent to the tasks
 are few and bounded by the hash size.
 
@@ -25,8 +25,8 @@ from ..session import materialized
 from . import words
 from .batches import flat, slices
 
-BITS = 20
-MAX_DOCUMENTS = 16_000
+BITS = 18
+MAX_DOCUMENTS = 12_000
 LEARNERS, PASSES = 4, 6
 ALPHA, BETA, L1, L2 = 0.2, 1.0, 4.0, 0.2
 THRESHOLD = 0.3
@@ -47,8 +47,9 @@ def features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarra
     hashes = words.ByteHashes(data)
     out = []
 
-    def add(h: np.ndarray, owner: np.ndarray) -> None:
-        places = (h >> np.uint64(64 - BITS)).view(np.int64)
+    def add(h: np.ndarray, owner: np.ndarray, pairs: bool = False) -> None:
+        # Pairs have a half of their own: they are many and say little each.
+        places = (h >> np.uint64(65 - BITS)).view(np.int64) + (pairs << (BITS - 1))
         if only is not None:
             mine = np.flatnonzero(only[places])
             places, owner = places[mine], owner[mine]
@@ -61,7 +62,7 @@ def features(texts: pa.Array, only: np.ndarray | None = None) -> tuple[np.ndarra
         add(words.mix(hashes(starts[long], starts[long] + size) ^ _SALTS[2] ^ np.uint64(i + 1)), doc[long])
     for salt, step in zip(_SALTS, (1, 2)):
         near = doc[:-step] == doc[step:]
-        add(words.mix((h[:-step] ^ salt) * np.uint64(words.BYTE_BASE) + h[step:])[near], doc[:-step][near])
+        add(words.mix((h[:-step] ^ salt) * np.uint64(words.BYTE_BASE) + h[step:])[near], doc[:-step][near], True)
     both = np.sort(np.concatenate(out))
     both = both[np.append(True, both[1:] != both[:-1])] if len(both) else both
     return both & ((1 << BITS) - 1), both >> BITS
@@ -197,6 +198,7 @@ def train(
         sent = spark.sparkContext.broadcast((at.astype(np.int32), state.z[at], state.n[at]))
 
         done = shares.mapInArrow(_one_pass(sent, turn), _STATES).collect()  # one row for each learner
+        sent.unpersist()
         if not done:
             break
         state = State.new()
