@@ -28,7 +28,8 @@ from .vectors import as_matrix, prepared, rotation, unit
 BLOCKS = 4
 GRID = 2
 GRAIN = 65536
-CHUNK = 4096
+CHUNK = 16_384
+TILE = 512
 EXACT_AT_ONCE = 20_000
 
 
@@ -76,37 +77,39 @@ class _Join:
         points = self.coordinates(x)
         x = unit(x)
         home, probe = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
+        # One product gives |h - p|^2 less the share; a tile of it stays in the cache.
         a, b = self.blocks[block]
-        h, p = (points[i, a:b].astype(np.float32) / GRAIN for i in (home, probe))
-        near = (h * h).sum(1)[:, None] + (p * p).sum(1)[None, :] - 2 * (h @ p.T)
-        mask = (near <= self.shares[block] / GRAIN**2 + 1e-4) & (ids[probe][None, :] < ids[home][:, None])
-        i, j = np.nonzero(mask)
-        i, j = home[i], probe[j]
-        links, label = np.zeros(len(ids), np.int64), np.arange(len(ids))
+        h, p = (points[i, a:b] / GRAIN for i in (home, probe))
+        bound = self.shares[block] / GRAIN**2 + 1e-4
+        left = np.column_stack([-2 * h, (h * h).sum(1) - bound, np.ones(len(h))]).astype(np.float32)
+        right = np.column_stack([p, np.ones(len(p)), (p * p).sum(1)]).astype(np.float32).T.copy()
         # One vector may be here twice, at home and as a probe; it is one node.
-        _, node = np.unique(ids, return_inverse=True)
-        label = np.arange(node.max() + 1 if len(node) else 0)
-        good_i, good_j = [], []
-        for at in range(0, len(i), EXACT_AT_ONCE):
-            s, t = i[at : at + EXACT_AT_ONCE], j[at : at + EXACT_AT_ONCE]
-            apart = (points[s] - points[t]) ** 2
-            mine = apart[:, a:b].sum(1) <= self.shares[block]
-            for k in range(block):
-                c, d = self.blocks[k]
-                mine &= apart[:, c:d].sum(1) > self.shares[k]
-            s, t = s[mine], t[mine]
-            linked = (x[s] * x[t]).sum(1) >= self.cosine
-            s, t = s[linked], t[linked]
-            np.add.at(links, s, weight[t])
-            np.add.at(links, t, weight[s])
-            # Keep a forest only, so that memory does not grow with the links.
-            good_i.append(node[s])
-            good_j.append(node[t])
-            label = _spanned(label, node[s], node[t])
+        order, node = np.unique(ids, return_inverse=True)
+        links, label = np.zeros(len(ids), np.int64), np.arange(len(order))
+        for at in range(0, len(home), TILE):
+            i, j = np.nonzero(left[at : at + TILE] @ right <= 0)
+            i, j = home[at + i], probe[j]
+            smaller = ids[j] < ids[i]
+            i, j = i[smaller], j[smaller]
+            for k in range(0, len(i), EXACT_AT_ONCE):
+                s, t = self._linked(block, points, x, i[k : k + EXACT_AT_ONCE], j[k : k + EXACT_AT_ONCE])
+                np.add.at(links, s, weight[t])
+                np.add.at(links, t, weight[s])
+                label = _spanned(label, node[s], node[t])
         touched = links > 0
-        order = np.unique(ids)
         return ids[touched], links[touched], order[label[node[touched]]]
 
+    def _linked(self, block: int, points: np.ndarray, x: np.ndarray, s: np.ndarray, t: np.ndarray):
+        """Pairs that are close in this block but in none before it, and linked."""
+        apart = (points[s] - points[t]) ** 2
+        a, b = self.blocks[block]
+        mine = apart[:, a:b].sum(1) <= self.shares[block]
+        for c, (a, b) in enumerate(self.blocks[:block]):
+            mine &= apart[:, a:b].sum(1) > self.shares[c]
+        s, t = s[mine], t[mine]
+        linked = (x[s] * x[t]).sum(1) >= self.cosine
+        return s[linked], t[linked]
+
 
 def _spanned(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest node reachable, after the links i - j are added."""
