@@ -21,4 +21,3 @@ CHUNK_LENGTH = 128
 MASK_PROBABILITY = 0.15
 REPLACE_PROBABILITY = 0.85
 DISCRIMINATOR_FACTOR = 50.0
-MAX_SAMPLED_DOCUMENTS = 100000

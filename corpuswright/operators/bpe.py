@@ -7,21 +7,19 @@ are counted by an ordinary aggregation over the distinct words.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..constants import MAX_SAMPLED_DOCUMENTS, MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
+from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 from ..functions.arrays import col
 from ..functions.text import LINE, MARKED_PRETOKEN, PRETOKEN, add_markers, cut_at_padding, pieces
-from ..session import local_table, materialized, scratch_partitions
-from .encode import encode_pieces
+from ..session import discard, local_table, materialized, scratch_partitions
 from .sampling import draws_with_replacement
 
 
@@ -110,103 +108,203 @@ class Vocabulary:
         )
 
 
-def _independent_prefix(rows: list[tuple[str, int]], complete: bool, approx: bool) -> list[tuple[str, int]]:
-    """Leading pairs that can be merged in one round.
+def _independent_prefix(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Leading pairs ``(left, right)`` that can be merged in one round, from rows in
+    merging order: most frequent first, then lower left, then lower right id.
 
-    No symbol is the left part of one pair and the right part of another, so
-    occurrences of the pairs never overlap or touch a shared symbol. A pair that
-    appears through a merge comes out of one that ends where a merged pair starts
-    or starts where it ends, and is at most as frequent as that one; members
-    strictly more frequent than the first such pair keep their rank. A symbol
-    paired with itself can feed on its own repeats, so it is merged alone. Without
-    the last cut (``approx``) equally frequent pairs may change places.
+    The prefix ends before the first pair that shares a symbol in the other role with
+    a taken one (left here, right there), so occurrences never overlap and no taken
+    pair changes another's count. A pair that a merge of (l, r) brings about is (z, x)
+    or (x, z) with the new id x, and stems from an occurrence of (z, l) or (r, z). Such a
+    neighbour is not taken, so it comes after all taken pairs; the new pair is at most as
+    frequent, and at equal frequency comes later too, as z is not lower than any taken
+    left, and x is higher than any other id. So merging the prefix at once is the same as
+    merging pair by pair. A symbol paired with itself feeds on its own repeats and is
+    merged alone.
     """
-    taken, lefts, rights, bound = [], set(), set(), None
-    for pair, n in rows:
-        left, right = pair
-        if left == right and not taken:
-            return [(pair, n)]
-        if left == right or left in rights or right in lefts:
-            bound = n
+    taken, lefts, rights = [], set(), set()
+    for left, right, _ in rows:
+        if left == right:
+            return taken or [(left, right)]
+        if left in rights or right in lefts:
             break
-        taken.append((pair, n))
+        taken.append((left, right))
         lefts.add(left)
         rights.add(right)
-    if bound is None and not complete:
-        bound = rows[-1][1]
-    if approx or bound is None:
-        return taken
-    return [t for t in taken if t[1] > bound] or taken[:1]
-
-
-def _merged(symbols: Column, batch: list[tuple[str, str]]) -> Column:
-    for pair, new in batch:
-        symbols = F.replace(symbols, F.lit(pair), F.lit(new))
-    return symbols
-
-
-def _pair_changes(words: DataFrame, batch: list[tuple[str, str]]) -> DataFrame:
-    """How the pair counts change when ``batch`` is merged; only the words that
-    the merges alter are taken apart."""
-    both = words.withColumn("_after", _merged(F.col("symbols"), batch)).where("symbols <> _after")
-    sides = F.array(
-        F.struct("symbols", (-F.col("n")).alias("n")),
-        F.struct(F.col("_after").alias("symbols"), "n"),
-    )
-    return pair_counts(both.select(F.explode(sides).alias("w")).select("w.symbols", "w.n"))
+    return taken
+
+
+class _Words:
+    """Many words as flat arrays: symbol ids, length and frequency of each word."""
+
+    def __init__(self, symbols: np.ndarray, lengths: np.ndarray, counts: np.ndarray):
+        self.symbols, self.lengths, self.counts = symbols, lengths, counts
+
+    @classmethod
+    def load(cls, batch: pa.RecordBatch, row: int) -> _Words:
+        kinds = (("symbols", "<i4"), ("lengths", "<i4"), ("counts", "<i8"))
+        return cls(*[np.frombuffer(batch.column(name)[row].as_buffer(), kind) for name, kind in kinds])
+
+    def row(self) -> pa.RecordBatch:
+        kept = (self.symbols.astype("<i4"), self.lengths.astype("<i4"), self.counts.astype("<i8"))
+        return pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in kept], ["symbols", "lengths", "counts"])
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of all adjacent pairs, and the frequency of the word of each."""
+        last = np.cumsum(self.lengths, dtype=np.int64) - 1
+        inner = np.ones(len(self.symbols), bool)
+        inner[last] = False
+        at = np.flatnonzero(inner)
+        codes = (self.symbols[at].astype(np.int64) << 32) | self.symbols[at + 1]
+        return codes, np.repeat(self.counts, self.lengths)[at]
+
+    def merged(self, batch: list[tuple[int, int, int]]) -> tuple[_Words, np.ndarray]:
+        """The words after a batch of merges, and which words changed."""
+        word = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        codes = (self.symbols[:-1].astype(np.int64) << 32) | self.symbols[1:]
+        wanted = np.array([(a << 32) | b for a, b, _ in batch], np.int64)
+        order = np.argsort(wanted)
+        place = np.minimum(np.searchsorted(wanted[order], codes), len(wanted) - 1)
+        hit = (wanted[order][place] == codes) & (word[:-1] == word[1:])
+        at = np.flatnonzero(hit)
+        if batch[0][0] == batch[0][1] and len(at):
+            # Repeats of one symbol pair up from the left.
+            new_run = np.append(True, np.diff(at) > 1)
+            start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            at = at[(np.arange(len(at)) - start) % 2 == 0]
+        symbols = self.symbols.copy()
+        symbols[at] = np.array([c for _, _, c in batch], np.int32)[order][place[at]]
+        lengths = self.lengths - np.bincount(word[at], minlength=len(self.lengths)).astype(np.int32)
+        return _Words(np.delete(symbols, at + 1), lengths, self.counts), np.unique(word[at])
+
+    def only(self, which: np.ndarray) -> _Words:
+        keep = np.zeros(len(self.lengths), bool)
+        keep[which] = True
+        return _Words(self.symbols[np.repeat(keep, self.lengths)], self.lengths[keep], self.counts[keep])
+
+
+_BLOCKS = "symbols binary, lengths binary, counts binary"
+_CHANGES = "left int, right int, n bigint"
+
+
+def _totals(codes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
+    """Summed weights per pair; pairs that even out are left out."""
+    found, inverse = np.unique(codes, return_inverse=True)
+    # Whole numbers throughout: frequencies may be beyond what a double holds.
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, inverse, weights)
+    found, total = found[total != 0], total[total != 0]
+    columns = [pa.array((found >> 32).astype(np.int32)), pa.array((found & 0xFFFFFFFF).astype(np.int32)), pa.array(total)]
+    return pa.RecordBatch.from_arrays(columns, ["left", "right", "n"])
+
+
+def _blocks(counts: DataFrame) -> DataFrame:
+    """Words of at least two symbols, many to a row."""
+    to_id = np.array(BYTE_IDS, np.int32)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                words = [p.encode() for p in batch.column("piece").to_pylist()]
+                n = batch.column("n").to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = np.frombuffer(b"".join(words), np.uint8)
+                yield _Words(to_id[flat], np.array([len(w) for w in words], np.int32), n).row()
+
+    longer = counts.where(F.octet_length("piece") > 1).select("piece", "n")
+    return longer.repartition(scratch_partitions(counts.sparkSession), "piece").mapInArrow(run, _BLOCKS)
+
+
+def _replayed(blocks: DataFrame, rounds: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """The words after the merges of some rounds."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                words = _Words.load(batch, row)
+                for merges in rounds:
+                    words, _ = words.merged(merges)
+                yield words.row()
+
+    return blocks.mapInArrow(run, _BLOCKS)
+
+
+def _pair_changes(blocks: DataFrame, rounds: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """How the merges of some rounds change the pair counts, or, without any, all pair
+    counts. Only words that change are counted anew."""
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                before = after = _Words.load(batch, row)
+                if not rounds:
+                    yield _totals(*before.pairs())
+                    continue
+                changed = []
+                for merges in rounds:
+                    after, which = after.merged(merges)
+                    changed.append(which)
+                which = np.unique(np.concatenate(changed))
+                if len(which):
+                    old, new = before.only(which).pairs(), after.only(which).pairs()
+                    yield _totals(np.concatenate([old[0], new[0]]), np.concatenate([-old[1], new[1]]))
+
+    return blocks.mapInArrow(run, _CHANGES)
 
 
 def learn(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
-    approx: bool = False,
-    candidates: int = 512,
-    merges_per_write: int = 8,
+    candidates: int = 4096,
+    rounds_per_write: int = 12,
 ) -> Vocabulary:
-    """Learn merges from pre-token counts ``(piece, n)``.
+    """Learn merges from pre-token counts ``(piece, n)``, exactly as one by one.
 
-    Words and pair counts are kept as tables. A round merges some pairs and
-    corrects the counts by the words that changed; the driver sees only the
-    ``candidates`` most frequent pairs. Ties go to the lower left, then the lower
-    right id. ``approx`` needs far fewer rounds for a large vocabulary.
+    Words are a table of blocks, pair counts another. A round is one job: it adds what
+    the rounds since the last write have changed in the counts, and gives the driver
+    the ``candidates`` most frequent pairs, of which a batch is merged. Every few rounds
+    both tables are written anew, and those that they replace are deleted. Ties go to
+    the lower left, then the lower right id.
     """
     tokens = [*SPECIAL_TOKENS, *ALPHABET]
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
-    start = counts.select(initial_symbols("piece").alias("symbols"), "n").where(F.length("symbols") > 1)
-    # A fixed number of partitions: every round scans all distinct words.
-    parts = scratch_partitions(counts.sparkSession)
-    words = materialized(start.repartition(parts, "symbols"))
-    pairs = materialized(pair_counts(words))
-    unwritten = 0
+    blocks = materialized(_blocks(counts))
+    pairs = materialized(_pair_changes(blocks, []).groupBy("left", "right").agg(F.sum("n").alias("n")))
+    pending: list[list[tuple[int, int, int]]] = []
+
+    def current() -> DataFrame:
+        if not pending:
+            return pairs
+        return pairs.union(_pair_changes(blocks, pending)).groupBy("left", "right").agg(F.sum("n").alias("n"))
+
+    order = [F.desc("n"), F.asc("left"), F.asc("right")]
     while len(tokens) < vocab_size:
-        top = (
-            pairs.where(F.col("n") >= min_frequency)
-            .orderBy(F.desc("n"), F.asc("pair")).limit(candidates).collect()
-        )
+        top = current().where(F.col("n") >= min_frequency).orderBy(*order).limit(candidates).collect()
         if not top:
             break
-        rows = [(r["pair"], r["n"]) for r in top]
-        batch = []
-        for pair, _ in _independent_prefix(rows, len(rows) < candidates, approx):
-            left, right = symbol_id(pair[0]), symbol_id(pair[1])
+        batch: list[tuple[int, int, int]] = []
+        for left, right in _independent_prefix([tuple(r) for r in top]):
             token = tokens[left] + tokens[right]
-            if token not in ids:
+            known = token in ids
+            if not known:
                 if len(tokens) >= vocab_size:
                     break
                 ids[token] = len(tokens)
                 tokens.append(token)
-            merges.append((left, right, ids[token]))
-            batch.append((pair, symbol(ids[token])))
-        if len(tokens) >= vocab_size:
-            break
-        corrected = pairs.unionByName(_pair_changes(words, batch)).groupBy("pair").agg(F.sum("n").alias("n"))
-        pairs = materialized(corrected.where("n > 0"))
-        words = words.select(_merged(F.col("symbols"), batch).alias("symbols"), "n")
-        unwritten += len(batch)
-        if unwritten >= merges_per_write:
-            words, unwritten = materialized(words.where(F.length("symbols") > 1)), 0
+            batch.append((left, right, ids[token]))
+            if known:
+                break  # its pairs are not new ones and may come before the rest
+        merges += batch
+        pending.append(batch)
+        if len(pending) >= rounds_per_write:
+            old = (blocks, pairs)
+            pairs = materialized(current().where("n > 0"))
+            blocks, pending = materialized(_replayed(blocks, pending)), []
+            for frame in old:
+                discard(frame)
+    for frame in (blocks, pairs):
+        discard(frame)
     return Vocabulary(tokens, merges)
 
 
@@ -216,68 +314,93 @@ def train(
     text: str = "text",
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
-    max_documents: int = MAX_SAMPLED_DOCUMENTS,
+    max_documents: int | None = None,
     seed: int = 42,
     **options,
 ) -> Vocabulary:
-    """Draw documents with replacement, count their pre-tokens, learn merges."""
+    """Draw documents with replacement (as many as there are, or ``max_documents``),
+    count their pre-tokens, learn merges."""
     sample = draws_with_replacement(df.select(key, text), key, max_documents, seed)
     return learn(pretoken_counts(sample, text), vocab_size, min_frequency, **options)
 
 
 def merge_ids(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
-    """Apply the learned merges to one word, lowest rank first."""
-    while len(ids) > 1:
-        known = [(ranks[p][0], p) for p in zip(ids, ids[1:]) if p in ranks]
-        if not known:
-            break
-        pair = min(known)[1]
-        merged, i = [], 0
-        while i < len(ids):
-            if i + 1 < len(ids) and (ids[i], ids[i + 1]) == pair:
-                merged.append(ranks[pair][1])
-                i += 2
-            else:
-                merged.append(ids[i])
-                i += 1
-        ids = merged
-    return ids
-
-
-def encode_dictionary(counts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(piece, n, ids)`` for distinct pieces; each piece is merged once."""
+    """Apply the learned merges to one word, lowest rank first, then leftmost.
+
+    Symbols are a linked list and possible merges a heap, so a long word takes
+    n log n steps.
+    """
+    n = len(ids)
+    ids, after, before = list(ids), list(range(1, n + 1)), list(range(-1, n - 1))
+    heap = [(ranks[p][0], i, p) for i, p in enumerate(zip(ids, ids[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        _, i, pair = heapq.heappop(heap)
+        j = after[i]
+        if j >= n or (ids[i], ids[j]) != pair:
+            continue
+        ids[i], ids[j] = ranks[pair][1], -1
+        after[i] = k = after[j]
+        if k < n:
+            before[k] = i
+        for left, right in ((before[i], i), (i, k)):
+            if left >= 0 and right < n and (pair := (ids[left], ids[right])) in ranks:
+                heapq.heappush(heap, (ranks[pair][0], left, pair))
+    return [i for i in ids if i >= 0]
+
+
+MEMO_PIECES = 200_000
+
+
+def _piece_encoder(vocabulary: Vocabulary):
+    """Nested pieces to nested ids in a task: the distinct pieces of an Arrow batch
+    are merged once, and a bounded number of them is kept for the next batches."""
     ranks: dict[tuple[int, int], tuple[int, int]] = {}
     for rank, (a, b, c) in enumerate(vocabulary.merges):
         ranks.setdefault((a, b), (rank, c))
     special = {t: [i] for i, t in enumerate(SPECIAL_TOKENS)}
+    known: dict[str, list[int]] = {}
+
+    def ids_of(piece: str) -> list[int]:
+        if piece not in known:
+            known[piece] = special.get(piece) or merge_ids([BYTE_IDS[b] for b in piece.encode()], ranks)
+        return known[piece]
+
+    @F.arrow_udf("array<array<int>>")
+    def encode(nested: pa.Array) -> pa.Array:
+        if len(known) > MEMO_PIECES:
+            known.clear()
+        sentences = nested.flatten()
+        coded = sentences.flatten().dictionary_encode()
+        found = [ids_of(p) for p in coded.dictionary.to_pylist()]
+        lengths = np.array([len(x) for x in found], np.int64)
+        flat = np.array([i for x in found for i in x], np.int32)
+        which = coded.indices.to_numpy(zero_copy_only=False)
+        counts = lengths[which]
+        ends = np.append(0, np.cumsum(counts))
+        begins = np.cumsum(lengths) - lengths
+        places = np.arange(ends[-1]) + np.repeat(begins[which] - ends[:-1], counts)
+
+        def offsets(lists):
+            o = np.asarray(lists.offsets)
+            return o - o[0]
+
+        per_sentence = pa.array(ends[offsets(sentences)].astype(np.int32))
+        return pa.ListArray.from_arrays(
+            pa.array(offsets(nested)), pa.ListArray.from_arrays(per_sentence, pa.array(flat[places], pa.int32()))
+        )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["ids"] = [
-                special.get(p) or merge_ids([BYTE_IDS[b] for b in p.encode()], ranks) for p in batch["piece"]
-            ]
-            yield batch
-
-    return counts.mapInPandas(run, "piece string, n bigint, ids array<int>")
-
-
-def marked_piece_counts(df: DataFrame, segs, pattern: str = MARKED_PRETOKEN) -> DataFrame:
-    """Frequencies of the pieces of marked segments, special tokens included."""
-    marked = df.select(F.explode(add_markers(segs)).alias("_segment"))
-    return (
-        marked.select(F.explode(pieces("_segment", pattern)).alias("piece"))
-        .groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return encode
 
 
-def encode(df: DataFrame, keys: list[str], segs, vocabulary: Vocabulary) -> DataFrame:
+def encode(df: DataFrame, keys: list[str], segs, vocabulary: Vocabulary, pattern: str = MARKED_PRETOKEN) -> DataFrame:
     """Nested subword ids per document; nothing is truncated.
 
-    The dictionary of distinct pieces is stored, since the salted join reads it
-    more than once.
+    The merges are bounded by the vocabulary, so they travel to the tasks: one map over
+    the documents, no shuffle.
     """
-    dictionary = materialized(encode_dictionary(marked_piece_counts(df, segs), vocabulary))
-    return encode_pieces(df, keys, segs, dictionary, MARKED_PRETOKEN)
+    split = F.transform(add_markers(segs), lambda s: pieces(s, pattern))
+    return df.select(*keys, _piece_encoder(vocabulary)(split).alias("input_ids"))
 
 
 def tokens_to_text(joined) -> Column:

@@ -78,15 +78,15 @@ def token_proposal(tokens: DataFrame, protected=PROTECTED_IDS) -> DataFrame:
     return kept.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def proposal_table(proposal: DataFrame, temperature: float = 1.0, limit: int = 4 * VOCAB_SIZE):
+def proposal_table(proposal: DataFrame, temperature: float = 1.0, vocab_size: int = VOCAB_SIZE):
     """Ids and running weights, ordered by id, for :func:`replace_tokens`.
 
-    The table has one row per vocabulary entry; more rows than ``limit`` mean that
-    it is not a vocabulary, and are refused.
+    The table has one row per vocabulary entry; more rows than ``vocab_size`` are
+    refused.
     """
-    rows = proposal.orderBy("id").limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"proposal has more than {limit} tokens")
+    rows = proposal.orderBy("id").limit(vocab_size + 1).collect()
+    if len(rows) > vocab_size:
+        raise ValueError(f"proposal has more than {vocab_size} tokens")
     ids = np.array([r["id"] for r in rows], dtype=np.int32)
     weights = np.array([r["n"] for r in rows])
     if temperature != 1.0:

@@ -11,13 +11,9 @@ from pyspark.sql import functions as F
 from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, UNK, VOCAB_SIZE
 from ..functions.text import MARKED_WORD, WORD, add_markers, pieces
 from ..session import local_table
-from .skew import salted_lookup
 
 FIRST_WORD_ID = len(SPECIAL_TOKENS)
 
-# A table larger than this is not taken for a vocabulary.
-MAX_VOCABULARY = 8 * VOCAB_SIZE
-
 
 def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD) -> DataFrame:
     """Corpus frequency ``n`` of every ``piece``; counted before the shuffle."""
@@ -93,26 +89,13 @@ def _nested_lookup(words: list[str], ids: np.ndarray, unknown: int):
 
 def encode_words(
     df: DataFrame, segs: Column | str, vocabulary: DataFrame, pattern: str = MARKED_WORD,
-    limit: int = MAX_VOCABULARY, out: str = "input_ids",
+    vocab_size: int = VOCAB_SIZE, out: str = "input_ids",
 ) -> DataFrame:
     """Add word ids per sentence; words outside the vocabulary become UNK.
 
     The vocabulary is bounded, so it travels to the tasks and whole Arrow batches
     are looked up at once: one map over the documents, no shuffle.
     """
-    words, ids = vocabulary_arrays(vocabulary, limit)
+    words, ids = vocabulary_arrays(vocabulary, vocab_size)
     split = F.transform(add_markers(segs), lambda s: pieces(s, pattern))
     return df.withColumn(out, _nested_lookup(words, ids, UNK)(split))
-
-
-def encode_pieces(
-    df: DataFrame, keys: list[str], segs: Column | str, dictionary: DataFrame, pattern: str
-) -> DataFrame:
-    """Subword ids per sentence from a dictionary ``(piece, n, ids)``.
-
-    The dictionary grows with the corpus, so this is a shuffle join; pieces with
-    a large share of all rows are salted.
-    """
-    rows = piece_rows(df, keys, segs, pattern)
-    looked_up = salted_lookup(rows, dictionary, "piece", [*keys, "sent", "pos"], "n")
-    return regroup(looked_up.select(*keys, "sent", "pos", "ids"), keys, "ids")

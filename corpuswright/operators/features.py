@@ -24,11 +24,11 @@ VECTORS = ("input_ids", "position_ids", "sequence_ids")
 
 @dataclass(frozen=True)
 class FeatureConfig:
-    """Limits for feature rows; None switches a limit off."""
+    """Limits for feature rows; None, the default, is no limit."""
 
-    max_sentence_length: int | None = MAX_SENTENCE_LENGTH
-    max_sentences: int | None = MAX_SENTENCES
-    max_length: int | None = MAX_LENGTH
+    max_sentence_length: int | None = None
+    max_sentences: int | None = None
+    max_length: int | None = None
     chunk_length: int = CHUNK_LENGTH
     seed: int = 42
     epoch: int = 0
@@ -36,7 +36,8 @@ class FeatureConfig:
     slice_positions: bool = False
 
 
-WHOLE = FeatureConfig(max_sentence_length=None, max_sentences=None, max_length=None)
+WHOLE = FeatureConfig()
+LIMITED = FeatureConfig(MAX_SENTENCE_LENGTH, MAX_SENTENCES, MAX_LENGTH)
 
 
 def numbered(df: DataFrame, cfg: FeatureConfig = FeatureConfig(), ids: str = "input_ids") -> DataFrame:

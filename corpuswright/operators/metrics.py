@@ -117,8 +117,9 @@ def average_ranks(values: DataFrame, value: str, weight: str, out: str) -> DataF
     return ranked.select(*values.columns, mean.alias(out))
 
 
-def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman correlation (one row, ``SPEARMAN_CORR``); undefined gives 0.
+def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman and Pearson correlation (one row, ``SPEARMAN_CORR`` and
+    ``PEARSON_CORR``) from one reading of the values; undefined gives 0.
 
     Equal pairs are merged first. Ranks go back to the pairs by a salted join, so
     a value shared by very many pairs is not one task's work.
@@ -138,11 +139,24 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
     n = F.col("_n").cast("double")
     total = pairs.agg(F.sum("_n")).scalar().cast("double")
     middle = (total + F.lit(1.0)) / F.lit(2.0)
-    dx, dy = F.col("_rx") - middle, F.col("_ry") - middle
-    moments = ranked.select((n * dx * dy).alias("xy"), (n * dx * dx).alias("xx"), (n * dy * dy).alias("yy")).agg(
-        F.sum("xy").alias("xy"), F.sum("xx").alias("xx"), F.sum("yy").alias("yy")
+    means = [pairs.agg(F.sum(F.col(v) * n) / F.sum("_n")).scalar() for v in ("_x", "_y")]
+
+    def moments(names: tuple[str, str, str], a, b) -> list[Column]:
+        return [F.sum(n * p * q).alias(k) for k, p, q in zip(names, (a, a, b), (b, a, b))]
+
+    sums = ranked.agg(
+        *moments(("rxy", "rxx", "ryy"), F.col("_rx") - middle, F.col("_ry") - middle),
+        *moments(("xy", "xx", "yy"), F.col("_x") - means[0], F.col("_y") - means[1]),
+    )
+    return sums.select(
+        ratio("rxy", F.sqrt("rxx") * F.sqrt("ryy")).alias("SPEARMAN_CORR"),
+        ratio("xy", F.sqrt("xx") * F.sqrt("yy")).alias("PEARSON_CORR"),
     )
-    return moments.select(ratio("xy", F.sqrt("xx") * F.sqrt("yy")).alias("SPEARMAN_CORR"))
+
+
+def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman correlation (one row, ``SPEARMAN_CORR``); undefined gives 0."""
+    return correlations(df, x, y).select("SPEARMAN_CORR")
 
 
 def pearson(x, y) -> Column:

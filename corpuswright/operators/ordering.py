@@ -9,11 +9,14 @@ spread over many buckets, so no single task sees it whole.
 from __future__ import annotations
 
 import math
+from bisect import bisect_right
 from functools import reduce
 
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_partitions
 
@@ -23,9 +26,13 @@ BUCKET = "_bucket"
 _EXACT = float(2**53)
 
 
-def default_buckets(df: DataFrame, most: int = 8192) -> int:
-    """Enough buckets to spread one hot group over every shuffle partition."""
-    return max(64, min(most, 4 * scratch_partitions(df.sparkSession)))
+ROWS_PER_BUCKET = 1_000_000
+
+
+def default_buckets(df: DataFrame) -> int:
+    """Enough buckets to spread one hot group over every shuffle partition, and to
+    keep the rows of a bucket few however many there are."""
+    return max(64, 4 * scratch_partitions(df.sparkSession), -(-df.count() // ROWS_PER_BUCKET))
 
 
 def hash_buckets(df: DataFrame, draw: str, buckets: int | None = None) -> DataFrame:
@@ -55,18 +62,43 @@ def _bucketed(df: DataFrame, column: str, splits: list[float], out: str) -> Data
     return binned.drop(inner)
 
 
+def _sampled_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Bucket text by bounds from a sample.
+
+    The sample is the values of the smallest hashes, so it is the same in every run.
+    """
+    values = df.select(F.col(column).alias("v")).where("v is not null")
+    sample = values.orderBy(F.xxhash64("v"), "v").limit(16 * buckets)
+    found = sorted(r["v"] for r in sample.collect())  # bounded by the bucket count
+    bounds = sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
+
+    @F.pandas_udf("double")
+    def place(keys: pd.Series) -> pd.Series:
+        return pd.Series([float(bisect_right(bounds, k)) if k is not None else -1.0 for k in keys])
+
+    return df.withColumn(BUCKET, place(F.col(column)))
+
+
 def range_buckets(df: DataFrame, order: list[str], buckets: int | None = None) -> DataFrame:
-    """Bucket by value range of numeric ``order`` columns, by quantiles.
+    """Bucket by value range of the ``order`` columns: numbers by quantiles, text by
+    bounds from a sample, dates and times by their number of microseconds.
 
     The quantiles cost one pass over that column alone. A value of the first
     column that fills several buckets on its own gets a bucket to itself, which is
     then cut further by the second order column.
     """
-    # Quantile sketches grow with the number of buckets.
-    buckets = buckets or default_buckets(df, 2048)
+    buckets = buckets or default_buckets(df)
+    kind = df.schema[order[0]].dataType
+    if isinstance(kind, T.StringType):
+        return _sampled_buckets(df, order[0], buckets)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        moment = F.unix_micros(F.col(order[0]).cast("timestamp"))
+        return range_buckets(df.withColumn("_moment", moment), ["_moment", *order[1:]], buckets).drop("_moment")
+    if not isinstance(kind, T.NumericType):
+        raise TypeError(f"{order[0]} has no order that can be bucketed: {kind.simpleString()}")
     splits, heavy = _quantile_splits(df, order[0], buckets)
     out = _bucketed(df, order[0], splits, BUCKET)
-    if heavy and len(order) > 1:
+    if heavy and len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.NumericType):
         is_heavy = F.col(order[0]).cast("double").isin(heavy)
         finer, _ = _quantile_splits(df, order[1], buckets)
         out = _bucketed(out, order[1], finer, "_finer")

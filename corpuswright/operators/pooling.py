@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,30 +11,31 @@ from ..functions.arrays import add_vectors
 from .skew import small_side
 
 
-def lookup_sum(rows: DataFrame, tables: dict[str, DataFrame], max_rows: int, out: str = "vector") -> DataFrame:
-    """Sum of one vector per id column.
+def lookup_sum(rows: DataFrame, tables: dict[str, DataFrame], max_rows: int, dim: int, out: str = "vector") -> DataFrame:
+    """Sum of one vector per id column; every row stays, and an id without a vector
+    adds nothing.
 
     ``tables`` maps an id column of ``rows`` to a table ``(id, vector)``, one row
-    per id. A table is broadcast when it is counted to have at most ``max_rows``
-    rows and is otherwise joined by shuffle.
+    per id. A table is broadcast when it is found to have at most ``max_rows`` rows
+    and few enough bytes, and is otherwise joined by shuffle. One that serves several
+    columns is looked at, and sent, once.
     """
+    sides = {id(table): small_side(table.select("id", "vector"), max_rows) for table in tables.values()}
+    nothing = F.array_repeat(F.lit(0.0).cast("float"), dim)
     vectors = []
     for column, table in tables.items():
         name = f"_v_{column}"
-        side = small_side(table.select(F.col("id").alias(column), F.col("vector").alias(name)), max_rows)
-        rows = rows.join(side, column)
+        side = sides[id(table)].withColumnsRenamed({"id": "_id", "vector": "_vector"})
+        rows = rows.join(side, F.col(column) == F.col("_id"), "left").drop("_id")
+        rows = rows.withColumn(name, F.coalesce("_vector", nothing)).drop("_vector")
         vectors.append(name)
     return rows.withColumn(out, add_vectors(*vectors)).drop(*vectors)
 
 
-def masked_mean(vector: str, dim: int, keep: Column) -> Column:
-    """Aggregate: entry-wise mean of the vectors where ``keep`` holds.
-
-    One running sum per entry: the group's vectors are never collected, and no
-    row is exploded.
-    """
-    entries = [F.avg(F.when(keep, F.col(vector)[i].cast("double"))) for i in range(dim)]
-    return F.array(*entries)
+def masked_mean(vector: str, keep: Column) -> Column:
+    """Aggregate: entry-wise mean of the vectors where ``keep`` holds, with one running
+    sum per entry whatever the dimension."""
+    return vector_to_array(Summarizer.mean(array_to_vector(F.col(vector)), keep.cast("double")))
 
 
 def first_vector(vector: str, position: str) -> Column:

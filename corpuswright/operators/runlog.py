@@ -39,14 +39,20 @@ def logged_loss(steps: DataFrame, run: str, loss: str, every: int) -> DataFrame:
 
 
 def accumulated_loss(steps: DataFrame, run: str, loss: str, accumulation: int) -> DataFrame:
-    """Sum of the losses of an update's sub-steps, each divided by their number.
+    """Per ``update`` the number of its sub-steps and the sum of their losses, each
+    divided by the accumulation.
 
-    The sub-steps left over at the end of a run make no update.
+    An update that the run does not complete has ``is_update`` False: its sum is still
+    pending at the end. Only a run that is not longer than the accumulation updates at
+    its last step (as in :func:`periodic_marks`).
     """
     updates = steps.groupBy(run, window_of("step", accumulation).alias("update")).agg(
-        F.count(F.lit(1)).alias("_rows"), F.sum(F.col(loss) / F.lit(float(accumulation))).alias("loss")
+        F.count(F.lit(1)).alias("sub_steps"),
+        F.sum(F.col(loss) / F.lit(float(accumulation))).alias("loss"),
+        F.max("last_step").alias("_last"),
     )
-    return updates.where(F.col("_rows") == accumulation).drop("_rows")
+    done = (F.col("sub_steps") == accumulation) | (F.col("_last") <= accumulation)
+    return updates.withColumn("is_update", done).drop("_last")
 
 
 def threshold_gate(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform, uniform_index
 from .ordering import global_index, hash_buckets, order_cuts, range_buckets, union_all
+from .skew import small_side
 
 DRAW = "_u"
 
@@ -25,7 +26,8 @@ def head_fraction(df: DataFrame, key: str, fraction: Column, group: list[str] =
 
     ``fraction`` may depend on the group columns; 1 and more keeps all rows. The
     rows themselves are not shuffled or sorted: the key at the wanted rank is
-    found first, then the rows are filtered against it.
+    found first, then the rows are filtered against it. Keys are unique in a group:
+    rows with the key of the last rank all stay.
     """
     group = list(group)
     keys = df.select(*group, key)
@@ -35,15 +37,11 @@ def head_fraction(df: DataFrame, key: str, fraction: Column, group: list[str] =
     if not group:
         found = cuts.first()  # one row, or none when nothing is kept
         return df.where(F.col(key) <= F.lit(found["cut"][key]) if found else F.lit(False))
-    limits = cuts.select(*group, F.col(f"cut.{key}").alias("_limit"))
+    # One row per group; broadcast if that is small, so that no data row moves.
+    limits = small_side(cuts.select(*group, F.col(f"cut.{key}").alias("_limit")))
     return df.join(limits, group).where(F.col(key) <= F.col("_limit")).drop("_limit")
 
 
-def select_prefix(indexed: DataFrame, size: int, index: str = "idx") -> DataFrame:
-    """Rows whose 0-based index is below ``size``."""
-    return indexed.where(F.col(index) < size)
-
-
 def shuffle_order(df: DataFrame, key: str, seed: int = 42) -> DataFrame:
     """Rows with their 1-based ``position`` after a seeded shuffle."""
     drawn = hash_buckets(_with_draw(df, seed, "shuffle", key), DRAW)
@@ -119,13 +117,13 @@ def train_subset(train: DataFrame, key: str, size: int, seed: int = 42) -> DataF
     return labelled.where(F.col("split") == "kept").drop("split")
 
 
-def draws_with_replacement(df: DataFrame, key: str, max_documents: int, seed: int = 42) -> DataFrame:
-    """``min(max_documents, n)`` uniform draws: columns ``draw``, then the row.
+def draws_with_replacement(df: DataFrame, key: str, max_documents: int | None = None, seed: int = 42) -> DataFrame:
+    """``n`` uniform draws, or ``max_documents`` if that is less: columns ``draw``, then the row.
 
     Keys are ranked on their own; whole rows are fetched for the drawn keys only.
     """
     n = df.count()
-    size = min(max_documents, n)
+    size = n if max_documents is None else min(max_documents, n)
     draws = df.sparkSession.range(size).select(
         F.col("id").alias("draw"), uniform_index(uniform(seed, "draw", "id"), F.lit(n)).alias("idx")
     )

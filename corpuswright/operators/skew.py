@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..session import scratch_partitions
 
 MAX_BROADCAST_ROWS = 100_000
-
-
-def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint, given only after counting that at most ``max_rows`` rows
-    are there. A larger table goes unhinted to a shuffle join."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df
+MAX_BROADCAST_BYTES = 64 << 20
+
+
+def _bytes(column: Column, kind: T.DataType) -> Column:
+    """About how much memory a value takes."""
+    if isinstance(kind, T.ArrayType):
+        each = kind.elementType
+        if isinstance(each, (T.ArrayType, T.StringType, T.BinaryType, T.StructType)):
+            inner = F.aggregate(column, F.lit(0).cast("bigint"), lambda total, x: total + _bytes(x, each).cast("bigint"))
+            return F.coalesce(inner, F.lit(0)) + 16
+        return F.coalesce(F.size(column), F.lit(0)) * 8 + 16
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(column), F.lit(0)) + 16
+    return F.lit(16)
+
+
+def small_side(df: DataFrame, max_rows: int = MAX_BROADCAST_ROWS, max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint, given only after finding that at most ``max_rows`` rows and
+    about ``max_bytes`` bytes are there. A larger table goes unhinted to a shuffle
+    join."""
+    size = F.lit(0).cast("bigint")
+    for f in df.schema.fields:
+        size = size + _bytes(F.col(f.name), f.dataType).cast("bigint")
+    found = df.limit(max_rows + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
+    return F.broadcast(df) if found["n"] <= max_rows and found["b"] <= max_bytes else df
 
 
 def salted_lookup(

@@ -12,7 +12,7 @@ from ..constants import MIN_FREQUENCY, VOCAB_SIZE
 from ..functions.text import MARKED_WORD, SENTENCE, WORD, segments
 from ..operators.encode import encode_words, piece_counts, word_vocabulary
 from ..operators.sampling import concat_corpora, head_fraction, make_splits, train_subset
-from ..session import materialized, spread
+from ..session import materialized
 from ..sources.corpus import cached, file_state, prune, require_sizes
 
 
@@ -44,7 +44,7 @@ def encoded_documents(
     docs = spark.read.parquet(path)
 
     def build() -> DataFrame:
-        texts = spread(docs.select(key, "text"))
+        texts = docs.select(key, "text")
         vocabulary = word_vocabulary(piece_counts(texts), vocab_size, min_frequency)
         return encode_words(texts, segments(["text"], True), vocabulary).select(key, "input_ids")
 

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import IGNORE, UNK
+from ..constants import DISCRIMINATOR_FACTOR, IGNORE, MAX_SENTENCE_LENGTH, MAX_SENTENCES, VOCAB_SIZE
 from ..functions import arrays as A
 from ..functions import scores as S
 from ..functions import text as T
@@ -18,7 +18,8 @@ from ..operators import features as X
 from ..operators import sampling as P
 from ..operators.ordering import union_all
 from ..operators.rollup import path_rollup
-from ..session import local_table, materialized, scratch_partitions, scratch_path, spread
+from ..operators.skew import small_side
+from ..session import local_table, materialized, scratch_partitions, scratch_path
 from ..sources import catalog as C
 from ..sources import corpus as R
 from ..sources import ledger as L
@@ -36,9 +37,9 @@ SENTENCE_PROBABILITY = 0.2
 TEMPERATURE = 0.5
 LOG_EVERY, EVALUATE_EVERY, SAVE_EVERY, ACCUMULATION = 5, 10, 20, 4
 GATE_THRESHOLD = 50.0
-VECTOR_DIM, CLASSES = 64, 10
-BPE_MERGES = 64
-WORD_MERGES = 32
+VECTOR_DIM = CLASSES = 64
+PREPARED_VALIDATION, PREPARED_TEST = 20, 10
+CHECKED_SENTENCES = CHECKED_LENGTH = 16
 RATIOS = [0.25, 0.5, 0.75, 1.0]
 SOURCES = [f"src{i}" for i in range(20)]
 
@@ -54,7 +55,7 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
     """The documents for work on their text."""
-    return spread(table(spark, sf, "documents").select("doc_id", "text"))
+    return table(spark, sf, "documents").select("doc_id", "text")
 
 
 def this_run(spark: SparkSession) -> dict:
@@ -209,7 +210,7 @@ def shuffle_order(spark, sf):
 def draws_with_replacement(spark, sf):
     """SMP-6, JOIN-1."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    return P.draws_with_replacement(docs, "doc_id", 100_000).select("draw", "doc_id", "source", "n_chars")
+    return P.draws_with_replacement(docs, "doc_id").select("draw", "doc_id", "source", "n_chars")
 
 
 @query
@@ -234,19 +235,26 @@ def union_corpora(spark, sf):
 
 @query
 def prepared_splits(spark, sf):
-    """SRC-5, PRJ-2..4, JOIN-3, SET-2. The whole preparation of two corpora, the
-    English documents being ``train`` and the others validation and test."""
+    """SRC-5, PRJ-2..4, JOIN-3, SET-2. The whole preparation of two corpora: the first
+    part of every split of the labelled documents, and the benchmark's texts. Validation
+    and test are cut from what both give to train, and only the rows that are left are
+    encoded."""
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     labelled = docs.join(labels, "doc_id", "left").withColumn(
         "split", F.when(F.col("lang") == "en", "train").otherwise(F.col("lang"))
     )
+    bench = table(spark, sf, "benchmark").withColumn("split", F.lit("train"))
     first = Corpus("documents", None, labelled, "doc_id", validation_splits=("de", "fr"), test_splits=("es",),
                    fraction=0.75)
-    encoding = encoded(spark, sf)
-    out = make_datasets([first], lambda rows, _: rows.join(encoding, "doc_id"), train_size=TRAIN_SIZE)
+    second = Corpus("benchmark", None, bench, "item_id")
+    vocabulary = materialized(E.word_vocabulary(E.piece_counts(docs)))
+    out = make_datasets(
+        [first, second], lambda rows, _: E.encode_words(rows, T.sentences("text"), vocabulary),
+        PREPARED_VALIDATION, PREPARED_TEST, TRAIN_SIZE,
+    )
     return out.select(
-        F.col("key").cast("bigint").alias("doc_id"), "split", F.col("label").cast("int").alias("label"),
+        "corpus_ord", F.col("key").cast("bigint").alias("key"), "split", F.col("label").cast("int").alias("label"),
         F.size(F.flatten("input_ids")).cast("bigint").alias("n_tokens"),
     )
 
@@ -343,13 +351,14 @@ def vector_sums(frame: DataFrame, *others) -> DataFrame:
 @query
 def feature_rows(spark, sf):
     """ARR-1..4, WIN-5, FLT-1."""
-    return vector_sums(X.features(encoded(spark, sf), "doc_id", X.FeatureConfig(max_length=None)))
+    limits = X.FeatureConfig(MAX_SENTENCE_LENGTH, MAX_SENTENCES)
+    return vector_sums(X.features(encoded(spark, sf), "doc_id", limits))
 
 
 @query
 def segment_pick(spark, sf):
     """SMP-7, ARR-5."""
-    feats = X.features(encoded(spark, sf), "doc_id")
+    feats = X.features(encoded(spark, sf), "doc_id", X.LIMITED)
     return vector_sums(feats, F.col("offset").cast("bigint").alias("start"))
 
 
@@ -388,9 +397,14 @@ def resume_batches(spark, sf):
 
 @query
 def feature_checks(spark, sf):
-    """CHK-2."""
-    feats = X.features(encoded(spark, sf), "doc_id")
-    return feats.agg(*X.feature_violations(X.FeatureConfig(), max_position=512))
+    """CHK-2. Rows before they are cut, against narrow limits; short rows are made to
+    lack a vector, and rows of even length to have one that is too short."""
+    size = F.size("input_ids")
+    feats = whole(spark, sf).withColumns({
+        "position_ids": F.when(size >= CHECKED_LENGTH, F.col("position_ids")),
+        "sequence_ids": F.when(size % 2 == 1, F.col("sequence_ids")).otherwise(F.slice("sequence_ids", F.lit(2), size)),
+    })
+    return feats.agg(*X.feature_violations(X.FeatureConfig(CHECKED_LENGTH, CHECKED_SENTENCES)))
 
 
 # --- corruption ------------------------------------------------------------
@@ -441,26 +455,38 @@ def rtd_labels(spark, sf):
 
 @query
 def masked_accuracy(spark, sf):
-    """AGG-7."""
-    sums = metrics.masked_accuracy(corrupted(spark, sf))
-    return sums.select(
+    """AGG-7. The sampled tokens, and the most likely one (of equals the lowest id)
+    at every masked position."""
+    docs = whole(spark, sf)
+    likely = proposal(docs)
+    best = likely.orderBy(F.desc("n"), "id").first()["id"]
+    out = corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(likely))
+    out = materialized(out.withColumn("argmax_input_ids", A.where("masked", best, "input_ids")))
+    sampled = metrics.masked_accuracy(out).select(
         F.col("selected").cast("bigint").alias("selected"), F.col("replaced").cast("bigint").alias("replaced"),
-        rounded("mlm_accuracy", 9).alias("mlm_accuracy"), rounded("replaced_accuracy", 9).alias("replaced_accuracy"),
+        rounded("mlm_accuracy", 9).alias("sampled_mlm_accuracy"), rounded("replaced_accuracy", 9).alias("replaced_accuracy"),
     )
+    argmax = metrics.masked_accuracy(out, "argmax_input_ids").select(rounded("mlm_accuracy", 9).alias("mlm_accuracy"))
+    return one_row([sampled, argmax])
 
 
-def scored_tokens(spark, sf) -> DataFrame:
-    """One row per scored token: ``doc_id``, ``label`` and the stand-in logit,
-    which is higher for rarer tokens."""
+def scored_documents_of(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Corrupted documents, and per token of the vocabulary the stand-in logit of being
+    a fake, which is higher for rarer tokens, and its loss as the generator's target."""
     docs = whole(spark, sf)
-    frequencies = proposal(docs)
+    frequencies = materialized(proposal(docs))
     out = corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(frequencies))
+    total = frequencies.agg(F.sum("n")).scalar().cast("double")
+    n = F.col("n").cast("double")
+    return out, small_side(frequencies.select("id", (F.lit(5.0) - F.ln(n)).alias("logit"), (-F.ln(n / total)).alias("surprise")))
+
+
+def scored_tokens(spark, sf) -> DataFrame:
+    """One row per scored token: ``doc_id``, ``label`` and the stand-in logit."""
+    out, logits = scored_documents_of(spark, sf)
     pairs = F.arrays_zip(F.col("sampled_input_ids").alias("id"), F.col("labels_at_token_level").alias("label"))
     rows = out.select("doc_id", F.explode(pairs).alias("t")).select("doc_id", "t.id", "t.label")
-    kept = rows.where(metrics.kept("label"))
-    # One row per vocabulary entry.
-    logits = frequencies.select("id", (F.lit(5.0) - F.ln(F.col("n").cast("double"))).alias("logit"))
-    return kept.join(F.broadcast(logits), "id").select("doc_id", "label", "logit")
+    return rows.where(metrics.kept("label")).join(logits, "id").select("doc_id", "label", "logit")
 
 
 @query
@@ -477,20 +503,37 @@ def rtd_metrics(spark, sf):
 
 @query
 def eval_loss_means(spark, sf):
-    """AGG-9, AGG-10. Batch means first; a batch has at most BATCH documents."""
-    tokens = scored_tokens(spark, sf)
-    per_doc = tokens.groupBy("doc_id").agg(
-        F.sum(S.bce_with_logits("logit", "label")).alias("s"), F.count(F.lit(1)).alias("n")
-    )
+    """AGG-9, AGG-10, AGG-13. The generator's, the discriminator's, its token-level and the
+    combined loss. Batch means first; a batch has at most BATCH documents."""
+    out, logits = scored_documents_of(spark, sf)
+    cells = F.arrays_zip(
+        F.col("sampled_input_ids").alias("id"), F.col("labels_at_token_level").alias("label"),
+        F.col("labels_generator").alias("target"),
+    )
+    rows = materialized(out.select("doc_id", F.explode(cells).alias("t")).select("doc_id", "t.id", "t.label", "t.target"))
+    tokens = rows.where(metrics.kept("label")).join(logits, "id")
+    masked = rows.where(metrics.kept("target")).drop("id").withColumnRenamed("target", "id").join(logits, "id")
+    per_doc = union_all([
+        tokens.groupBy("doc_id").agg(F.sum(S.bce_with_logits("logit", "label")).alias("s"), F.count(F.lit(1)).alias("n")),
+        masked.groupBy("doc_id").agg(F.sum("surprise").alias("gs"), F.count(F.lit(1)).alias("gn")),
+    ])
     docs = table(spark, sf, "documents").select("doc_id")
     batches = (
         X.assign_batches(docs, "doc_id", BATCH).join(per_doc, "doc_id", "left").groupBy("batch_id")
-        .agg(S.ratio(F.sum("s"), F.sum("n")).alias("loss"), F.count(F.lit(1)).alias("n_docs"))
+        .agg(
+            S.ratio(F.sum("s"), F.sum("n")).alias("discriminant_token_loss"),
+            S.ratio(F.sum("gs"), F.sum("gn")).alias("generator_loss"),
+            F.count_distinct("doc_id").alias("n_docs"),
+        )
+        # Tokens are all that the discriminator judges here.
+        .withColumn("discriminant_loss", F.col("discriminant_token_loss"))
+        .withColumn("loss", losses.combined_loss("generator_loss", "discriminant_loss", DISCRIMINATOR_FACTOR))
     )
+    names = ["loss", "generator_loss", "discriminant_loss", "discriminant_token_loss"]
     return batches.agg(
         F.sum("n_docs").alias("n_docs"),
-        rounded(metrics.evaluation_loss(batches, "loss", "n_docs")).alias("loss"),
-        rounded(metrics.evaluation_loss(batches, "loss", "n_docs", compat=True)).alias("loss_compat"),
+        *[rounded(metrics.evaluation_loss(batches, c, "n_docs"), 5).alias(c) for c in names],
+        *[rounded(metrics.evaluation_loss(batches, c, "n_docs", compat=True), 5).alias(f"{c}_compat") for c in names],
     )
 
 
@@ -501,6 +544,7 @@ def scored_documents(spark, sf) -> DataFrame:
     """Labelled documents with a stand-in logit from their length."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "lang", "n_chars")
     joined = docs.join(table(spark, sf, "labels"), "doc_id")
+    joined = R.require_labels(R.require_labels(joined, "quality"), "toxic")
     return joined.withColumn("logit", F.col("n_chars").cast("double") / F.lit(1000.0) - F.lit(2.0))
 
 
@@ -534,8 +578,10 @@ def correlations(spark, sf):
         ("quality", docs, "n_chars", "quality"),
         ("words", words, "n_chars", "n_words"),
     ):
-        both = one_row([metrics.spearman(frame, x, y), frame.agg(metrics.pearson(x, y).alias("r"))])
-        out.append(both.select(F.lit(name).alias("pair"), rounded("SPEARMAN_CORR", 9).alias("spearman"), rounded("r", 9).alias("pearson")))
+        both = metrics.correlations(frame, x, y)
+        out.append(both.select(
+            F.lit(name).alias("pair"), rounded("SPEARMAN_CORR", 9).alias("spearman"), rounded("PEARSON_CORR", 9).alias("pearson")
+        ))
     return union_all(out)
 
 
@@ -596,18 +642,23 @@ def source_ledger(spark, sf) -> DataFrame:
 
 @query
 def metric_ledger(spark, sf):
-    """SRC-8, SRC-10, SORT-1, STR-6, STR-7. Written, read back, put in display
-    order by a number per metric name."""
+    """SRC-8, SRC-10, SORT-1, STR-6, STR-7. Written, read back; every metric with its
+    place in the display order of its run, and the configuration in its order."""
     path = scratch_path(spark, "ledger")
-    config = {"learning_rate": 0.0005, "fp16": True, "num_hidden_layers": 12}
+    config = {"fp16": True, "num_hidden_layers": 12, "learning_rate": 0.0005}
     rows = source_ledger(spark, sf).withColumn("config", L.config_map(config))
     L.append(rows, path)
     stored = L.read(spark, path)
-    sanitized = F.concat_ws(",", *[F.element_at("config", k) for k in config])
-    first = F.when(F.contains("metric", F.lit("AUC")), 0).otherwise(1)
-    return stored.orderBy("run", *L.metric_order()).select(
-        "run", "step", "metric", rounded("value", 9).alias("value"), sanitized.alias("config"),
-        first.alias("display_group"), L.config_json(run=F.col("run"), metric=F.col("metric")).alias("json"),
+    place = F.row_number().over(Window.partitionBy("run").orderBy(*L.metric_order())).alias("position")
+    entries = stored.select("run", "metric", F.explode("config").alias("key", "entry"))
+    key_place = F.row_number().over(Window.partitionBy("run", "metric").orderBy(*L.config_order("key")))
+    ordered = F.sort_array(F.collect_list(F.struct("_k", F.concat_ws("=", "key", "entry").alias("e"))))
+    shown = entries.withColumn("_k", key_place).groupBy("run", "metric").agg(
+        F.array_join(F.transform(ordered, lambda x: x["e"]), ",").alias("config")
+    )
+    return stored.select("run", "step", "metric", "value", place).join(shown, ["run", "metric"]).select(
+        "run", "step", "metric", rounded("value", 9).alias("value"), "config", "position",
+        L.config_json(run=F.col("run"), metric=F.col("metric")).alias("json"),
     )
 
 
@@ -629,34 +680,25 @@ def macro_score(spark, sf):
 def conversation_vectors(spark, sf) -> DataFrame:
     """Padded token rows of conversations with their summed vectors.
 
-    A conversation's turns are its sentences. Only the first 128 are used by the
-    features, so no more are gathered per conversation.
+    A conversation is a document and its turns are its segments.
     """
     turns = table(spark, sf, "conversations")
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector"))
-    n_vecs = vecs.count()
     vocabulary = E.word_vocabulary(E.piece_counts(turns))
-    cfg = X.FeatureConfig()
-    first = turns.where(F.col("turn") < cfg.max_sentences)
-    per_turn = E.encode_words(first, F.array("text"), vocabulary)
-    nested = F.transform(
-        F.sort_array(F.collect_list(F.struct("turn", F.flatten("input_ids").alias("ids")))), lambda x: x["ids"]
-    )
-    docs = per_turn.groupBy("conv_id").agg(nested.alias("input_ids"))
-    batches = X.collate(docs, "conv_id", BATCH, cfg)
-    # Ids without a vector count as unknown.
+    in_order = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    docs = turns.groupBy("conv_id").agg(F.transform(in_order, lambda x: x["text"]).alias("segs"))
+    batches = X.collate(E.encode_words(docs, "segs", vocabulary).drop("segs"), "conv_id", BATCH)
     vectors = F.arrays_zip(
-        F.transform("input_ids", lambda x: F.when(x < n_vecs, x).otherwise(F.lit(UNK))).alias("token"),
-        F.col("position_ids").alias("position"), F.col("sequence_ids").alias("sequence"),
+        F.col("input_ids").alias("token"), F.col("position_ids").alias("position"), F.col("sequence_ids").alias("sequence")
     )
     rows = batches.select("conv_id", F.posexplode(vectors).alias("pos", "t"))
     rows = rows.select("conv_id", "pos", "t.token", "t.position", "t.sequence")
-    return pooling.lookup_sum(rows, dict.fromkeys(("token", "position", "sequence"), vecs), max_rows=30_522)
+    return pooling.lookup_sum(rows, dict.fromkeys(("token", "position", "sequence"), vecs), VOCAB_SIZE, VECTOR_DIM)
 
 
-def by_dimension(frame: DataFrame, key: str, vector: str, digits: int = 5) -> DataFrame:
-    rows = frame.select(key, F.posexplode(vector).alias("dim", "value"))
-    return rows.select(key, "dim", rounded(F.col("value").cast("double"), digits).alias("value"))
+def by_dimension(frame: DataFrame, keys: list[str], vector: str, digits: int = 5) -> DataFrame:
+    rows = frame.select(*keys, F.posexplode(vector).alias("dim", "value"))
+    return rows.select(*keys, "dim", rounded(F.col("value").cast("double"), digits).alias("value"))
 
 
 @query
@@ -673,15 +715,16 @@ def vector_lookup_sum(spark, sf):
 def mean_pool(spark, sf):
     """AGG-16, FLT-4. Mean vector of the tokens that are not padding."""
     rows = conversation_vectors(spark, sf)
-    mean = pooling.masked_mean("vector", VECTOR_DIM, F.col("token") != 0)
-    return by_dimension(rows.groupBy("conv_id").agg(mean.alias("pooled")), "conv_id", "pooled")
+    mean = pooling.masked_mean("vector", F.col("token") != 0)
+    return by_dimension(rows.groupBy("conv_id").agg(mean.alias("pooled")), ["conv_id"], "pooled")
 
 
 @query
 def first_vector(spark, sf):
-    """ARR-16."""
-    rows = conversation_vectors(spark, sf)
-    return by_dimension(rows.groupBy("conv_id").agg(pooling.first_vector("vector", "pos").alias("v")), "conv_id", "v")
+    """ARR-16. The first vector of every turn."""
+    rows = conversation_vectors(spark, sf).where("sequence > 0")
+    keys = ["conv_id", "sequence"]
+    return by_dimension(rows.groupBy(*keys).agg(pooling.first_vector("vector", "pos").alias("v")), keys, "v")
 
 
 @query
@@ -733,7 +776,7 @@ def periodic_marks(spark, sf):
 def loss_accumulation(spark, sf):
     """AGG-21."""
     out = runlog.accumulated_loss(steps(spark, sf), "run", "value", ACCUMULATION)
-    return out.select("run", "update", rounded("loss").alias("loss"))
+    return out.select("run", "update", "sub_steps", "is_update", rounded("loss").alias("loss"))
 
 
 # --- subwords --------------------------------------------------------------
@@ -743,24 +786,33 @@ def text_options(spark, sf, **options) -> dict:
     return {"files": R.file_state(table(spark, sf, "documents")), **this_run(spark), **options}
 
 
+def once_a_document(spark, sf) -> int:
+    """Frequency that a merge must have here: once for every document, on average."""
+    return max(2, table(spark, sf, "documents").count())
+
+
 def document_vocabulary(spark, sf) -> bpe.Vocabulary:
-    size = bpe.FIRST_MERGE_ID + BPE_MERGES
-    name = V.artefact_name("ByteLevelBPETokenizer", size, 2)
+    least = once_a_document(spark, sf)
+    name = V.artefact_name("ByteLevelBPETokenizer", VOCAB_SIZE, least)
     return V.trained(
-        spark, name, text_options(spark, sf), lambda: bpe.learn(bpe.pretoken_counts(documents(spark, sf)), size)
+        spark, name, text_options(spark, sf),
+        lambda: bpe.learn(bpe.pretoken_counts(documents(spark, sf)), VOCAB_SIZE, least),
     )
 
 
 @query
 def bpe_learn(spark, sf):
-    """AGG-19, SRC-7. Merges learned from all documents."""
-    return document_vocabulary(spark, sf).merge_table(spark)
+    """AGG-19, SRC-7, STR-4. All merges up to the vocabulary size that are frequent
+    enough, learned from all documents."""
+    return document_vocabulary(spark, sf).merge_table(spark).select("rank", "left_id", "right_id", "id")
 
 
 def word_merges(spark, sf) -> bpe.Vocabulary:
-    size = bpe.FIRST_MERGE_ID + WORD_MERGES
-    options = text_options(spark, sf, pieces="words", size=size)
-    return V.trained(spark, "words", options, lambda: bpe.learn(E.piece_counts(documents(spark, sf)), size))
+    least = once_a_document(spark, sf)
+    options = text_options(spark, sf, pieces="words", size=VOCAB_SIZE, least=least)
+    return V.trained(
+        spark, "words", options, lambda: bpe.learn(E.piece_counts(documents(spark, sf)), VOCAB_SIZE, least)
+    )
 
 
 @query
@@ -772,11 +824,7 @@ def bpe_learn_words(spark, sf):
 @query
 def bpe_encode_words(spark, sf):
     """STR-3, JOIN-4 with plain words as pieces."""
-    docs = documents(spark, sf)
-    segs = T.sentences("text")
-    counts = bpe.marked_piece_counts(docs, segs, T.MARKED_WORD)
-    dictionary = materialized(bpe.encode_dictionary(counts, word_merges(spark, sf)))
-    ids = E.encode_pieces(docs, ["doc_id"], segs, dictionary, T.MARKED_WORD)
+    ids = bpe.encode(documents(spark, sf), ["doc_id"], T.sentences("text"), word_merges(spark, sf), T.MARKED_WORD)
     return ids.select(
         "doc_id", F.size(F.flatten("input_ids")).cast("bigint").alias("n_tokens"),
         A.weighted_checksum(F.flatten("input_ids")).alias("checksum"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -24,6 +25,9 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Small inputs are split finely enough to use all cores.
+        .config("spark.sql.files.maxPartitionBytes", "2m")
+        .config("spark.sql.files.openCostInBytes", "256k")
         .getOrCreate()
     )
 
@@ -31,14 +35,14 @@ def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: s
 def shared_folder(spark: SparkSession) -> str:
     """Folder that survives the loss of an executor.
 
-    It is the one the cluster names in ``spark.checkpoint.dir``. Only a local
-    session without that setting gets a fresh temporary folder.
+    It is the one the cluster names in ``spark.checkpoint.dir``. Only a session of one
+    machine (``local[...]``) without that setting gets a fresh temporary folder.
     """
     named = spark.conf.get(CHECKPOINT_SETTING, None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError(f"set {CHECKPOINT_SETTING} to a folder that every executor can reach")
     app = context.applicationId
     if app not in _local_folders:
@@ -58,10 +62,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate results. Frames made from them can
     no longer be read."""
-    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(
-        shared_path(spark, "scratch", spark.sparkContext.applicationId)
-    )
-    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+    delete_path(spark, shared_path(spark, "scratch", spark.sparkContext.applicationId))
 
 
 def materialized(df: DataFrame) -> DataFrame:
@@ -75,6 +76,26 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that :func:`materialized` has written and nobody reads again."""
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        if "/corpuswright/scratch/" in path:
+            delete_path(df.sparkSession, path)
+
+
+def publish(spark: SparkSession, half: str, path: str) -> None:
+    """Give a complete folder its final name, unless another job has done so before."""
+    here, there = (spark._jvm.org.apache.hadoop.fs.Path(p) for p in (half, path))
+    files = here.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if files.exists(there) or not files.rename(here, there):
+        files.delete(here, True)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """Small fixed table whose size the optimizer knows."""
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
@@ -84,15 +105,6 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | s
     return spark.createDataFrame(pa.Table.from_arrays(columns, names=schema.names), schema)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for a scan that has fewer splits than there are cores.
-
-    A large scan has many more splits and is returned as it is.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def path_exists(spark: SparkSession, path: str) -> bool:
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     return jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(jvm_path)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,8 +81,12 @@ def lookup(entries: DataFrame, name: str, subset: str | None = None) -> DataFram
 
 
 def resolve(specs: DataFrame, entries: DataFrame, spec: str = "spec") -> DataFrame:
-    """Null-safe lookup of many specs at once; unmatched specs keep null columns."""
+    """Null-safe lookup of many specs at once; unmatched specs keep null columns. Two
+    entries for one spec are an error, as in :func:`lookup`."""
     parsed = specs.withColumn("_p", parse_spec(spec))
+    n = F.count(F.lit(1)).over(Window.partitionBy("name", "subset"))
+    twice = F.raise_error(F.lit("more than one catalogue entry for a spec")).cast("string")
+    entries = entries.withColumn("_n", n).withColumn("name", F.when(F.col("_n") == 1, F.col("name")).otherwise(twice)).drop("_n")
     known = entries.withColumnsRenamed({"name": "_name", "subset": "_subset"})
     match = (F.col("_p.name") == F.col("_name")) & F.col("_p.subset").eqNullSafe(F.col("_subset"))
     return parsed.join(known, match, "left").drop("_name", "_subset").withColumns(

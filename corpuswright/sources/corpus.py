@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..session import path_exists, shared_path
+from ..session import path_exists, publish, shared_path
 
 
 def scan(spark: SparkSession, name_or_path: str) -> DataFrame:
@@ -37,25 +38,28 @@ def require_labels(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def file_state(df: DataFrame) -> str:
-    """Digest of the files behind a scan: number, sizes and newest change."""
-    files = df.select(
-        F.col("_metadata.file_path").alias("p"),
-        F.col("_metadata.file_size").alias("s"),
-        F.col("_metadata.file_modification_time").alias("m"),
-    ).distinct()
-    row = files.agg(
-        F.count(F.lit(1)), F.sum("s"), F.max("m").cast("string"), F.bit_xor(F.xxhash64("p", "s", "m"))
-    ).first()
-    return hashlib.sha256(repr(tuple(row)).encode()).hexdigest()
+    """Digest of the files behind a scan: names, sizes and times of change, from the
+    file system's listing; no row is read."""
+    spark = df.sparkSession
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    state = []
+    for name in sorted(df.inputFiles()):
+        path = spark._jvm.org.apache.hadoop.fs.Path(spark._jvm.java.net.URI(name))
+        status = path.getFileSystem(conf).getFileStatus(path)
+        state.append((name, status.getLen(), status.getModificationTime()))
+    return hashlib.sha256(repr(state).encode()).hexdigest()
 
 
 def cache_path(spark: SparkSession, name: str, subset: str | None, options: dict) -> str:
     """``<shared>/data/<name>-<subset>-<digest>.cache``; the digest covers every
     option that changes the rows, the vocabulary included, and this package's
-    version."""
+    version. With the option ``run`` set to this application's id the cache is one of
+    its intermediate results, and goes with them."""
     keyed = json.dumps([__version__, options], sort_keys=True)
     digest = hashlib.sha256(keyed.encode()).hexdigest()[:16]
-    return shared_path(spark, "data", f"{name}-{subset}-{digest}.cache")
+    app = spark.sparkContext.applicationId
+    where = ("scratch", app, "data") if options.get("run") == app else ("data",)
+    return shared_path(spark, *where, f"{name}-{subset}-{digest}.cache")
 
 
 def cached(
@@ -63,13 +67,14 @@ def cached(
 ) -> DataFrame:
     """Prepared corpus: read if it was written before, else built and written.
 
-    A folder without its success mark is left over from a failed write and is
-    written anew.
+    It is written under a name of its own and then renamed, so a folder with the final
+    name is complete, and two jobs cannot write into each other's.
     """
     path = cache_path(spark, name, subset, options)
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        mode = "overwrite" if path_exists(spark, path) else "errorifexists"
-        build().write.mode(mode).parquet(path)
+    if not path_exists(spark, path):
+        half = f"{path}.part-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").parquet(half)
+        publish(spark, half, path)
     return spark.read.parquet(path)
 
 

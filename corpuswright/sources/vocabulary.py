@@ -9,15 +9,16 @@ from pyspark.sql import SparkSession
 
 from ..constants import SPECIAL_TOKENS
 from ..operators.bpe import Vocabulary
-from ..session import path_exists
+from ..session import path_exists, publish
 from .corpus import cache_path
 
+# Fixed value: the name under which users know the algorithm.
 ALGORITHMS = ("ByteLevelBPETokenizer",)
 
 
 def artefact_name(algorithm: str, vocab_size: int, min_frequency: int) -> str:
     if algorithm not in ALGORITHMS:
-        raise NotImplementedError(f"algorithm {algorithm} is not covered")
+        raise NotImplementedError(f"only {', '.join(ALGORITHMS)} can be learned here")
     return f"{algorithm}-vocab_size={vocab_size}-min_frequency={min_frequency}"
 
 
@@ -44,15 +45,15 @@ def trained(
     """Stored vocabulary for these options, trained and stored if there is none.
 
     ``options`` should cover the text (for instance by its files' state) and all
-    training parameters. A first folder whose tables are not both complete is
-    passed over.
+    training parameters. It is written under a name of its own and then renamed, so a
+    folder with the final name is complete, and of two jobs the first one wins.
     """
     folder = cache_path(spark, "vocabulary", name, options)
-    if path_exists(spark, f"{folder}/merges/_SUCCESS") and path_exists(spark, f"{folder}/vocab/_SUCCESS"):
+    if path_exists(spark, folder):
         return load(spark, folder)
     vocabulary = train()
-    if path_exists(spark, folder):
-        folder = f"{folder}-{uuid.uuid4().hex}"
-    parent, _, last = folder.rpartition("/")
+    half = f"{folder}.part-{uuid.uuid4().hex}"
+    parent, _, last = half.rpartition("/")
     save(spark, vocabulary, parent, last)
+    publish(spark, half, folder)
     return vocabulary

@@ -2,6 +2,7 @@
 
 import json
 import tempfile
+import time
 import uuid
 
 import pytest
@@ -13,8 +14,9 @@ from corpuswright.functions import text as T
 from corpuswright.operators import bpe
 from corpuswright.operators import encode as E
 from corpuswright.sources import vocabulary as V
+from corpuswright.sources.corpus import cache_path
 
-MERGES = 120
+MERGES = 1500
 ODD = ["x  <PAD> y!<SEP>?? <MASK>\n\n <BOS>z <PA <UNK>", "it's  we'll ok 　 ź 1½ ", "", "\n\n\n a\tb  \n"]
 
 
@@ -64,16 +66,11 @@ def test_same_merges_and_vocabulary(judge, learned):
 
 
 def test_batches_equal_one_merge_at_a_time(spark, frame, learned, monkeypatch):
-    monkeypatch.setattr(bpe, "_independent_prefix", lambda rows, complete, approx: rows[:1])
+    monkeypatch.setattr(bpe, "_independent_prefix", lambda rows: [rows[0][:2]])
     single = bpe.learn(bpe.pretoken_counts(frame), bpe.FIRST_MERGE_ID + 30)
     assert single.merges == learned.merges[:30]
 
 
-def test_approximate_learning_fills_the_vocabulary(frame):
-    out = bpe.learn(bpe.pretoken_counts(frame), bpe.FIRST_MERGE_ID + 200, approx=True)
-    assert len(out.tokens) == bpe.FIRST_MERGE_ID + 200 and len(set(out.tokens)) == len(out.tokens)
-
-
 def test_minimum_frequency_stops_learning(spark):
     counts = spark.createDataFrame([("ab", 5), ("cd", 1)], "piece string, n bigint")
     assert len(bpe.learn(counts, 1000, min_frequency=2).merges) == 1
@@ -91,6 +88,19 @@ def test_encode_and_decode(spark, texts, judge, learned):
         assert back[i] == f"<BOS>{t}<SEP>".split("<PAD>")[0]
 
 
+def test_a_long_piece_takes_little_time():
+    ranks = {(i, i + 1): (i, 100_000 + i) for i in range(0, 8000, 2)}
+    start = time.perf_counter()
+    assert bpe.merge_ids(list(range(8000)), ranks) == list(range(100_000, 108_000, 2))
+    assert time.perf_counter() - start < 0.5
+
+
+def test_encoding_is_a_map(spark, learned):
+    df = spark.createDataFrame([(1, "a b")], "doc_id bigint, text string")
+    plan = bpe.encode(df, ["doc_id"], F.array("text"), learned)._jdf.queryExecution().toString()
+    assert "Exchange" not in plan
+
+
 def test_store_and_load(spark, learned, tmp_path):
     name = V.artefact_name("ByteLevelBPETokenizer", 30522, 2)
     assert name == "ByteLevelBPETokenizer-vocab_size=30522-min_frequency=2"
@@ -119,7 +129,7 @@ def test_word_encoding_equals_a_join(spark, documents):
 def test_an_unbounded_vocabulary_is_refused(spark, documents):
     vocabulary = E.word_vocabulary(E.piece_counts(documents), vocab_size=100)
     with pytest.raises(ValueError):
-        E.encode_words(documents, T.sentences("text"), vocabulary, limit=50)
+        E.encode_words(documents, T.sentences("text"), vocabulary, vocab_size=50)
 
 
 def test_empty_and_blank_texts(spark):
@@ -140,3 +150,18 @@ def test_vocabulary_is_trained_once(spark):
     for options in ({"k": 1, "run": run}, {"k": 1, "run": run}, {"k": 2, "run": run}):
         assert V.trained(spark, "toy", options, train).tokens[-1] == "a"
     assert len(calls) == 2
+
+
+def test_a_half_written_vocabulary_is_trained_once_more_only(spark):
+    calls = []
+
+    def train():
+        calls.append(1)
+        return bpe.Vocabulary([*SPECIAL_TOKENS, "b"], [])
+
+    options = {"k": 3, "run": spark.sparkContext.applicationId}
+    folder = cache_path(spark, "vocabulary", "toy", options)
+    spark.range(1).write.parquet(f"{folder}.part-lost/vocab")
+    for _ in range(3):
+        assert V.trained(spark, "toy", options, train).tokens[-1] == "b"
+    assert len(calls) == 1 and "/scratch/" in folder  # and goes with the application

@@ -115,4 +115,4 @@ def test_free_hits(spark):
 
 def test_an_unbounded_proposal_is_refused(spark):
     with pytest.raises(ValueError):
-        C.proposal_table(spark.range(20).select(F.col("id"), F.lit(1).alias("n")), limit=10)
+        C.proposal_table(spark.range(20).select(F.col("id"), F.lit(1).alias("n")), vocab_size=10)

@@ -103,10 +103,10 @@ def test_resume(spark):
 def test_violations_are_counted(spark):
     rows = [([1], [1], [1]), ([1, 2], [1], [1]), (None, [1], [1])]
     df = spark.createDataFrame(rows, "input_ids array<int>, position_ids array<int>, sequence_ids array<int>")
-    row = one(df.agg(*X.feature_violations()))
+    row = one(df.agg(*X.feature_violations(X.LIMITED)))
     assert (row["n_rows"], row["missing"], row["uneven"], row["too_wide"]) == (3, 1, 1, 0)
     with pytest.raises(ValueError):
-        X.feature_violations(X.FeatureConfig(), max_position=64)
+        X.feature_violations(X.LIMITED, max_position=64)
 
 
 def test_array_choices(spark):

@@ -124,7 +124,7 @@ def test_softmax_and_nan(spark):
 def test_pooling(spark):
     rows = [(1, 0, 5, [1.0, 2.0]), (1, 1, 6, [3.0, 4.0]), (1, 2, 0, [9.0, 9.0])]
     df = spark.createDataFrame(rows, "d int, pos int, id int, v array<double>")
-    row = df.groupBy("d").agg(pooling.masked_mean("v", 2, F.col("id") != 0).alias("m"),
+    row = df.groupBy("d").agg(pooling.masked_mean("v", F.col("id") != 0).alias("m"),
                               pooling.first_vector("v", "pos").alias("f")).first()
     assert row["m"] == [2.0, 3.0] and row["f"] == [1.0, 2.0]
 
@@ -133,12 +133,32 @@ def test_pooling(spark):
 def test_lookup_sum_with_and_without_broadcast(spark, max_rows):
     table = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(5)], "id int, vector array<double>")
     rows = spark.createDataFrame([(1, 2), (4, 0)], "a int, b int")
-    out = pooling.lookup_sum(rows, {"a": table, "b": table}, max_rows)
+    out = pooling.lookup_sum(rows, {"a": table, "b": table}, max_rows, 2)
     assert sorted(r["vector"] for r in out.collect()) == [[3.0, 2.0], [4.0, 2.0]]
     hinted = "broadcast" in small_side(table, max_rows)._jdf.queryExecution().logical().toString().lower()
     assert hinted == (max_rows >= 5)
 
 
+def test_lookup_keeps_rows_without_a_vector(spark):
+    table = spark.createDataFrame([(1, [1.0, 2.0])], "id int, vector array<float>")
+    rows = spark.createDataFrame([(1, 7), (9, 9)], "a int, b int")
+    out = pooling.lookup_sum(rows, {"a": table, "b": table}, 10, 2)
+    assert sorted(r["vector"] for r in out.collect()) == [[0.0, 0.0], [1.0, 2.0]]
+
+
+def test_broadcast_is_bounded_by_bytes(spark):
+    table = spark.createDataFrame([(i, [0.5] * 1000) for i in range(50)], "id int, vector array<double>")
+    plan = lambda df: df._jdf.queryExecution().logical().toString().lower()
+    assert "broadcast" in plan(small_side(table)) and "broadcast" not in plan(small_side(table, max_bytes=300_000))
+
+
+def test_accumulation_keeps_short_and_left_over_steps(spark):
+    rows = [("long", s, 6, 4.0) for s in range(1, 7)] + [("short", s, 3, 8.0) for s in range(1, 4)]
+    df = spark.createDataFrame(rows, "run string, step int, last_step int, loss double")
+    got = {(r["run"], r["update"]): (r["sub_steps"], r["is_update"], r["loss"]) for r in runlog.accumulated_loss(df, "run", "loss", 4).collect()}
+    assert got == {("long", 0): (4, True, 4.0), ("long", 1): (2, False, 2.0), ("short", 0): (3, True, 6.0)}
+
+
 def test_path_rollup(spark):
     df = spark.createDataFrame([("a.b.weight", 2), ("a.b.bias", 1), ("a.c", 4)], "p string, v bigint")
     got = {(r["level_0"], r["level_1"], r["level_2"]): r["total"] for r in path_rollup(df, "p", "v").collect()}

@@ -3,6 +3,7 @@ from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from corpuswright.functions.hashing import happens, uniform
+from corpuswright.operators import features as X
 from corpuswright.operators import ordering as O
 from corpuswright.operators import sampling as S
 
@@ -142,3 +143,33 @@ def test_running_total(spark):
     for r in sorted(out.collect(), key=lambda r: (r["v"], r["id"])):
         assert r["_before"] == total
         total += r["id"]
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "timestamp"])
+def test_keys_of_other_types(spark, kind):
+    value = {
+        "string": F.format_string("https://x.y/%05d", F.col("id")),
+        "date": F.date_add(F.lit("2020-01-01").cast("date"), F.col("id").cast("int")),
+        "timestamp": F.timestamp_seconds(F.col("id") * 1000),
+    }[kind]
+    df = spark.range(400).select("id", value.alias("k")).repartition(6)
+    assert all(r["idx"] == r["id"] for r in S.dataset_index(df, "k").collect())
+    assert {r["id"] for r in S.head_fraction(df, "k", F.lit(0.25)).collect()} == set(range(100))
+    assert S.draws_with_replacement(df, "k").count() == 400
+    assert sizes(S.split_three_way(df, "k", 20, 10)) == {"test": 10, "validation": 30, "train": 360}
+    batches = X.assign_batches(df, "k", 50).collect()
+    assert all(r["batch_id"] == r["id"] // 50 for r in batches)
+
+
+def test_head_fraction_moves_no_rows(spark):
+    rows = spark.range(5000).select("id", F.when(F.col("id") % 10 > 0, "hot").otherwise("cold").alias("g"), F.lit("x" * 50).alias("payload"))
+    kept = S.head_fraction(rows, "id", F.lit(0.1), ["g"])
+    assert sorted(r["count"] for r in kept.groupBy("g").count().collect()) == [50, 450]
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    # Rows with their payload are read below a broadcast join only.
+    assert "BroadcastHashJoin" in plan and not any("Exchange hashpartitioning(g" in line and "payload" in line for line in plan.splitlines())
+
+
+def test_buckets_follow_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(O, "ROWS_PER_BUCKET", 10)
+    assert O.default_buckets(spark.range(5000)) == 500

@@ -38,6 +38,13 @@ def test_specs(spark):
     assert found == {"wikipedia-20200501.en": True, "openwebtext": True, "a-b-c": None}
 
 
+def test_two_entries_for_one_spec_are_an_error(spark):
+    entries = spark.createDataFrame([("a", "b", 2, 0), ("a", "b", 3, 0), ("c", None, 0, 0)], "name string, subset string, num_clf_classes int, num_regr int")
+    specs = spark.createDataFrame([("a-b",), ("c",)], "spec string")
+    with pytest.raises(PySparkException, match="more than one catalogue entry"):
+        C.resolve(specs, entries).collect()
+
+
 def test_selection_rules(spark):
     entries = C.catalog(spark)
     C.check_selection(entries.where("is_pretraining"))
