@@ -5,7 +5,9 @@ widest dimension. The quantile is found by narrowing a range: each pass sums the
 weights in at most 4,096 parts of the range for all nodes of a level at once, so only
 one row for each node reaches the driver. Rows with equal values are told apart by
 the text's hash and then by the key, so the two sides meet their target up to one
-row, and copies of a text stay side by side unless a cut falls between them.
+row, and copies of a text stay side by side unless a cut falls between them. As one
+row may be large, the row whose size comes nearest to what a side has too much is
+then moved to the other side.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ _LOW, _HIGH = -(2**63), 2**63 - 1
 class _Node:
     """``number`` is its place in the list of nodes, ``first`` its first shard. A row
     sorts by the dimension, the text's hash and the key; it goes right if it sorts
-    after the cut."""
+    after the cut, or, if it is ``moved``, to the other side."""
 
     number: int
     shards: int
@@ -35,6 +37,8 @@ class _Node:
     weight: int = 0
     dimension: int = 0
     cut: tuple[int, ...] = ()
+    excess: int = 0
+    moved: tuple[int, ...] | None = None
     left: int = -1
     right: int = -1
 
@@ -48,13 +52,15 @@ def _walk(nodes: list[_Node], dimensions: list[str], depth: int) -> Column:
     """Number of the node that a row has come to."""
     if depth == 0:
         return F.lit(0)
-    far = F.array(*[F.array(*[F.lit(x).cast("long") for x in (n.cut or (0, 0, 0))]) for n in nodes])
+    triples = lambda rows: F.array(*[F.array(*[F.lit(x).cast("long") for x in r]) for r in rows])
+    far, moved = triples([n.cut or (0, 0, 0) for n in nodes]), triples([n.moved or (0, 0, 0) for n in nodes])
     values = F.array(*[F.col(d) for d in dimensions])
     going = F.array(*[F.array(F.lit(n.left), F.lit(n.right)) for n in nodes])
 
     def step(node, _):
         mine = F.array(F.element_at(values, _of(node, [n.dimension + 1 for n in nodes])), F.col("_same"), F.col("_id"))
-        past = mine > F.element_at(far, node + 1)
+        here = (mine == F.element_at(moved, node + 1)) & _of(node, [n.moved is not None for n in nodes])
+        past = (mine > F.element_at(far, node + 1)) != here
         return F.when(_of(node, [n.left for n in nodes]) < 0, node).otherwise(
             F.element_at(F.element_at(going, node + 1), F.when(past, 2).otherwise(1))
         )
@@ -113,11 +119,40 @@ def _cut_level(rows: DataFrame, node: Column, level: list[_Node], n_nodes: int,
             spans[i] = None
             if len(n.cut) == 3:
                 # The last row (or rows alike in everything) lies across the target.
-                if 2 * target[i] < r["_w"]:
-                    n.cut = (n.cut[0], n.cut[1], n.cut[2] - 1) if n.cut[2] > _LOW else n.cut
+                n.excess = r["_w"] - target[i]
+                if 2 * target[i] < r["_w"] and n.cut[2] > _LOW:
+                    n.cut, n.excess = (n.cut[0], n.cut[1], n.cut[2] - 1), -target[i]
                 del todo[i]
 
 
+def _even_out(rows: DataFrame, node: Column, level: list[_Node], n_nodes: int, dimensions: list[str]) -> None:
+    """For each node the row of the heavier side that brings the sides nearest to
+    their target."""
+    dimension, excess, cuts = [1] * n_nodes, [0] * n_nodes, [(0, 0, 0)] * n_nodes
+    for n in level:
+        dimension[n.number], excess[n.number], cuts[n.number] = n.dimension + 1, n.excess, n.cut
+    here = F.col("_node")
+    value = F.element_at(F.array(*[F.col(d) for d in dimensions]), _of(here, dimension))
+    triple = F.array(value, F.col("_same"), F.col("_id"))
+    cut = F.element_at(F.array(*[F.array(*[F.lit(x).cast("long") for x in c]) for c in cuts]), here + 1)
+    over = _of(here, excess).cast("long")
+    best = (
+        rows.withColumn("_node", node)
+        .withColumn("_over", over)
+        .where("_over <> 0")
+        .withColumn("_triple", triple)
+        .where((F.col("_triple") > cut) == (F.col("_over") < 0))
+        .withColumn("_off", F.abs(F.col("_weight") - F.abs("_over")))
+        .where("_off < abs(_over)")
+        .groupBy("_node")
+        .agg(F.min(F.struct("_off", "_triple")).alias("_best"))
+        .collect()  # one row for each node
+    )
+    by_number = {n.number: n for n in level}
+    for r in best:
+        by_number[r["_node"]].moved = tuple(r["_best"]["_triple"])
+
+
 def grow_tree(rows: DataFrame, shards: int, dimensions: list[str]) -> tuple[list[_Node], int]:
     """Nodes of the tree and its depth. ``rows`` is a stored table with long
     columns and ``_weight``."""
@@ -140,7 +175,9 @@ def grow_tree(rows: DataFrame, shards: int, dimensions: list[str]) -> tuple[list
             if r := seen.get(n.number):
                 n.weight = r["_w"]
                 n.dimension = max(range(len(dimensions)), key=lambda i: (r[dimensions[i]] / span[dimensions[i]], -i))
-        _cut_level(rows, node, [n for n in level if n.weight > 0], len(nodes), dimensions)
+        cut = [n for n in level if n.weight > 0]
+        _cut_level(rows, node, cut, len(nodes), dimensions)
+        _even_out(rows, node, cut, len(nodes), dimensions)
         for n in level:
             n.cut = n.cut or (0, 0, 0)  # a node without rows
             n.left, n.right = len(nodes), len(nodes) + 1
