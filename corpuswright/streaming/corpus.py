@@ -2,14 +2,34 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 from ..functions.text import sentences
 from ..operators.encode import encode_words
 
 
-def read_files(spark: SparkSession, folder: str, glob: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
+def deliver(df: DataFrame, arrival: Column, path: str) -> None:
+    """Write a table as the files of a stream: one for each value of ``arrival`` (whole
+    numbers from 0), dated so that they are read in that order."""
+    df.withColumn("_arrival", arrival).repartition("_arrival").write.partitionBy("_arrival").parquet(path)
+    spark = df.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    start = files.getFileStatus(root).getModificationTime() - 10**6
+    for folder in files.listStatus(root):
+        name = folder.getPath().getName()
+        if name.startswith("_arrival="):
+            for f in files.listStatus(folder.getPath()):
+                files.setTimes(f.getPath(), start + 1000 * int(name.partition("=")[2]), -1)
+
+
+def read_files(spark: SparkSession, folder: str, schema, files_at_once: int | None = None) -> DataFrame:
+    """Stream of Parquet files, at most ``files_at_once`` to a micro-batch, so that a
+    backlog is worked off in parts."""
+    reader = spark.readStream.schema(schema).option("recursiveFileLookup", "true")
+    if files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.parquet(folder)
 
 
 def run_to_end(writer) -> None:

@@ -19,7 +19,7 @@ def test_documents_arriving_in_parts(spark, documents, folder):
     vocabulary = E.word_vocabulary(E.piece_counts(docs), vocab_size=2000)
 
     def run():
-        arriving = SC.read_files(spark, f"{folder}/in", "*.parquet", docs.schema)
+        arriving = SC.read_files(spark, f"{folder}/in", docs.schema)
         SC.write_stream(SC.encode_stream(arriving, ["doc_id"], vocabulary), f"{folder}/out", f"{folder}/log")
 
     docs.where("doc_id % 2 = 0").write.parquet(f"{folder}/in")
@@ -44,7 +44,7 @@ def test_late_rows_are_dropped(spark, folder):
 
     def run(rows):
         events(spark, rows).coalesce(1).write.mode("append").parquet(f"{folder}/in")
-        log = SC.read_files(spark, f"{folder}/in", "*.parquet", schema)
+        log = SC.read_files(spark, f"{folder}/in", schema)
         out = SE.evaluation_log(log, "ts", F.col("value"), F.col("bad"), "value", "1 hour", "10 minutes")
         SC.write_stream(out, f"{folder}/out", f"{folder}/log")
 
