@@ -78,9 +78,24 @@ def proposal(tokens_of: DataFrame) -> DataFrame:
     return corrupt.token_proposal(tokens_of.select(F.explode("input_ids").alias("id")))
 
 
+def shared(spark, sf, what: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A result of the documents that several queries of this application read."""
+    files = R.file_state(table(spark, sf, "documents"))
+    return R.cached(spark, "documents", what, {"files": files, **this_run(spark)}, build)
+
+
+def frequencies(spark: SparkSession, sf: str) -> DataFrame:
+    return shared(spark, sf, "proposal", lambda: proposal(whole(spark, sf)))
+
+
 def corrupted(spark: SparkSession, sf: str) -> DataFrame:
-    docs = whole(spark, sf)
-    return corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(proposal(docs)))
+    """Masked, replaced and labelled documents, stored as the encoded ones are."""
+
+    def build() -> DataFrame:
+        out = corrupt.corrupt(whole(spark, sf), "doc_id", corrupt.proposal_table(frequencies(spark, sf)))
+        return out.drop("position_ids", "sequence_ids", "generator_input_ids")
+
+    return shared(spark, sf, "corrupted", build)
 
 
 def one_row(frames: list[DataFrame]) -> DataFrame:
@@ -458,11 +473,8 @@ def rtd_labels(spark, sf):
 def masked_accuracy(spark, sf):
     """AGG-7. The sampled tokens, and the most likely one (of equals the lowest id)
     at every masked position."""
-    docs = whole(spark, sf)
-    likely = proposal(docs)
-    best = likely.orderBy(F.desc("n"), "id").first()["id"]
-    out = corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(likely))
-    out = materialized(out.withColumn("argmax_input_ids", A.where("masked", best, "input_ids")))
+    best = frequencies(spark, sf).orderBy(F.desc("n"), "id").first()["id"]
+    out = corrupted(spark, sf).withColumn("argmax_input_ids", A.where("masked", best, "input_ids"))
     sampled = metrics.masked_accuracy(out).select(
         F.col("selected").cast("bigint").alias("selected"), F.col("replaced").cast("bigint").alias("replaced"),
         rounded("mlm_accuracy", 9).alias("sampled_mlm_accuracy"), rounded("replaced_accuracy", 9).alias("replaced_accuracy"),
@@ -474,12 +486,10 @@ def masked_accuracy(spark, sf):
 def scored_documents_of(spark, sf) -> tuple[DataFrame, DataFrame]:
     """Corrupted documents, and per token of the vocabulary the stand-in logit of being
     a fake, which is higher for rarer tokens, and its loss as the generator's target."""
-    docs = whole(spark, sf)
-    frequencies = materialized(proposal(docs))
-    out = corrupt.corrupt(docs, "doc_id", corrupt.proposal_table(frequencies))
-    total = frequencies.agg(F.sum("n")).scalar().cast("double")
+    tokens = frequencies(spark, sf)
+    total = tokens.agg(F.sum("n")).scalar().cast("double")
     n = F.col("n").cast("double")
-    return out, small_side(frequencies.select("id", (F.lit(5.0) - F.ln(n)).alias("logit"), (-F.ln(n / total)).alias("surprise")))
+    return corrupted(spark, sf), small_side(tokens.select("id", (F.lit(5.0) - F.ln(n)).alias("logit"), (-F.ln(n / total)).alias("surprise")))
 
 
 def scored_tokens(spark, sf) -> DataFrame:
