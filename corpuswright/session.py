@@ -62,6 +62,8 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def clear_scratch(spark: SparkSession) -> None:
     """Delete this application's intermediate results. Frames made from them can
     no longer be read."""
+    for found in spark.catalog.listTables(pattern=_table_prefix(spark) + "*"):
+        spark.sql(f"DROP TABLE IF EXISTS `{found.name}`")
     delete_path(spark, shared_path(spark, "scratch", spark.sparkContext.applicationId))
 
 
@@ -76,6 +78,21 @@ def materialized(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _table_prefix(spark: SparkSession) -> str:
+    return "corpuswright_" + re.sub(r"\W", "_", spark.sparkContext.applicationId).lower() + "_"
+
+
+def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFrame:
+    """Like :func:`materialized`, but stored in buckets of ``column``, so that joins on it
+    do not move these rows. The table's name goes with :func:`clear_scratch`."""
+    spark = df.sparkSession
+    name = _table_prefix(spark) + uuid.uuid4().hex
+    buckets = buckets or scratch_partitions(spark)
+    writer = df.write.bucketBy(buckets, column).option("path", scratch_path(spark, "bucketed"))
+    writer.option("compression", "zstd").saveAsTable(name)
+    return spark.table(name)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table that :func:`materialized` has written and nobody reads again."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.functions import text as T
 from corpuswright.plans.prepare import Corpus, encoded_documents, make_datasets
-from corpuswright.session import local_table, materialized, shared_folder
+from corpuswright.session import bucketed, local_table, materialized, shared_folder
 from corpuswright.sources import catalog as C
 from corpuswright.sources import corpus as R
 from corpuswright.sources import ledger as L
@@ -178,3 +178,12 @@ def test_local_tables_and_materialized(spark):
     assert local_table(spark, [], "a int").count() == 0
     df = local_table(spark, [(1, ["x"]), (2, None)], "a int, b array<string>")
     assert [tuple(r) for r in materialized(df).orderBy("a").collect()] == [(1, ["x"]), (2, None)]
+
+
+def test_bucketed_tables_join_without_moving_and_go(spark):
+    left = bucketed(spark.range(500).withColumn("payload", F.lit("x")), "id", 4)
+    joined = left.join(spark.range(500).withColumn("y", F.col("id") * 2).repartition(3).hint("shuffle_hash"), "id")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert joined.count() == 500 and "Bucketed: true" in plan
+    name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("corpuswright_"))
+    assert spark.table(name).count() == 500
