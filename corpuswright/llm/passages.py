@@ -15,8 +15,6 @@ bit per entry, in the entries' order; positions are never sent.
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -25,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialized, scratch_partitions, scratch_path
+from ..session import bucketed, materialized, scratch_partitions
 from . import words
 from .batches import flat, ranges, slices
 
@@ -58,16 +56,7 @@ def _chunks(rows: DataFrame) -> DataFrame:
             )
             n += 1
 
-    spark = rows.sparkSession
-    name = f"corpuswright_chunks_{uuid.uuid4().hex}"
-    (
-        rows.mapInArrow(gather, "chunk long, n_words long, rows binary")
-        .write.bucketBy(scratch_partitions(spark), "chunk")
-        .option("path", scratch_path(spark, "chunks"))
-        .option("compression", "zstd")
-        .saveAsTable(name)
-    )
-    return spark.table(name)
+    return bucketed(rows.mapInArrow(gather, "chunk long, n_words long, rows binary"), "chunk")
 
 
 class _Chunk:
