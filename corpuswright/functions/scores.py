@@ -26,16 +26,27 @@ def sigmoid(x) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-col(x).cast("double")))
 
 
-def softmax(logits) -> Column:
-    logits = F.transform(col(logits), lambda x: x.cast("double"))
-    shifted = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(shifted, lambda x: x / array_sum(shifted))
+def _with_each(values, one, combine) -> Column:
+    """Combine every entry with ``one``, which is evaluated once per row: inside a
+    lambda it would be evaluated once per entry."""
+    return F.zip_with(values, F.array_repeat(one, F.size(values)), combine)
 
 
-def log_sum_exp(logits) -> Column:
+def _shifted(logits) -> tuple[Column, Column]:
+    """Exponentials of the logits less their largest, and that one."""
     logits = F.transform(col(logits), lambda x: x.cast("double"))
     peak = F.array_max(logits)
-    return peak + F.ln(array_sum(F.transform(logits, lambda x: F.exp(x - peak))))
+    return _with_each(logits, peak, lambda x, p: F.exp(x - p)), peak
+
+
+def softmax(logits) -> Column:
+    shifted, _ = _shifted(logits)
+    return _with_each(shifted, array_sum(shifted), lambda x, total: x / total)
+
+
+def log_sum_exp(logits) -> Column:
+    shifted, peak = _shifted(logits)
+    return peak + F.ln(array_sum(shifted))
 
 
 def class_one(logits) -> Column:
