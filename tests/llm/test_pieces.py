@@ -79,6 +79,6 @@ def test_frames(spark, library):
     assert pieces.round_trip_digests(df.where("false"), MODEL).count() == 0
 
 
-def test_own_columns_replace_equal_names(spark):
+def test_own_columns_replace_equal_names(spark, library):
     df = spark.createDataFrame([(1, "a b", "x")], "doc_id long, text string, ids string")
-    assert pieces.encode(df, MODEL).first()["ids"] == [263, 289]
+    assert pieces.encode(df, MODEL).first()["ids"] == library.encode("a b")
