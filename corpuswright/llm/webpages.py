@@ -5,15 +5,16 @@ block tags are lines; a line's ratio is its characters to its tags. Ratios are
 smoothed by a Gaussian and cut at their standard deviation, which groups lines into
 content and the rest. The region of the page (an article, the main part, else the
 body) with most content is chosen, with all its lines, so that short paragraphs of an
-article are kept; in a body without such landmarks only the content lines are, and what
-stands between neighbouring ones. Parts that are never article text (navigation,
-asides, forms, scripts, adverts, comments and so on) are left out by their tags, roles
-and class names.
+article are kept. In a body without such landmarks the region is the innermost block
+with nearly all content, from its first to its last content line; unlinked lines next
+to these are kept, too. Parts that are never article text (navigation, asides, forms,
+scripts, adverts, comments and so on) are left out by their tags, roles and class names.
 """
 
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import numpy as np
@@ -31,12 +32,19 @@ BLOCKS = frozenset(
     "form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead title tr ul".split()
 )
-LEFT_OUT = frozenset(
-    "aside audio button canvas datalist dialog footer form head iframe math menu nav noscript object script select style "
-    "svg template textarea title video".split()
+NEVER = frozenset(
+    "audio button canvas datalist head iframe math noscript object script select style svg template textarea title video".split()
 )
+LEFT_OUT = frozenset("aside dialog footer form menu nav".split())
+WRAPPERS = frozenset("html body".split())
 LANDMARKS = frozenset("article main".split())
-SELF_CLOSING = frozenset("p li dt dd tr td th option".split())
+IN_HEAD = frozenset("html head title".split())
+# Elements that end where one of these starts, and where the search for them stops.
+IMPLIED_ENDS = {
+    "li": (("li",), ("ul", "ol", "menu")), "dt": (("dt", "dd"), ("dl",)), "dd": (("dt", "dd"), ("dl",)),
+    "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "tr": (("tr",), ("table",)),
+    "option": (("option",), ("select",)),
+} | dict.fromkeys(("thead", "tbody", "tfoot"), (("thead", "tbody", "tfoot"), ("table",)))
 LEFT_OUT_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu navigation search".split())
 LEFT_OUT_NAMES = frozenset(
     "ad ads adsense advert adverts advertisement advertising advertorial banner breadcrumb breadcrumbs comment comments "
@@ -47,85 +55,143 @@ LEFT_OUT_NAMES = frozenset(
 HEADER_NAMES = frozenset("header site-header page-header top-header".split())
 _NAME = re.compile(r"[a-z0-9]+")
 SIGMA, RADIUS = 1.0, 2
+LONG_LINE, REGION_SHARE = 3.0, 0.9
+
+
+@lru_cache(10_000)
+def left_out_name(name: str) -> bool:
+    """Whether a class or id names a part to leave out."""
+    words = set(_NAME.findall(name))
+    return name in HEADER_NAMES or bool(words & LEFT_OUT_NAMES)
 
 
 class _Lines(HTMLParser):
-    """Collects lines with their number of tags and the landmark they stand in."""
+    """Collects lines with their tags, linked characters, left-out element, landmark and
+    block.
+
+    Blocks are kept on a stack, other elements only where they are left out or stand in
+    one of their name; an element ends at the latest with one that encloses it.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.lines: list[tuple[str, int, int]] = []
+        self.lines: list[tuple[str, int, int, int, int, int]] = []
         self.text: list[str] = []
-        self.tags = 0
-        self.landmarks: list[tuple[str, int]] = []
-        self.n_landmarks = 0
-        self.skipped, self.depth = "", 0
+        self.tags = self.links = 0
+        self.linked = False
+        # Open elements with the state outside of each.
+        self.stack: list[tuple[str, tuple[bool, int, int, int]]] = []
+        self.open: dict[str, int] = {}
+        self.never, self.out, self.landmark, self.block = False, 0, 0, 0
+        # Enclosing block of each block, enclosing left-out element of each such element,
+        # left-out element around each landmark.
+        self.blocks, self.outs, self.landmarks = [0], [0], [0]
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.lines.append((text, self.tags, self.landmarks[-1][1] if self.landmarks else 0))
-            self.tags = 0
+            self.lines.append((text, self.tags, self.links, self.out, self.landmark, self.block))
+            self.tags = self.links = 0
         self.text.clear()
 
-    def _left_out(self, tag: str, attrs) -> bool:
-        if tag in LEFT_OUT or tag == "header" and not self.landmarks:
-            return True
+    def _pop(self) -> None:
+        tag, (self.never, self.out, self.landmark, self.block) = self.stack.pop()
+        self.open[tag] -= 1
+        if tag in BLOCKS:
+            self.linked = False
+
+    def _close(self, tag: str) -> None:
+        """End the innermost open element of this name and what stands open in it."""
+        while self.stack[-1][0] != tag:
+            self._pop()
+        self._pop()
+
+    def _imply_ends(self, tag: str) -> None:
+        """End the elements that a block ends by starting."""
+        if self.open.get("head") and tag not in IN_HEAD:
+            self._close("head")
+        if self.open.get("p"):
+            for name, _ in reversed(self.stack):
+                if name in BLOCKS:
+                    if name == "p":
+                        self._close("p")
+                    break
+        ends, within = IMPLIED_ENDS.get(tag, ((), ()))
+        if any(self.open.get(name) for name in ends):
+            for name, _ in reversed(self.stack):
+                if name in within:
+                    break
+                if name in ends:
+                    self._close(name)
+                    break
+
+    def _kind(self, tag: str, attrs) -> str:
+        """Whether an element is never text, left out, a landmark or none of these."""
+        landmark = tag in LANDMARKS or ("role", "main") in attrs
+        left_out = tag in LEFT_OUT or tag == "header" and not self.landmark
+        if tag in NEVER:
+            return "never"
         for name, value in attrs:
+            value = (value or "").lower()
+            if name == "hidden" or name == "aria-hidden" and value == "true":
+                return "never"
             if name in ("class", "id"):
-                value = (value or "").lower()
-                if LEFT_OUT_NAMES & set(_NAME.findall(value)) or HEADER_NAMES & set(value.split()):
-                    return True
-            elif name == "role" and (value or "").lower() in LEFT_OUT_ROLES:
-                return True
-            elif name == "hidden" or name == "aria-hidden" and value == "true":
-                return True
-        return False
+                left_out = left_out or any(map(left_out_name, value.split()))
+            elif name == "role":
+                left_out = left_out or value in LEFT_OUT_ROLES
+        if left_out and tag not in WRAPPERS:
+            return "left out"
+        return "landmark" if landmark else ""
 
     def handle_starttag(self, tag, attrs):
-        if self.skipped:
-            closes = tag in LANDMARKS and not self.n_landmarks or self.skipped in SELF_CLOSING and tag in BLOCKS or self.skipped == "head" and tag == "body"
-            if not closes or tag in LANDMARKS and self._left_out(tag, attrs):
-                self.depth += tag == self.skipped
-                return
-            self.skipped = ""
         self.tags += 1
         if tag in BLOCKS:
             self._end_line()
+            if tag not in VOID:
+                self._imply_ends(tag)
+        elif tag == "a":
+            self.linked = any(name == "href" for name, _ in attrs)
         if tag in VOID:
             return
-        if tag not in ("html", "body") and self._left_out(tag, attrs):
+        kind = self._kind(tag, attrs)
+        if not (kind or tag in BLOCKS or self.open.get(tag)):
+            return
+        if kind:
             self._end_line()
-            self.skipped, self.depth = tag, 1
-        elif tag in LANDMARKS or ("role", "main") in attrs:
-            outer = self.landmarks[0][1] if self.landmarks and self.landmarks[0][0] == "article" else 0
-            if not outer:
-                self.n_landmarks += 1
-            self.landmarks.append((tag, outer or self.n_landmarks))
+        self.stack.append((tag, (self.never, self.out, self.landmark, self.block)))
+        self.open[tag] = self.open.get(tag, 0) + 1
+        if tag in BLOCKS:
+            self.blocks.append(self.block)
+            self.block = len(self.blocks) - 1
+        if kind == "never":
+            self.never = True
+        elif kind == "left out":
+            self.outs.append(self.out)
+            self.out = len(self.outs) - 1
+        elif kind == "landmark" and not (self.landmark and self.open.get("article", 0) > (tag == "article")):
+            self.landmarks.append(self.out)
+            self.landmark = len(self.landmarks) - 1
 
     def handle_startendtag(self, tag, attrs):
         if tag in VOID:
             self.handle_starttag(tag, attrs)
-        elif not self.skipped and tag in BLOCKS:
+        elif tag in BLOCKS:
             self._end_line()
 
     def handle_endtag(self, tag):
-        if self.skipped:
-            self.depth -= tag == self.skipped
-            if self.depth <= 0:
-                self.skipped = ""
-            return
         self.tags += 1
-        if tag in BLOCKS:
-            self._end_line()
-        if any(name == tag for name, _ in self.landmarks):
+        if tag in BLOCKS or self.open.get(tag):
             self._end_line()
-            while self.landmarks.pop()[0] != tag:
-                pass
+        if tag == "a":
+            self.linked = False
+        if self.open.get(tag):
+            self._close(tag)
 
     def handle_data(self, data):
-        if not self.skipped:
+        if not self.never:
             self.text.append(data)
+            if self.linked:
+                self.links += len(data.strip())
 
 
 def smoothed(ratios: np.ndarray) -> np.ndarray:
@@ -136,6 +202,40 @@ def smoothed(ratios: np.ndarray) -> np.ndarray:
     return near / np.convolve(np.ones(len(ratios)), kernel, "full")[RADIUS : RADIUS + len(ratios)]
 
 
+def content_lines(size: np.ndarray, tags: np.ndarray, links: np.ndarray) -> np.ndarray:
+    """Which lines are content. Ratios beyond ``LONG_LINE`` medians of the unlinked lines
+    count as that, so that one long line does not raise the threshold for the others."""
+    ratio = size / np.maximum(1, tags)
+    plain = links <= size / 2
+    if plain.any():
+        ratio = np.minimum(ratio, LONG_LINE * np.median(ratio[plain]))
+    near = smoothed(ratio)
+    content = near >= min(near.std(), near.max())
+    return content & plain if (content & plain).any() else content
+
+
+def body_lines(free: np.ndarray, mass: np.ndarray, plain: np.ndarray, block: np.ndarray, blocks: list[int]) -> np.ndarray:
+    """The lines of the innermost block that holds nearly all content, from its first to
+    its last content line, and the unlinked lines next to these."""
+    within = np.bincount(block, mass, len(blocks)).tolist()
+    for i in range(len(blocks) - 1, 0, -1):
+        within[blocks[i]] += within[i]
+    inner = max(i for i in range(len(blocks)) if not i or within[i] > REGION_SHARE * within[0])
+    inside = [False] * len(blocks)
+    for i in range(inner, len(blocks)):
+        inside[i] = i == inner or inside[blocks[i]]
+    region = np.flatnonzero(free & np.array(inside)[block])
+    at = np.flatnonzero(mass[region])
+    first, last = (at[0], at[-1]) if len(at) else (0, len(region) - 1)
+    while first > 0 and plain[region[first - 1]]:
+        first -= 1
+    while last < len(region) - 1 and plain[region[last + 1]]:
+        last += 1
+    chosen = np.zeros(len(free), bool)
+    chosen[region[first : last + 1]] = True
+    return chosen
+
+
 def main_text(page: str) -> str:
     """Main text of a page, its blocks joined by one space; empty if there is none."""
     parser = _Lines()
@@ -145,23 +245,41 @@ def main_text(page: str) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    size = np.array([len(t) for t, _, _ in lines], float)
-    region = np.array([r for _, _, r in lines])
-    ratio = smoothed(size / np.array([max(1, n) for _, n, _ in lines]))
-    content = ratio >= min(ratio.std(), ratio.max())
-    if region.any():
+    size = np.array([len(line[0]) for line in lines], float)
+    tags, links, out, landmark, block = np.array([line[1:] for line in lines]).T
+    content = content_lines(size, tags, links)
+    mass, plain = size * content, links <= size / 2
+    around = np.array(parser.landmarks)[landmark]
+    restored: set[int] = set()
+
+    def outermost(innermost: np.ndarray) -> np.ndarray:
+        """Outermost left-out element of each line that is not restored; 0 for none."""
+        found = [0]
+        for i, parent in enumerate(parser.outs[1:], 1):
+            found.append(found[parent] or (0 if i in restored else i))
+        return np.array(found)[innermost]
+
+    # Landmarks inside left-out elements count where these hold more content than all that
+    # is not left out.
+    left = outermost(out)
+    hidden = (landmark > 0) & (out == around)
+    if not (hidden & (left == 0)).any() and mass[hidden].sum() > mass[left == 0].sum():
+        for i in set(around[hidden].tolist()):
+            while i:
+                restored.add(i)
+                i = parser.outs[i]
+        left = outermost(out)
+    free = left == 0
+    if not free.any():
+        return ""
+    marked = free & (landmark > 0)
+    if marked.any():
         # The landmark with most content; its whole text, as short lines are content too.
-        mass = np.bincount(region, size * content) + 1e-6 * np.bincount(region, size)
-        mass[0] = -1
-        chosen = region == mass.argmax()
+        held = np.bincount(landmark, (mass + 1e-6 * size) * marked)
+        chosen = marked & (landmark == held.argmax())
     else:
-        at = np.flatnonzero(content)
-        chosen = np.zeros(len(lines), bool)
-        chosen[at] = True
-        for a, b in zip(at[:-1], at[1:]):
-            if b - a <= 2 * RADIUS + 1:
-                chosen[a:b] = True
-    return " ".join(t for (t, _, _), keep in zip(lines, chosen) if keep)
+        chosen = body_lines(free, mass * free, plain, block, parser.blocks)
+    return " ".join(line[0] for line, keep in zip(lines, chosen) if keep)
 
 
 def extract(df: DataFrame, key: str = "page_id", column: str = "html", carry: tuple[str, ...] = ("url",)) -> DataFrame:

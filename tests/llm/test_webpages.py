@@ -60,3 +60,27 @@ def test_odd_rows(spark):
     got = webpages.extract(df).collect()
     assert sorted(r["n_chars"] for r in got) == [0, 0, len(LONG.strip())]
     assert webpages.extract(df.where("false")).count() == 0
+
+
+def paragraphs(*texts):
+    return "".join(f"<p>{t}</p>" for t in texts)
+
+
+def words(n, word="word"):
+    return " ".join([word] * n)
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>", "<ul><li><a href=x>menu</a></li></ul><div>{}</div>"])
+def test_one_long_line_does_not_push_out_the_others(wrap):
+    texts = [words(40)] * 20 + [words(1200)] + [words(40)] * 20
+    assert webpages.main_text(wrap.format(paragraphs(*texts))) == " ".join(texts)
+
+
+@pytest.mark.parametrize("wrap", ["{}", "<div>{}</div>"])
+def test_short_lines_of_the_region_stay(wrap):
+    items = "".join(f"<li>item {i}</li>" for i in range(12))
+    page = wrap.format(f"{paragraphs(LONG, LONG)}<ul>{items}</ul>{paragraphs(LONG, LONG)}")
+    want = [LONG.strip()] * 2 + [f"item {i}" for i in range(12)] + [LONG.strip()] * 2
+    assert webpages.main_text(page) == " ".join(want)
+    closing = [f"End {i}." for i in range(8)]
+    assert webpages.main_text(wrap.format(paragraphs(LONG, LONG, LONG, *closing))) == " ".join([LONG.strip()] * 3 + closing)
