@@ -8,7 +8,10 @@ body) with most content is chosen, with all its lines, so that short paragraphs
 article are kept. In a body without such landmarks the region is the innermost block
 with nearly all content, from its first to its last content line; unlinked lines next
 to these are kept, too. Parts that are never article text (navigation, asides, forms,
-scripts, adverts, comments and so on) are left out by their tags, roles and class names.
+scripts, adverts, comments and so on) are left out by their tags, roles and
+whole class names, which do not count on landmarks. Such a part comes back if it holds
+most of the page's content, but not from outside of the landmarks where there are any.
+Scripts, controls, media and hidden elements never do.
 """
 
 from __future__ import annotations
@@ -52,6 +55,11 @@ LEFT_OUT_NAMES = frozenset(
     "notice notices paywall popup promo promotion related replies reply respond share sharing sidebar social sponsor sponsored "
     "subscribe subscription toolbar widget".split()
 )
+# Words that may stand beside them in a class name, as in share-bar.
+PARTS = frozenset(
+    "area article articles bar block bottom box btn button buttons container entry icons inner item items links list main "
+    "page panel post posts primary secondary section site top wrap wrapper".split()
+)
 HEADER_NAMES = frozenset("header site-header page-header top-header".split())
 _NAME = re.compile(r"[a-z0-9]+")
 SIGMA, RADIUS = 1.0, 2
@@ -60,9 +68,9 @@ LONG_LINE, REGION_SHARE = 3.0, 0.9
 
 @lru_cache(10_000)
 def left_out_name(name: str) -> bool:
-    """Whether a class or id names a part to leave out."""
+    """Whether a class or id as a whole, not a word in it, names a part to leave out."""
     words = set(_NAME.findall(name))
-    return name in HEADER_NAMES or bool(words & LEFT_OUT_NAMES)
+    return name in HEADER_NAMES or bool(words & LEFT_OUT_NAMES) and words <= LEFT_OUT_NAMES | PARTS
 
 
 class _Lines(HTMLParser):
@@ -139,9 +147,9 @@ class _Lines(HTMLParser):
                 left_out = left_out or any(map(left_out_name, value.split()))
             elif name == "role":
                 left_out = left_out or value in LEFT_OUT_ROLES
-        if left_out and tag not in WRAPPERS:
-            return "left out"
-        return "landmark" if landmark else ""
+        if landmark:
+            return "landmark"
+        return "left out" if left_out and tag not in WRAPPERS else ""
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
@@ -260,7 +268,8 @@ def main_text(page: str) -> str:
         return np.array(found)[innermost]
 
     # Landmarks inside left-out elements count where these hold more content than all that
-    # is not left out.
+    # is not left out; so does a left-out element with most of the page's content, which
+    # must stand in a landmark where there is one.
     left = outermost(out)
     hidden = (landmark > 0) & (out == around)
     if not (hidden & (left == 0)).any() and mass[hidden].sum() > mass[left == 0].sum():
@@ -269,6 +278,11 @@ def main_text(page: str) -> str:
                 restored.add(i)
                 i = parser.outs[i]
         left = outermost(out)
+    inside = (landmark > 0) & (outermost(around) == 0)
+    allowed = inside if inside.any() else np.ones(len(lines), bool)
+    while (held := np.bincount(left, mass * allowed)[1:]).max(initial=0) > mass.sum() / 2:
+        restored.add(int(held.argmax()) + 1)
+        left = outermost(out)
     free = left == 0
     if not free.any():
         return ""

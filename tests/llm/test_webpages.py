@@ -84,3 +84,27 @@ def test_short_lines_of_the_region_stay(wrap):
     assert webpages.main_text(page) == " ".join(want)
     closing = [f"End {i}." for i in range(8)]
     assert webpages.main_text(wrap.format(paragraphs(LONG, LONG, LONG, *closing))) == " ".join([LONG.strip()] * 3 + closing)
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post category-social'>{}</article>",
+        "<article class='has-sidebar'>{}</article>",
+        "<article id='notice-12' class='tag-promo'>{}</article>",
+        "<body class='sidebar'>{}</body>",
+        "<nav><a href=x>menu</a></nav><div class='content with-sidebar'>{}</div>",
+        "<nav><a href=x>menu</a></nav><form action=x>{}<input></form>",
+        "<div class='sidebar'>{}</div><footer>f</footer>",
+        "<article><form>{}</form></article>",
+        "<form><article>{}</article></form>",
+    ],
+)
+def test_no_name_or_wrapper_loses_the_text(page):
+    assert webpages.main_text(page.format(paragraphs(LONG, LONG))) == f"{LONG.strip()} {LONG.strip()}"
+
+
+@pytest.mark.parametrize("part", ["form", "aside", "nav"])
+def test_an_open_part_ends_with_what_encloses_it(part):
+    page = f"<article><div><p>{LONG}</p><{part}>out</div><p>{LONG}</p><p>End.</p></article>"
+    assert webpages.main_text(page) == f"{LONG.strip()} {LONG.strip()} End."
