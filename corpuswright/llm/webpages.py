@@ -3,9 +3,9 @@
 The standard library's parser gives a page as a stream of events. Text runs between
 block tags are lines; a line's ratio is its characters to its tags. Ratios are
 smoothed by a Gaussian and cut at their standard deviation, which groups lines into
-content and the rest. The region of the page (an article, the main part, else the
-body) with most content is chosen, with all its lines, so that short paragraphs of an
-article are kept. In a body without such landmarks the region is the innermost block
+content and the rest. Landmarks (article, main part; the outermost counts) whose text is
+mostly content are kept with all their lines, and so is the one with most content. If
+the rest of the body holds more content, or there is no landmark, the region is the innermost block
 with nearly all content, from its first to its last content line; unlinked lines next
 to these are kept, too. Parts that are never article text (navigation, asides, forms,
 scripts, adverts, comments and so on) are left out by their tags, roles and
@@ -176,7 +176,7 @@ class _Lines(HTMLParser):
         elif kind == "left out":
             self.outs.append(self.out)
             self.out = len(self.outs) - 1
-        elif kind == "landmark" and not (self.landmark and self.open.get("article", 0) > (tag == "article")):
+        elif kind == "landmark" and not self.landmark:
             self.landmarks.append(self.out)
             self.landmark = len(self.landmarks) - 1
 
@@ -287,10 +287,13 @@ def main_text(page: str) -> str:
     if not free.any():
         return ""
     marked = free & (landmark > 0)
-    if marked.any():
-        # The landmark with most content; its whole text, as short lines are content too.
-        held = np.bincount(landmark, (mass + 1e-6 * size) * marked)
-        chosen = marked & (landmark == held.argmax())
+    if marked.any() and mass[marked].sum() >= mass[free & (landmark == 0)].sum():
+        # Landmarks most of whose text is content, and the one with most of it, as a whole.
+        text = np.bincount(landmark, size * marked)
+        held = np.bincount(landmark, mass * marked)
+        passing = held > text / 2
+        passing[(held + 1e-6 * text)[1:].argmax() + 1] = True
+        chosen = marked & passing[landmark]
     else:
         chosen = body_lines(free, mass * free, plain, block, parser.blocks)
     return " ".join(line[0] for line, keep in zip(lines, chosen) if keep)

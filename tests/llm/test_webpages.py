@@ -108,3 +108,20 @@ def test_no_name_or_wrapper_loses_the_text(page):
 def test_an_open_part_ends_with_what_encloses_it(part):
     page = f"<article><div><p>{LONG}</p><{part}>out</div><p>{LONG}</p><p>End.</p></article>"
     assert webpages.main_text(page) == f"{LONG.strip()} {LONG.strip()} End."
+
+
+def test_main_around_a_nested_article():
+    page = f"<main><h1>Title</h1><p>lead</p><article><p>{LONG}</p></article><p>end</p></main>"
+    assert webpages.main_text(page) == f"Title lead {LONG.strip()} end"
+
+
+def test_a_story_in_several_articles():
+    parts = [f"part {i} {LONG.strip()}" for i in range(4)]
+    page = "".join(f"<article>{paragraphs(t)}</article>" for t in parts)
+    assert webpages.main_text(page + "<article><a href=x>More</a></article>") == " ".join(parts)
+
+
+def test_ratios_choose_over_a_small_landmark():
+    story = [LONG.strip()] * 6
+    page = f"<article><p>Teaser of another page.</p></article><ul><li><a href=x>menu</a></li></ul><div>{paragraphs(*story)}</div>"
+    assert webpages.main_text(page) == " ".join(story)
