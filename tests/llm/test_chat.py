@@ -1,9 +1,11 @@
 """Chat formatting: exact round trips."""
 
+import base64
 import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 tiktoken = pytest.importorskip("tiktoken")
@@ -74,3 +76,15 @@ def test_formatted_chars(spark):
     df = spark.createDataFrame([(1, 0, "user", "a<|b")], "conv_id long, turn long, role string, text string")
     row = chat.read_back(chat.assemble(df, RANKS, PATTERN), RANKS, PATTERN).first()
     assert row["formatted_chars"] == len("<|im_start|>user\na<\\|b<|im_end|>\n")
+
+
+@pytest.mark.parametrize("signs", ["abcdefghij", "abc123;,", "漢字仮名交文"])
+def test_long_runs_have_the_ids_of_the_tokenizer(spark, signs):
+    text = "".join(random.Random(2).choices(signs, k=30_000))
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
+    whole = tiktoken.Encoding("whole", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary(text)
+    made = chat.assemble(spark.createDataFrame([(1, 0, "user", text, "", "")], SCHEMA), RANKS, PATTERN).collect()
+    ids = [i for r in sorted(made, key=lambda r: r["position"]) for i in np.frombuffer(r["ids"], np.int32).tolist()]
+    at = ids.index(whole[0], ids.index(max(ids) - 1) + 2)
+    assert ids[at : at + len(whole)] == whole
