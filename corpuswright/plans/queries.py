@@ -38,6 +38,7 @@ TEMPERATURE = 0.5
 LOG_EVERY, EVALUATE_EVERY, SAVE_EVERY, ACCUMULATION = 5, 10, 20, 4
 GATE_THRESHOLD = 50.0
 ARRIVALS, LATE_PARTS = 6, 2
+DOCUMENTS_PER_FILE = 5_000
 VECTOR_DIM = CLASSES = 64
 PREPARED_VALIDATION, PREPARED_TEST = 20, 10
 CHECKED_SENTENCES = CHECKED_LENGTH = 16
@@ -880,7 +881,7 @@ def stream_encode(spark, sf):
     docs = table(spark, sf, "documents")
     path = scratch_path(spark, "stream-encode")
     vocabulary = E.word_vocabulary(E.piece_counts(docs))
-    SC.deliver(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int"), f"{path}/files")
+    SC.deliver(docs, F.pmod(F.xxhash64("doc_id"), F.lit(ARRIVALS)).cast("int"), f"{path}/files", "doc_id", DOCUMENTS_PER_FILE)
     arriving = SC.read_files(spark, f"{path}/files", docs.schema, files_at_once=2)
     SC.write_stream(SC.encode_stream(arriving, ["doc_id"], vocabulary), f"{path}/rows", f"{path}/log")
     rows = spark.read.parquet(f"{path}/rows")
@@ -891,14 +892,15 @@ def stream_encode(spark, sf):
 
 
 def arriving_events(spark, sf, path: str) -> DataFrame:
-    """Events as a stream of files by time, one to a micro-batch. Errors of the first
-    ``LATE_PARTS`` parts come with the last file only, long after the watermark."""
+    """Events as a stream of files by time, one to a micro-batch; a file's rows are later
+    than those of the files before, so that only errors can be late. Errors of the
+    first ``LATE_PARTS`` parts come with the last arrival only, long after the watermark."""
     events = table(spark, sf, "events")
     moment = F.unix_micros(F.col("ts").cast("timestamp"))
     first, last = events.agg(F.min(moment), F.max(moment)).first()
     part = F.floor((moment - F.lit(first)) * ARRIVALS / F.lit(float(last - first + 1))).cast("int")
     late = (F.col("event_type") == "error") & (part < LATE_PARTS)
-    SC.deliver(events, F.when(late, ARRIVALS - 1).otherwise(part), f"{path}/files")
+    SC.deliver(events, F.when(late, ARRIVALS - 1).otherwise(part), f"{path}/files", "ts")
     return SC.read_files(spark, f"{path}/files", events.schema, files_at_once=1)
 
 

@@ -8,19 +8,31 @@ from ..functions.text import sentences
 from ..operators.encode import encode_words
 
 
-def deliver(df: DataFrame, arrival: Column, path: str) -> None:
-    """Write a table as the files of a stream: one for each value of ``arrival`` (whole
-    numbers from 0), dated so that they are read in that order."""
-    df.withColumn("_arrival", arrival).repartition("_arrival").write.partitionBy("_arrival").parquet(path)
+ROWS_PER_FILE = 20_000
+
+
+def deliver(df: DataFrame, arrival: Column, path: str, order: str, rows_per_file: int = ROWS_PER_FILE) -> None:
+    """Write a table as the files of a stream, dated so that they are read in the order of
+    ``arrival`` (whole numbers from 0), then of the column ``order``. Files are ranges of
+    both, so their number grows with the table; none holds rows of two arrivals."""
+    rows = df.withColumn("_arrival", arrival)
+    n = -(-df.count() // rows_per_file)
+    rows.repartitionByRange(max(1, n), "_arrival", order).write.partitionBy("_arrival").parquet(path)
     spark = df.sparkSession
     root = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    start = files.getFileStatus(root).getModificationTime() - 10**6
+    found = []
     for folder in files.listStatus(root):
         name = folder.getPath().getName()
         if name.startswith("_arrival="):
             for f in files.listStatus(folder.getPath()):
-                files.setTimes(f.getPath(), start + 1000 * int(name.partition("=")[2]), -1)
+                # Named by the number of their range.
+                number = int(f.getPath().getName().split("-")[1])
+                found.append((int(name.partition("=")[2]), number, f.getPath()))
+    found.sort(key=lambda x: x[:2])
+    start = files.getFileStatus(root).getModificationTime() - 1000 * (len(found) + 1000)
+    for i, (*_, file) in enumerate(found):
+        files.setTimes(file, start + 1000 * i, -1)
 
 
 def read_files(spark: SparkSession, folder: str, schema, files_at_once: int | None = None) -> DataFrame:

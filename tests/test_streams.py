@@ -71,3 +71,17 @@ def test_gate_keeps_its_state_between_batches(spark, folder):
     run([(1, days[3], None), (1, days[4], 0.2), (2, days[1], -1.0)])
     rows = spark.read.parquet(f"{folder}/out").orderBy("run", "window_start").collect()
     assert [r["gate"] for r in rows] == [True, True, False, False, True, True, False]
+
+
+def test_files_grow_with_the_table(spark, folder):
+    df = spark.range(6000).select("id", F.pmod("id", F.lit(3)).alias("part"))
+    SC.deliver(df, F.col("part").cast("int"), f"{folder}/in", "id", rows_per_file=500)
+    seen = F.col("_metadata.file_modification_time").alias("at")
+    rows = spark.read.parquet(f"{folder}/in").select("id", "_arrival", seen, F.input_file_name().alias("file"))
+    per_file = rows.groupBy("at", "file").agg(
+        F.count("id").alias("n"), F.min("id").alias("a"), F.max("id").alias("b"), F.min("_arrival").alias("part")
+    ).orderBy("at").collect()
+    assert len(per_file) >= 12 and max(r["n"] for r in per_file) <= 1000
+    assert sum(r["n"] for r in per_file) == rows.select("id").distinct().count() == 6000
+    ends = [(r["part"], r["a"], r["b"]) for r in per_file]
+    assert all(x[0] < y[0] or x[0] == y[0] and x[2] < y[1] for x, y in zip(ends, ends[1:]))
