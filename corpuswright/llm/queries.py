@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embedlinks, packing, passages, pieces, rabitq, setsketch, sharding, toxicity, webpages
+from . import bitsliced, chat, embedlinks, merkle, packing, passages, pieces, rabitq, setsketch, sharding, spelling, toxicity, webpages
+from .oracles import ORACLES
 
 WORD_TOKENIZER = "word_bpe_49k.json"
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -77,6 +78,25 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trip_digests(_table(spark, sf_dir, "documents"), vocabulary(PIECE_MODEL))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    changed = merkle.leaf(*[F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if c == "text" else F.col(c) for c in columns])
+    tampered = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+    out = merkle.manifest(docs, tuple(columns), carry={"changed": F.when(tampered, changed)})
+    folded = merkle.fold(F.coalesce("changed", "leaf"), F.col("path"))
+    out = out.select("doc_id", "leaf", "subroot", "root", merkle.digest(merkle.siblings(F.col("path"))).alias("proof_sha256"), folded.alias("folded_root"))
+    return out.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def op13_bitsliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bitsliced.search(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_nearest": op2_nearest,
@@ -88,6 +108,7 @@ QUERIES = {
     "op8_embedding_links": op8_embedding_links,
     "op9_sharding": op9_sharding,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_spelling": op11_spelling,
+    "op12_merkle": op12_merkle,
+    "op13_bitsliced": op13_bitsliced,
 }
-
-ORACLES: dict[str, str] = {}
