@@ -108,32 +108,6 @@ class Vocabulary:
         )
 
 
-def _independent_prefix(rows: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Leading pairs ``(left, right)`` that can be merged in one round, from rows in
-    merging order: most frequent first, then lower left, then lower right id.
-
-    The prefix ends before the first pair that shares a symbol in the other role with
-    a taken one (left here, right there), so occurrences never overlap and no taken
-    pair changes another's count. A pair that a merge of (l, r) brings about is (z, x)
-    or (x, z) with the new id x, and stems from an occurrence of (z, l) or (r, z). Such a
-    neighbour is not taken, so it comes after all taken pairs; the new pair is at most as
-    frequent, and at equal frequency comes later too, as z is not lower than any taken
-    left, and x is higher than any other id. So merging the prefix at once is the same as
-    merging pair by pair. A symbol paired with itself feeds on its own repeats and is
-    merged alone.
-    """
-    taken, lefts, rights = [], set(), set()
-    for left, right, _ in rows:
-        if left == right:
-            return taken or [(left, right)]
-        if left in rights or right in lefts:
-            break
-        taken.append((left, right))
-        lefts.add(left)
-        rights.add(right)
-    return taken
-
-
 class _Words:
     """Many words as flat arrays: symbol ids, length and frequency of each word."""
 
@@ -158,33 +132,72 @@ class _Words:
         codes = (self.symbols[at].astype(np.int64) << 32) | self.symbols[at + 1]
         return codes, np.repeat(self.counts, self.lengths)[at]
 
-    def merged(self, batch: list[tuple[int, int, int]]) -> tuple[_Words, np.ndarray]:
-        """The words after a batch of merges, and which words changed."""
+    def only(self, which: np.ndarray) -> _Words:
+        """The words marked true."""
+        return _Words(self.symbols[np.repeat(which, self.lengths)], self.lengths[which], self.counts[which])
+
+    def _once(self, pairs: np.ndarray, ranks: np.ndarray, made: np.ndarray) -> tuple[_Words, np.ndarray]:
+        """In every word the merge of its first pair in rank, and which words have one.
+        ``pairs`` are sorted codes, ``ranks`` and ``made`` go with them."""
         word = np.repeat(np.arange(len(self.lengths)), self.lengths)
         codes = (self.symbols[:-1].astype(np.int64) << 32) | self.symbols[1:]
-        wanted = np.array([(a << 32) | b for a, b, _ in batch], np.int64)
-        order = np.argsort(wanted)
-        place = np.minimum(np.searchsorted(wanted[order], codes), len(wanted) - 1)
-        hit = (wanted[order][place] == codes) & (word[:-1] == word[1:])
-        at = np.flatnonzero(hit)
-        if batch[0][0] == batch[0][1] and len(at):
+        place = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+        known = np.flatnonzero((pairs[place] == codes) & (word[:-1] == word[1:]))
+        first = np.full(len(self.lengths), len(ranks), np.int64)
+        np.minimum.at(first, word[known], ranks[place[known]])
+        at = known[ranks[place[known]] == first[word[known]]]
+        if len(at):
             # Repeats of one symbol pair up from the left.
-            new_run = np.append(True, np.diff(at) > 1)
-            start = np.maximum.accumulate(np.where(new_run, np.arange(len(at)), 0))
+            same = self.symbols[at] == self.symbols[at + 1]
+            run = np.append(True, (np.diff(at) > 1) | ~same[1:] | ~same[:-1] | (word[at][1:] != word[at][:-1]))
+            start = np.maximum.accumulate(np.where(run, np.arange(len(at)), 0))
             at = at[(np.arange(len(at)) - start) % 2 == 0]
         symbols = self.symbols.copy()
-        symbols[at] = np.array([c for _, _, c in batch], np.int32)[order][place[at]]
+        symbols[at] = made[place[at]]
         lengths = self.lengths - np.bincount(word[at], minlength=len(self.lengths)).astype(np.int32)
-        return _Words(np.delete(symbols, at + 1), lengths, self.counts), np.unique(word[at])
+        return _Words(np.delete(symbols, at + 1), lengths, self.counts), first < len(ranks)
+
+    def merged(self, batch: list[tuple[int, int, int]]) -> tuple[_Words, np.ndarray, _Words]:
+        """The words after a batch of merges one by one, which words change, and these
+        words after it. A merge may bring about pairs of later merges only."""
+        table = np.array(batch, np.int64)
+        codes = (table[:, 0] << 32) | table[:, 1]
+        order = np.argsort(codes)
+        args = codes[order], order, table[order, 2].astype(np.int32)
+        words, changed = self._once(*args)
+        untouched = self.only(~changed)
+        words, done = words.only(changed), []
+        while len(words.lengths):
+            after, again = words._once(*args)
+            done.append(words.only(~again))
+            words = after.only(again)
+        changes = _Words.joined(done) if done else words
+        return _Words.joined([untouched, changes]), changed, changes
 
-    def only(self, which: np.ndarray) -> _Words:
-        keep = np.zeros(len(self.lengths), bool)
-        keep[which] = True
-        return _Words(self.symbols[np.repeat(keep, self.lengths)], self.lengths[keep], self.counts[keep])
+    @classmethod
+    def joined(cls, parts: list[_Words]) -> _Words:
+        return cls(*[np.concatenate([getattr(p, name) for p in parts]) for name in ("symbols", "lengths", "counts")])
+
+    def segments(self, pairs: np.ndarray) -> dict[bytes, int]:
+        """Maximal parts of the words whose adjacent symbols are all pairs of the sorted
+        codes, with the frequencies of their words."""
+        word = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        codes = (self.symbols[:-1].astype(np.int64) << 32) | self.symbols[1:]
+        place = np.minimum(np.searchsorted(pairs, codes), len(pairs) - 1)
+        tied = np.concatenate([[False], (pairs[place] == codes) & (word[:-1] == word[1:]), [False]])
+        starts, ends = np.flatnonzero(tied[1:] & ~tied[:-1]), np.flatnonzero(tied[:-1] & ~tied[1:]) + 1
+        data, out = self.symbols.astype("<i4").tobytes(), {}
+        for a, b, n in zip(starts.tolist(), ends.tolist(), self.counts[word[starts]].tolist()):
+            key = data[4 * a : 4 * b]
+            out[key] = out.get(key, 0) + n
+        return out
 
 
 _BLOCKS = "symbols binary, lengths binary, counts binary"
 _CHANGES = "left int, right int, n bigint"
+_EITHER = pa.schema(
+    [("symbols", pa.binary()), ("lengths", pa.binary()), ("counts", pa.binary()), ("left", pa.int32()), ("right", pa.int32()), ("n", pa.int64())]
+)
 
 
 def _totals(codes: np.ndarray, weights: np.ndarray) -> pa.RecordBatch:
@@ -214,95 +227,194 @@ def _blocks(counts: DataFrame) -> DataFrame:
     return longer.repartition(scratch_partitions(counts.sparkSession), "piece").mapInArrow(run, _BLOCKS)
 
 
-def _replayed(blocks: DataFrame, rounds: list[list[tuple[int, int, int]]]) -> DataFrame:
-    """The words after the merges of some rounds."""
+def _pairs_in(blocks: DataFrame) -> DataFrame:
+    """All pair counts, block by block."""
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                words = _Words.load(batch, row)
-                for merges in rounds:
-                    words, _ = words.merged(merges)
-                yield words.row()
+                yield _totals(*_Words.load(batch, row).pairs())
+
+    return blocks.mapInArrow(run, _CHANGES)
 
-    return blocks.mapInArrow(run, _BLOCKS)
 
+def _advanced(blocks: DataFrame, batches_of_merges: list[list[tuple[int, int, int]]]) -> DataFrame:
+    """One stored table: the blocks after some batches of merges, and how they change
+    the pair counts. Only words that change are counted anew."""
 
-def _pair_changes(blocks: DataFrame, rounds: list[list[tuple[int, int, int]]]) -> DataFrame:
-    """How the merges of some rounds change the pair counts, or, without any, all pair
-    counts. Only words that change are counted anew."""
+    def widened(part: pa.RecordBatch) -> pa.RecordBatch:
+        absent = lambda f: pa.nulls(part.num_rows, f.type)
+        return pa.RecordBatch.from_arrays([part.column(f.name) if f.name in part.schema.names else absent(f) for f in _EITHER], schema=_EITHER)
 
     def run(batches):
         for batch in batches:
             for row in range(batch.num_rows):
-                before = after = _Words.load(batch, row)
-                if not rounds:
-                    yield _totals(*before.pairs())
-                    continue
-                changed = []
-                for merges in rounds:
-                    after, which = after.merged(merges)
-                    changed.append(which)
-                which = np.unique(np.concatenate(changed))
-                if len(which):
-                    old, new = before.only(which).pairs(), after.only(which).pairs()
-                    yield _totals(np.concatenate([old[0], new[0]]), np.concatenate([-old[1], new[1]]))
+                words = _Words.load(batch, row)
+                for merges in batches_of_merges:
+                    before = words
+                    words, changed, changes = before.merged(merges)
+                    if changed.any():
+                        old, new = before.only(changed).pairs(), changes.pairs()
+                        yield widened(_totals(np.concatenate([old[0], new[0]]), np.concatenate([-old[1], new[1]])))
+                yield widened(words.only(words.lengths > 1).row())
 
-    return blocks.mapInArrow(run, _CHANGES)
+    return materialized(blocks.mapInArrow(run, f"{_BLOCKS}, {_CHANGES}"))
+
+
+def _segment_counts(blocks: DataFrame, pairs: list[tuple[int, int, int]]) -> DataFrame:
+    """Stored ``segment, n``: the distinct parts of all words that hold together by the
+    given pairs."""
+    codes = np.sort(np.array([(left << 32) | right for left, right, _ in pairs], np.int64))
+
+    def run(batches):
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = _Words.load(batch, row).segments(codes)
+                yield pa.RecordBatch.from_arrays([pa.array(found.keys(), pa.binary()), pa.array(found.values(), pa.int64())], ["segment", "n"])
+
+    return materialized(blocks.mapInArrow(run, "segment binary, n bigint").groupBy("segment").agg(F.sum("n").alias("n")))
+
+
+class _Segments:
+    """Distinct segments with their frequencies, and the pairs in them by frequency."""
+
+    def __init__(self, rows: list):
+        self.symbols = [np.frombuffer(r["segment"], "<i4").tolist() for r in rows]
+        self.weights = [r["n"] for r in rows]
+        self.counts: dict[tuple[int, int], int] = {}
+        self.places: dict[tuple[int, int], set[int]] = {}
+        for i in range(len(rows)):
+            self._count(i, 1)
+        self.queue = [(-n, *pair) for pair, n in self.counts.items()]
+        heapq.heapify(self.queue)
+
+    def _count(self, i: int, sign: int) -> set[tuple[int, int]]:
+        symbols, weight = self.symbols[i], sign * self.weights[i]
+        found = set(zip(symbols, symbols[1:]))
+        for pair in zip(symbols, symbols[1:]):
+            self.counts[pair] = self.counts.get(pair, 0) + weight
+        if sign > 0:
+            for pair in found:
+                self.places.setdefault(pair, set()).add(i)
+        return found
+
+    def first(self) -> tuple[int, int, int] | None:
+        """The next pair as ``(-n, left, right)``, without taking it."""
+        while self.queue:
+            n, left, right = self.queue[0]
+            now = self.counts.get((left, right), 0)
+            if now == -n:
+                return self.queue[0]
+            # Pairs that lost occurrences wait under their present count.
+            heapq.heappop(self.queue)
+            if 0 < now < -n:
+                heapq.heappush(self.queue, (-now, left, right))
+        return None
+
+    def merge(self, left: int, right: int, made: int) -> None:
+        heapq.heappop(self.queue)
+        risen: set[tuple[int, int]] = set()
+        for i in self.places.pop((left, right)):
+            old, out, at = self.symbols[i], [], 0
+            before = self._count(i, -1)
+            while at < len(old):
+                if old[at] == left and at + 1 < len(old) and old[at + 1] == right:
+                    out.append(made)
+                    at += 2
+                else:
+                    out.append(old[at])
+                    at += 1
+            self.symbols[i] = out
+            risen |= self._count(i, 1) - before
+        self.counts.pop((left, right), None)
+        for pair in risen:
+            heapq.heappush(self.queue, (-self.counts[pair], *pair))
 
 
 def learn(
     counts: DataFrame,
     vocab_size: int = VOCAB_SIZE,
     min_frequency: int = MIN_FREQUENCY,
-    candidates: int = 4096,
-    rounds_per_write: int = 12,
+    candidates: int = 8192,
+    max_segments: int = 200_000,
+    max_symbols: int = 4_000_000,
 ) -> Vocabulary:
-    """Learn merges from pre-token counts ``(piece, n)``, exactly as one by one.
-
-    Words are a table of blocks, pair counts another. A round is one job: it adds what
-    the rounds since the last write have changed in the counts, and gives the driver
-    the ``candidates`` most frequent pairs, of which a batch is merged. Every few rounds
-    both tables are written anew, and those that they replace are deleted. Ties go to
-    the lower left, then the lower right id.
+    """Learn merges from pre-token counts ``(piece, n)``, exactly as one by one: the most
+    frequent pair first, ties to the lower left, then the lower right id.
+
+    Words are a table of blocks, pair counts another. A round takes the leading pairs and
+    cuts every word between symbols that are none of them. All merges up to the last
+    leading pair happen inside of these segments: a pair outside comes later in the order
+    and only loses occurrences, and what a merge puts beside a cut was beside it before, so
+    it is at most as frequent as a pair outside and, at equal frequency, later still (new
+    ids are the highest). The distinct segments with their frequencies are therefore all
+    that is needed to find those merges, hundreds or thousands, one by one with a queue. They are
+    few, because only some pairs hold them together: more than ``max_segments`` of them or
+    ``max_symbols`` in them, and the round takes half as many pairs; a single pair needs no
+    segments. The words then follow in one pass, and the pair counts change by what
+    changed. A merge whose token exists already ends a round, as its pairs are not new.
     """
     tokens = [*SPECIAL_TOKENS, *ALPHABET]
     ids = {t: i for i, t in enumerate(tokens)}
     merges: list[tuple[int, int, int]] = []
     blocks = materialized(_blocks(counts))
-    pairs = materialized(_pair_changes(blocks, []).groupBy("left", "right").agg(F.sum("n").alias("n")))
-    pending: list[list[tuple[int, int, int]]] = []
+    pairs = materialized(_pairs_in(blocks).groupBy("left", "right").agg(F.sum("n").alias("n")))
+    order = [F.desc("n"), F.asc("left"), F.asc("right")]
+    leading = min(256, candidates)
 
-    def current() -> DataFrame:
-        if not pending:
-            return pairs
-        return pairs.union(_pair_changes(blocks, pending)).groupBy("left", "right").agg(F.sum("n").alias("n"))
+    def named(left: int, right: int) -> tuple[int, bool]:
+        token = tokens[left] + tokens[right]
+        new = token not in ids
+        if new:
+            ids[token] = len(tokens)
+            tokens.append(token)
+        return ids[token], new
 
-    order = [F.desc("n"), F.asc("left"), F.asc("right")]
     while len(tokens) < vocab_size:
-        top = current().where(F.col("n") >= min_frequency).orderBy(*order).limit(candidates).collect()
+        top = [tuple(r) for r in pairs.where(F.col("n") >= min_frequency).orderBy(*order).limit(leading).collect()]
         if not top:
             break
+        segments = None
+        while len(top) > 1:
+            found = _segment_counts(blocks, top)
+            size = found.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("segment") / 4), F.lit(0))).first()
+            fits = size[0] <= max_segments and size[1] <= max_symbols
+            if fits:
+                segments = _Segments(found.collect())
+            discard(found)
+            if fits:
+                leading = min(2 * len(top), candidates) if 4 * size[0] <= max_segments and 4 * size[1] <= max_symbols else len(top)
+                break
+            top = top[: len(top) // 2]
         batch: list[tuple[int, int, int]] = []
-        for left, right in _independent_prefix([tuple(r) for r in top]):
-            token = tokens[left] + tokens[right]
-            known = token in ids
-            if not known:
-                if len(tokens) >= vocab_size:
+        new = True
+        if segments is None:
+            left, right, _ = top[0]
+            made, new = named(left, right)
+            batch.append((left, right, made))
+            leading = 2
+        else:
+            last = (-top[-1][2], top[-1][0], top[-1][1])
+            while len(tokens) < vocab_size:
+                first = segments.first()
+                if first is None or first > last:
+                    break
+                _, left, right = first
+                made, new = named(left, right)
+                batch.append((left, right, made))
+                if not new:
                     break
-                ids[token] = len(tokens)
-                tokens.append(token)
-            batch.append((left, right, ids[token]))
-            if known:
-                break  # its pairs are not new ones and may come before the rest
+                segments.merge(left, right, made)
         merges += batch
-        pending.append(batch)
-        if len(pending) >= rounds_per_write:
-            old = (blocks, pairs)
-            pairs = materialized(current().where("n > 0"))
-            blocks, pending = materialized(_replayed(blocks, pending)), []
-            for frame in old:
-                discard(frame)
+        # A last merge to a token that was there before would meet pairs merged earlier.
+        rounds = [batch] if new or len(batch) == 1 else [batch[:-1], batch[-1:]]
+        advanced = _advanced(blocks, rounds)
+        old = (blocks, pairs)
+        blocks = advanced.where("left is null").select("symbols", "lengths", "counts")
+        changes = advanced.where("left is not null").select("left", "right", "n")
+        pairs = materialized(pairs.union(changes).groupBy("left", "right").agg(F.sum("n").alias("n")).where("n > 0"))
+        for frame in old:
+            discard(frame)
     for frame in (blocks, pairs):
         discard(frame)
     return Vocabulary(tokens, merges)

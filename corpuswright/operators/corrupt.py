@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..constants import IGNORE, MASK, MASK_PROBABILITY, PROTECTED_IDS, REPLACE_PROBABILITY, VOCAB_SIZE
 from ..functions.arrays import col, where
 from ..functions.hashing import happens, uniform, uniform_index
+from ..functions.scores import gumbel
 
 
 @dataclass(frozen=True)
@@ -126,6 +127,50 @@ def replace_tokens(
     return drawn.withColumn("sampled_input_ids", where("replaced", "_drawn", "input_ids")).drop("_drawn")
 
 
+def _scatter():
+    """Values of a row with those at some of its places replaced, from a list of
+    ``position, id``."""
+
+    @F.arrow_udf("array<int>")
+    def scatter(values: pa.Array, found: pa.Array) -> pa.Array:
+        starts = np.asarray(values.offsets, np.int64)
+        out = values.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
+        counts = np.diff(np.asarray(found.offsets))
+        pairs = found.flatten()
+        at = np.repeat(starts[:-1] - starts[0], counts) + pairs.field("position").to_numpy(zero_copy_only=False)
+        out[at] = pairs.field("id").to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(pa.array((starts - starts[0]).astype(np.int32)), pa.array(out))
+
+    return scatter
+
+
+def sample_by_position(
+    masked: DataFrame, key: str, logits: DataFrame, temperature: float = 1.0, cfg: CorruptionConfig = CorruptionConfig()
+) -> DataFrame:
+    """Add ``sampled_input_ids``: each replaced position gets one of the ids that ``logits``
+    (``key, position, id, logit``; one row per candidate, positions from 0) offers there, drawn
+    from the softmax of its logits / temperature. A position without candidates keeps its id.
+
+    Noise is added to every candidate where its row is, and the largest of a position is a
+    mergeable aggregate: candidates are combined before they are shuffled, and no row is as
+    wide as the vocabulary. Equal sums go to the lower id. A candidate given twice counts once,
+    with its larger logit; null and NaN logits are no candidates. Keys are unique in ``masked``.
+    """
+    if not temperature > 0:
+        raise ValueError("temperature must be positive")
+    wanted = masked.select(F.col(key).alias("_key"), F.posexplode("replaced").alias("position", "_replaced")).where("_replaced")
+    given = logits.select(F.col(key).alias("_key"), "position", F.col("id").cast("int").alias("id"), F.col("logit").cast("double").alias("logit"))
+    candidates = given.where("logit is not null and not isnan(logit)").join(wanted.drop("_replaced"), ["_key", "position"])
+    draw = uniform(cfg.seed, f"sample:{cfg.epoch}", "_key", "position", "id", algorithm=cfg.algorithm)
+    score = F.col("logit") / F.lit(float(temperature)) + gumbel(draw)
+    best = candidates.groupBy("_key", "position").agg(F.max(F.struct(score.alias("score"), (-F.col("id")).alias("less"))).alias("best"))
+    found = best.groupBy("_key").agg(F.collect_list(F.struct("position", (-F.col("best.less")).cast("int").alias("id"))).alias("_found"))
+    joined = masked.join(found.withColumnRenamed("_key", key), key, "left")
+    none = F.array().cast("array<struct<position: int, id: int>>")
+    drawn = _scatter()(F.col("input_ids").cast("array<int>"), F.coalesce("_found", none))
+    return joined.withColumn("sampled_input_ids", drawn).drop("_found")
+
+
 def replacement_labels(df: DataFrame, protected=PROTECTED_IDS) -> DataFrame:
     """Add ``labels_at_token_level``: 1 where a replaced token really differs,
     0 elsewhere, the ignore value at protected ids."""

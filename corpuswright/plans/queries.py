@@ -4,18 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..constants import DISCRIMINATOR_FACTOR, IGNORE, MAX_SENTENCE_LENGTH, MAX_SENTENCES, VOCAB_SIZE
+from ..constants import DISCRIMINATOR_FACTOR, IGNORE, MAX_SENTENCE_LENGTH, MAX_SENTENCES, MIN_FREQUENCY, VOCAB_SIZE
 from ..functions import arrays as A
 from ..functions import scores as S
 from ..functions import text as T
 from ..functions.hashing import uniform
 from ..operators import bpe, corrupt, losses, metrics, pooling, runlog
+from ..operators import dictionary as D
 from ..operators import encode as E
 from ..operators import features as X
 from ..operators import sampling as P
+from ..operators.batched import map_batches
 from ..operators.ordering import union_all
 from ..operators.rollup import path_rollup
 from ..operators.skew import small_side
@@ -35,15 +39,18 @@ BATCH = 32
 SPLIT_VALIDATION, SPLIT_TEST, TRAIN_SIZE = 50, 20, 60
 SENTENCE_PROBABILITY = 0.2
 TEMPERATURE = 0.5
+FOLLOWERS = 8
+WORKERS = 4
 LOG_EVERY, EVALUATE_EVERY, SAVE_EVERY, ACCUMULATION = 5, 10, 20, 4
 GATE_THRESHOLD = 50.0
+GATE_DAYS_LATE, GATE_DELAY_DAYS, GATE_IDLE_DAYS, GATE_FILES_AT_ONCE = 3, 5, 6, 4
 ARRIVALS, LATE_PARTS = 6, 2
 DOCUMENTS_PER_FILE = 5_000
-VECTOR_DIM = CLASSES = 64
+VECTOR_DIM = 64
 PREPARED_VALIDATION, PREPARED_TEST = 20, 10
 CHECKED_SENTENCES = CHECKED_LENGTH = 16
 RATIOS = [0.25, 0.5, 0.75, 1.0]
-SOURCES = [f"src{i}" for i in range(20)]
+MAX_SOURCES = 100_000
 
 
 def query(fn: Query) -> Query:
@@ -75,6 +82,14 @@ def whole(spark: SparkSession, sf: str) -> DataFrame:
     return X.numbered(encoded(spark, sf), X.WHOLE)
 
 
+def source_names(spark: SparkSession, sf: str) -> list[str]:
+    """The sources of the documents, shorter names first: the list of corpora and tasks."""
+    names = table(spark, sf, "documents").where("source is not null").select("source").distinct().limit(MAX_SOURCES + 1).collect()
+    if len(names) > MAX_SOURCES:
+        raise ValueError(f"more than {MAX_SOURCES} sources are no list of tasks")
+    return sorted((r["source"] for r in names), key=lambda s: (len(s), s))
+
+
 def proposal(tokens_of: DataFrame) -> DataFrame:
     return corrupt.token_proposal(tokens_of.select(F.explode("input_ids").alias("id")))
 
@@ -166,12 +181,13 @@ def corpus_validation(spark, sf):
 
 @query
 def task_range(spark, sf):
-    """SMP-8. Four workers, each with its range of the 20 sources as tasks."""
-    n = len(SOURCES)
-    tasks = local_table(spark, [(i, s) for i, s in enumerate(SOURCES)], "ordinal int, source string")
-    share = n // 4
+    """SMP-8. Workers, each with its range of the sources as tasks."""
+    names = source_names(spark, sf)
+    n, share = len(names), -(-len(names) // WORKERS)
+    tasks = local_table(spark, list(enumerate(names)), "ordinal int, source string")
     ranges = [
-        C.task_range(tasks, w * share, (w + 1) * share, n).withColumn("worker", F.lit(w)) for w in range(4)
+        C.task_range(tasks, first, min(first + share, n), n).withColumn("worker", F.lit(w).cast("int"))
+        for w, first in enumerate(range(0, n, share))
     ]
     docs = table(spark, sf, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"))
     return union_all(ranges).join(docs, "source").select("worker", "ordinal", "source", "n_docs")
@@ -184,8 +200,9 @@ def task_range(spark, sf):
 def head_fraction_by_source(spark, sf):
     """SMP-1, JOIN-2, JOIN-8. First part of every source, by zipped ratios."""
     docs = table(spark, sf, "documents").select("doc_id", "source", "n_chars")
-    ratios = C.zip_ratios(spark, SOURCES, [RATIOS[i % 4] for i in range(len(SOURCES))])
-    with_ratio = docs.join(F.broadcast(ratios.withColumnRenamed("name", "source")), "source")
+    names = source_names(spark, sf)
+    ratios = C.zip_ratios(spark, names, [RATIOS[i % len(RATIOS)] for i in range(len(names))])
+    with_ratio = docs.join(small_side(ratios.withColumnRenamed("name", "source")), "source")
     return P.head_fraction(with_ratio, "doc_id", F.col("ratio"), ["source", "ratio"]).drop("ratio")
 
 
@@ -259,7 +276,7 @@ def prepared_splits(spark, sf):
     docs = table(spark, sf, "documents")
     labels = table(spark, sf, "labels").select("doc_id", F.col("toxic").alias("label"))
     labelled = docs.join(labels, "doc_id", "left").withColumn(
-        "split", F.when(F.col("lang") == "en", "train").otherwise(F.col("lang"))
+        "split", F.when(F.col("lang").isin("de", "fr", "es"), F.col("lang")).otherwise("train")
     )
     bench = table(spark, sf, "benchmark").withColumn("split", F.lit("train"))
     first = Corpus("documents", None, labelled, "doc_id", validation_splits=("de", "fr"), test_splits=("es",),
@@ -322,12 +339,35 @@ def sentence_stats(spark, sf):
     )
 
 
+@query
+def ruled_sentence_stats(spark, sf):
+    """STR-2 with rules for abbreviations, initials, numbers, closing quotes and other scripts."""
+    docs = documents(spark, sf).withColumn("sents", T.ruled_sentences("text"))
+    lengths = F.transform("sents", lambda s: F.length(s))
+    return docs.select(
+        "doc_id", F.size("sents").cast("bigint").alias("n_sentences"), F.array_max(lengths).cast("bigint").alias("longest"),
+        A.weighted_checksum(lengths).alias("checksum"),
+    )
+
+
 @query
 def word_freq(spark, sf):
     """AGG-18."""
     return E.piece_counts(documents(spark, sf))
 
 
+@query
+def batched_map(spark, sf):
+    """UDF-1. A function of Arrow batches adds columns and removes the text."""
+
+    def shape(batch):
+        text = pc.fill_null(batch.column("text"), "")
+        words = pc.list_value_length(pc.split_pattern_regex(text, "[^A-Za-z]+"))
+        return {"n_bytes": pc.cast(pc.binary_length(text), pa.int64()), "n_parts": pc.cast(words, pa.int64()), "shouted": pc.ascii_is_upper(text)}
+
+    return map_batches(table(spark, sf, "documents").drop("n_chars", "lang"), shape, columns=["text"], removed=["text"])
+
+
 @query
 def vocab_topk(spark, sf):
     """TOPK-1, SRC-7."""
@@ -470,6 +510,33 @@ def rtd_labels(spark, sf):
     )
 
 
+def followers(docs: DataFrame) -> DataFrame:
+    """``before, id, logit``: the tokens that follow a token most often in the corpus."""
+    pairs = F.arrays_zip(F.slice("input_ids", F.lit(1), F.size("input_ids") - 1).alias("before"), F.slice("input_ids", F.lit(2), F.size("input_ids")).alias("id"))
+    counted = docs.where(F.size("input_ids") > 1).select(F.explode(pairs).alias("p")).select("p.before", "p.id")
+    counted = counted.where(~F.col("id").isin(*corrupt.PROTECTED_IDS)).groupBy("before", "id").agg(F.count(F.lit(1)).alias("n"))
+    first = Window.partitionBy("before").orderBy(F.desc("n"), "id")
+    ranked = counted.withColumn("r", F.row_number().over(first)).where(F.col("r") <= FOLLOWERS)
+    return ranked.select("before", "id", F.ln("n").alias("logit"))
+
+
+@query
+def positional_corruption(spark, sf):
+    """AGG-22, ARR-12. Replacements drawn from a table of logits by position: the commonest
+    followers of the token before."""
+    masked = corrupt.mask_tokens(whole(spark, sf), "doc_id")
+    before = F.transform("replaced", lambda r, i: F.when(r & (i > 0), F.element_at("input_ids", F.greatest(i, F.lit(1)))))
+    places = masked.select("doc_id", F.posexplode(before).alias("position", "before")).where("before is not null")
+    logits = places.join(followers(whole(spark, sf)), "before").select("doc_id", "position", "id", "logit")
+    out = corrupt.replacement_labels(corrupt.sample_by_position(masked, "doc_id", logits, TEMPERATURE))
+    return out.select(
+        "doc_id",
+        F.size(F.filter("labels_at_token_level", lambda y: y == 1)).cast("bigint").alias("n_fake"),
+        A.weighted_checksum("sampled_input_ids").alias("sampled_checksum"),
+        A.weighted_checksum("labels_at_token_level").alias("labels_checksum"),
+    )
+
+
 @query
 def masked_accuracy(spark, sf):
     """AGG-7. The sampled tokens, and the most likely one (of equals the lowest id)
@@ -599,7 +666,7 @@ def correlations(spark, sf):
 
 def class_rows(spark, sf) -> DataFrame:
     vecs = table(spark, sf, "embeddings")
-    logits = F.transform(F.slice("embedding", 1, CLASSES), lambda x: x.cast("double"))
+    logits = F.transform("embedding", lambda x: x.cast("double"))
     return vecs.select("vec_id", "label", logits.alias("logits"))
 
 
@@ -679,7 +746,7 @@ def macro_score(spark, sf):
     """AGG-14, SRC-9. Sources as tasks, metrics in turn; sources without labelled
     rows drop out."""
     chosen = ["eval_label_MCC", "eval_label_ACCURACY", "eval_label_F1"]
-    rows = [(i, s, chosen[i % len(chosen)], 3) for i, s in enumerate(SOURCES)]
+    rows = [(i, s, chosen[i % len(chosen)], 3) for i, s in enumerate(source_names(spark, sf))]
     tasks = local_table(spark, rows, "ordinal int, subset string, metric string, epochs int")
     results = L.task_results(tasks, source_ledger(spark, sf))
     total = L.suite_score(results)
@@ -798,33 +865,20 @@ def text_options(spark, sf, **options) -> dict:
     return {"files": R.file_state(table(spark, sf, "documents")), **this_run(spark), **options}
 
 
-def once_a_document(spark, sf) -> int:
-    """Frequency that a merge must have here: once for every document, on average."""
-    return max(2, table(spark, sf, "documents").count())
-
-
 def document_vocabulary(spark, sf) -> bpe.Vocabulary:
-    least = once_a_document(spark, sf)
-    name = V.artefact_name("ByteLevelBPETokenizer", VOCAB_SIZE, least)
-    return V.trained(
-        spark, name, text_options(spark, sf),
-        lambda: bpe.learn(bpe.pretoken_counts(documents(spark, sf)), VOCAB_SIZE, least),
-    )
+    name = V.artefact_name("ByteLevelBPETokenizer", VOCAB_SIZE, MIN_FREQUENCY)
+    return V.trained(spark, name, text_options(spark, sf), lambda: bpe.learn(bpe.pretoken_counts(documents(spark, sf))))
 
 
 @query
 def bpe_learn(spark, sf):
-    """AGG-19, SRC-7, STR-4. All merges up to the vocabulary size that are frequent
-    enough, learned from all documents."""
+    """AGG-19, SRC-7, STR-4. All merges up to the vocabulary size, learned from all documents."""
     return document_vocabulary(spark, sf).merge_table(spark).select("rank", "left_id", "right_id", "id")
 
 
 def word_merges(spark, sf) -> bpe.Vocabulary:
-    least = once_a_document(spark, sf)
-    options = text_options(spark, sf, pieces="words", size=VOCAB_SIZE, least=least)
-    return V.trained(
-        spark, "words", options, lambda: bpe.learn(E.piece_counts(documents(spark, sf)), VOCAB_SIZE, least)
-    )
+    options = text_options(spark, sf, pieces="words", size=VOCAB_SIZE, least=MIN_FREQUENCY)
+    return V.trained(spark, "words", options, lambda: bpe.learn(E.piece_counts(documents(spark, sf))))
 
 
 @query
@@ -872,6 +926,29 @@ def bpe_decode(spark, sf):
     return text.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
+@query
+def tokenizer_file(spark, sf):
+    """SRC-7. The learned vocabulary as one tokenizer file, written and read back: its
+    entries and, for those that a merge brings about first, the merge."""
+    path = V.export_json(spark, document_vocabulary(spark, sf), f"{scratch_path(spark, 'tokenizer')}/tokenizer.json")
+    entries, merges = V.json_tables(spark, path)
+    first = merges.groupBy(F.concat("left", "right").alias("token")).agg(F.min(F.struct("rank", "left", "right")).alias("m"))
+    return entries.join(first, "token", "left").select("id", "token", "special", "m.rank", "m.left", "m.right")
+
+
+@query
+def dictionary_ids(spark, sf):
+    """JOIN-4, STR-3. Words to ids by a dictionary that has every distinct word, however
+    many there are."""
+    docs = documents(spark, sf)
+    words = D.dictionary(E.piece_counts(docs), min_frequency=1)
+    ids = D.encode(docs, ["doc_id"], T.sentences("text"), words)
+    return ids.select(
+        "doc_id", F.size("input_ids").cast("bigint").alias("n_sentences"), F.size(F.flatten("input_ids")).cast("bigint").alias("n_tokens"),
+        F.array_max(F.flatten("input_ids")).alias("rarest"), A.weighted_checksum(F.flatten("input_ids")).alias("checksum"),
+    )
+
+
 # --- streams ---------------------------------------------------------------
 
 
@@ -906,7 +983,7 @@ def arriving_events(spark, sf, path: str) -> DataFrame:
 
 @query
 def stream_eval_log(spark, sf):
-    """STM-2. Windows that the watermark has closed; late rows are dropped."""
+    """STM-2, AGG-3. Windows that the watermark has closed; late rows are dropped."""
     path = scratch_path(spark, "stream-log")
     log = arriving_events(spark, sf, path)
     per_window = SE.evaluation_log(
@@ -917,7 +994,7 @@ def stream_eval_log(spark, sf):
     out = spark.read.parquet(f"{path}/rows")
     return out.select(
         F.unix_micros("window_start").alias("window_start"), "n", rounded("loss").alias("loss"),
-        *metrics.CONFUSION, *[rounded(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "mcc")],
+        *metrics.CONFUSION, *[rounded(c).alias(c) for c in ("accuracy", "precision", "recall", "f1", "mcc", "auc", "auc_error")],
     )
 
 
@@ -937,6 +1014,45 @@ def stream_gate(spark, sf):
     return out.select("run", F.unix_micros("window_start").alias("window_start"), "gate")
 
 
+@query
+def stream_run_gate(spark, sf):
+    """STM-3 by event time. Daily evaluations of the users' purchases arrive up to three days
+    out of order; a run that is silent for long ends and starts anew."""
+    SE.use_rocksdb(spark)
+    path = scratch_path(spark, "stream-run-gate")
+    bought = table(spark, sf, "events").where("event_type = 'purchase'")
+    day = F.date_trunc("day", F.col("ts").cast("timestamp"))
+    daily = materialized(bought.groupBy(F.col("user_id").alias("run"), day.alias("window_start")).agg(F.avg("value").alias("metric")))
+    first = F.unix_date(F.lit(daily.agg(F.min("window_start")).first()[0]).cast("date"))
+    late = F.pmod(F.xxhash64("run", "window_start"), F.lit(GATE_DAYS_LATE + 1)).cast("int")
+    SC.deliver(daily, F.unix_date(F.col("window_start").cast("date")) - first + late, f"{path}/files", "window_start")
+    arriving = SC.read_files(spark, f"{path}/files", daily.schema, files_at_once=GATE_FILES_AT_ONCE)
+    gates = SE.run_gate_stream(arriving, GATE_THRESHOLD, f"{GATE_DELAY_DAYS} days", GATE_IDLE_DAYS * 86_400_000)
+    SC.write_stream(gates, f"{path}/gates", f"{path}/log")
+    out = spark.read.parquet(f"{path}/gates")
+    return out.select("run", F.unix_micros("window_start").alias("window_start"), "gate", "restarted")
+
+
+@query
+def stream_ledger(spark, sf):
+    """SRC-8. Metrics per user and day as they arrive; later values of a key replace earlier
+    ones, and a batch that is recorded twice changes nothing."""
+    path = scratch_path(spark, "stream-ledger")
+    log = arriving_events(spark, sf, path)
+    day = F.unix_date(F.col("ts").cast("date")).cast("bigint")
+    rows = log.select(
+        F.col("user_id").cast("string").alias("run"), day.alias("step"), F.concat(F.lit("eval_"), "event_type").alias("metric"),
+        "value", F.col("event_id").alias("seq"),
+    )
+    SC.run_to_end(L.record_stream(rows, f"{path}/ledger", f"{path}/log"))
+    # The last batch once more, as after a lost acknowledgement, then one folder for the first ones.
+    last = L.batches(spark, f"{path}/ledger")[-1]
+    again = materialized(spark.read.parquet(f"{path}/ledger/batch={last}"))
+    L.record_batch(again, f"{path}/ledger", last)
+    L.compact(spark, f"{path}/ledger", last - 1)
+    return L.latest(spark, f"{path}/ledger").select("run", "step", "metric", "value", "seq")
+
+
 # --- flagship --------------------------------------------------------------
 
 

@@ -113,6 +113,16 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file with this text, in any file system that Spark reaches."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jvm_path, False)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """Small fixed table whose size the optimizer knows."""
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

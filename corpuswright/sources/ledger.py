@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import col
 from ..functions.text import with_prefix
 from ..operators.metrics import macro_score
+from ..session import delete_path, publish
 
 # Configuration keys shown before all others.
 FIRST_CONFIG_KEYS = ["learning_rate", "pretrain_path", "num_hidden_layers"]
@@ -74,3 +75,54 @@ def task_results(tasks: DataFrame, ledger: DataFrame, subset: str = "run") -> Da
 def suite_score(results: DataFrame) -> DataFrame:
     return results.agg(macro_score("result").alias("score"), F.count("result").alias("n_tasks"))
 
+
+
+# --- exactly once --------------------------------------------------------------
+
+# Rows of one key are told apart by this: the latest counts.
+SEQUENCE = "seq"
+
+
+def record_batch(rows: DataFrame, path: str, batch_id: int) -> None:
+    """Write the rows ``run, step, metric, value, seq`` of one batch, in place of what an
+    earlier attempt at the same batch has left. A batch has a folder of its own, so a
+    replay changes nothing and no other row is rewritten."""
+    wanted = rows.select("run", "step", "metric", F.col("value").cast("double").alias("value"), F.col(SEQUENCE).cast("long").alias(SEQUENCE))
+    wanted.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch={batch_id}")
+
+
+def record_stream(rows: DataFrame, path: str, checkpoint: str):
+    """A stream of ledger rows, recorded batch by batch: a writer to be started."""
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, number: record_batch(batch, path, number))
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """One row per run, step and metric, the one of greatest ``seq``; of equals the greatest
+    value, nulls least. Merged before the shuffle."""
+    rows = spark.read.parquet(path)
+    last = F.max(F.struct(SEQUENCE, "value")).alias("last")
+    return rows.groupBy("run", "step", "metric").agg(last).select("run", "step", "metric", "last.value", f"last.{SEQUENCE}")
+
+
+def compact(spark: SparkSession, path: str, up_to: int) -> None:
+    """Put the batches up to a finished one into one folder. The new folder is complete
+    before the old ones go, and reading both gives the same rows."""
+    old = [i for i in batches(spark, path) if i <= up_to]
+    if len(old) < 2:
+        return
+    folders = [f"{path.rstrip('/')}/batch={i}" for i in old]
+    merged = spark.read.parquet(*folders).groupBy("run", "step", "metric").agg(F.max(F.struct(SEQUENCE, "value")).alias("last"))
+    half = f"{path.rstrip('/')}/_compact-{up_to}"
+    merged.select("run", "step", "metric", "last.value", f"last.{SEQUENCE}").write.mode("overwrite").parquet(half)
+    # Negative numbers are no stream's batches; a second compaction takes the first one along.
+    publish(spark, half, f"{path.rstrip('/')}/batch={-up_to - 1}")
+    for folder in folders:
+        delete_path(spark, folder)
+
+
+def batches(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the recorded batches; negative ones are compacted."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in files.listStatus(root)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("batch="))

@@ -13,6 +13,9 @@ from ..functions.clock import instant
 from ..operators.metrics import confusion, confusion_metrics
 
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+# Scores are ranked at this resolution; a power of two, so that bins of a double are exact.
+AUC_BINS = 1 << 14
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -30,15 +33,49 @@ def windowed(
     return grouped.select(*bounds, *[c for c in grouped.columns if c != "window"])
 
 
+def area_under_curve(bins) -> tuple[Column, Column]:
+    """AUC from a list of ``bin, positives, negatives``, and how far it can be from that of
+    the scores themselves: pairs of one bin count half, whichever of the two is higher."""
+    start = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("area"), F.lit(0.0).alias("tied"), F.lit(0.0).alias("positives"))
+
+    def add(acc, b):
+        y, n = b["positives"].cast("double"), b["negatives"].cast("double")
+        return F.struct(
+            (acc["below"] + n).alias("below"), (acc["area"] + y * (acc["below"] + n / 2)).alias("area"),
+            (acc["tied"] + y * n / 2).alias("tied"), (acc["positives"] + y).alias("positives"),
+        )
+
+    def share(name):
+        return F.aggregate(F.sort_array(bins), start, add, lambda acc: F.try_divide(acc[name], acc["below"] * acc["positives"]))
+
+    return share("area"), share("tied")
+
+
 def evaluation_log(
-    log: DataFrame, time: str, probability: Column, label: Column, loss: str, width: str, delay: str
+    log: DataFrame, time: str, probability: Column, label: Column, loss: str, width: str, delay: str, bins: int = AUC_BINS
 ) -> DataFrame:
-    """Rows, mean loss, confusion counts and their metrics per logging window."""
+    """Rows, mean loss, confusion counts, their metrics and the AUC per logging window.
+
+    State is one row per window and score bin, merged as rows arrive; a closed window's bins,
+    at most ``bins``, are then summed up. ``auc_error`` bounds what binning can change. The AUC
+    is null where all labels are equal; rows without a probability are not ranked.
+    """
     scored = log.withColumns({"_probability": probability, "_label": label})
-    aggregates = [F.count(F.lit(1)).alias("n"), F.avg(loss).alias("loss")]
-    aggregates += [e.alias(k) for k, e in confusion("_probability", "_label").items()]
-    per_window = windowed(scored, time, width, delay, aggregates)
-    return per_window.select("*", *[e.alias(k.lower()) for k, e in confusion_metrics().items()])
+    place = F.least(F.floor(F.col("_probability") * bins), F.lit(bins - 1))
+    counts = {"n": F.count(F.lit(1)), "loss_sum": F.sum(loss), "loss_n": F.count(loss), **confusion("_probability", "_label")}
+    marked = {"positives": F.count_if(F.col("_label") == 1), "negatives": F.count_if(F.col("_label") == 0)}
+    clocked = scored.withColumn("_at", instant(scored, time)).withWatermark("_at", delay).withColumn("_bin", place)
+    binned = clocked.groupBy(F.window("_at", width).alias("window"), "_bin").agg(*[e.alias(k) for k, e in {**counts, **marked}.items()])
+    ranked = F.collect_list(F.when(F.col("_bin").isNotNull(), F.struct("_bin", "positives", "negatives")))
+    whole = binned.groupBy(F.window(F.window_time("window"), width).alias("window")).agg(
+        *[F.sum(k).alias(k) for k in counts], ranked.alias("bins")
+    )
+    auc, error = area_under_curve("bins")
+    return whole.select(
+        F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n",
+        F.try_divide("loss_sum", "loss_n").alias("loss"), *confusion("_probability", "_label"),
+        *[e.alias(k.lower()) for k, e in confusion_metrics().items()], auc.alias("auc"), error.alias("auc_error"),
+    )
 
 
 class GateProcessor(StatefulProcessor):
@@ -76,6 +113,92 @@ def gate_stream(evaluations: DataFrame, threshold: float) -> DataFrame:
     )
 
 
+class RunGateProcessor(StatefulProcessor):
+    """The gate by event time, for runs that report out of order and end.
+
+    Evaluations wait in a list until the watermark has passed them; a timer at each one's
+    time takes all that are due, in order of time. A run that has been silent for ``idle``
+    starts anew with an open gate, and a second timer takes its state out of the store.
+    """
+
+    def __init__(self, threshold: float, idle_ms: int):
+        self.threshold, self.idle_ms = threshold, idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "at bigint, metric double")
+        self.gate = handle.getValueState("gate", "open boolean, last bigint")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        for frame in rows:
+            millis = frame["at"].astype("int64").tolist()
+            metrics = [None if pd.isna(m) else float(m) for m in frame["metric"]]
+            due = [(at, m) for at, m in zip(millis, metrics) if at > passed * 1000]
+            if due:
+                self.waiting.appendList(due)
+                for at in {at for at, _ in due}:
+                    self.handle.registerTimer(_fires(at))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        passed = timerValues.getCurrentWatermarkInMs()
+        held = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        due = sorted((h for h in held if _fires(h[0]) <= passed), key=lambda h: (h[0], h[1] is not None, h[1] or 0.0))
+        is_open, last = self.gate.get() if self.gate.exists() else (True, None)
+        flags, starts = [], []
+        for at, metric in due:
+            starts.append(last is None or at - last > self.idle_ms * 1000)
+            if starts[-1]:
+                is_open = True
+            if metric is not None:
+                is_open = metric > self.threshold
+            last = at
+            flags.append(is_open)
+        rest = [h for h in held if _fires(h[0]) > passed]
+        ended = last is not None and last + self.idle_ms * 1000 < passed * 1000
+        if due:
+            if rest:
+                self.waiting.put(rest)
+            else:
+                self.waiting.clear()
+        if ended:
+            self.gate.clear()
+        elif due:
+            self.gate.update((bool(is_open), last))
+            self.handle.registerTimer(_fires(last + self.idle_ms * 1000) + 1)
+        if due:
+            times = pd.to_datetime([at for at, _ in due], unit="us", utc=True)
+            yield pd.DataFrame({"run": key[0], "window_start": times, "gate": flags, "restarted": starts})
+
+    def close(self) -> None:
+        pass
+
+
+def _fires(micros: int) -> int:
+    """The first millisecond at or after a moment."""
+    return -(-micros // 1000)
+
+
+def run_gate_stream(evaluations: DataFrame, threshold: float, delay: str, idle_ms: int) -> DataFrame:
+    """``run, window_start, gate, restarted`` per evaluation of a stream ``run, window_start,
+    metric`` in which a run's rows may come up to ``delay`` late, in any order.
+
+    A row is given out once the watermark has passed it; later ones are dropped. Rows of
+    one moment count in order of their metric, nulls first, which leave the gate as it is. After
+    more than ``idle_ms`` of event time without an evaluation a run is over: its next one
+    starts with an open gate. State is what waits and one flag per live run.
+    """
+    clocked = evaluations.withWatermark("window_start", delay)
+    micros = clocked.select("run", "window_start", "metric", F.unix_micros("window_start").alias("at"))
+    return micros.groupBy("run").transformWithStateInPandas(
+        statefulProcessor=RunGateProcessor(threshold, idle_ms),
+        outputStructType="run bigint, window_start timestamp, gate boolean, restarted boolean",
+        outputMode="append",
+        timeMode="eventTime",
+    )
+
+
 def use_rocksdb(spark: SparkSession) -> None:
     """Arbitrary state needs the RocksDB store; a cluster may have set it already."""
     if spark.conf.get(STATE_STORE, "") != ROCKSDB:

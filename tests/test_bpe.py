@@ -1,6 +1,7 @@
 """Subwords against the ``tokenizers`` library as an independent judge."""
 
 import json
+import random
 import tempfile
 import time
 import uuid
@@ -9,14 +10,13 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import ByteLevelBPETokenizer, Tokenizer, pre_tokenizers
 
-from corpuswright.constants import SPECIAL_TOKENS
+from corpuswright.constants import SPECIAL_TOKENS, VOCAB_SIZE
 from corpuswright.functions import text as T
 from corpuswright.operators import bpe
 from corpuswright.operators import encode as E
 from corpuswright.sources import vocabulary as V
 from corpuswright.sources.corpus import cache_path
 
-MERGES = 1500
 ODD = ["x  <PAD> y!<SEP>?? <MASK>\n\n <BOS>z <PA <UNK>", "it's  we'll ok 　 ź 1½ ", "", "\n\n\n a\tb  \n"]
 
 
@@ -31,22 +31,30 @@ def frame(spark, texts):
     return spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
 
 
-@pytest.fixture(scope="module")
-def judge(texts):
+def trained(texts, **options):
     with tempfile.NamedTemporaryFile("w", newline="", suffix=".txt") as f:
         f.writelines(t + "\n" for t in texts)
         f.flush()
-        trained = ByteLevelBPETokenizer()
-        trained.train([f.name], vocab_size=bpe.FIRST_MERGE_ID + MERGES, min_frequency=2,
-                      special_tokens=SPECIAL_TOKENS, show_progress=False)
-    whole = Tokenizer.from_str(trained._tokenizer.to_str())
+        made = ByteLevelBPETokenizer()
+        made.train([f.name], special_tokens=SPECIAL_TOKENS, show_progress=False, **options)
+    whole = Tokenizer.from_str(made._tokenizer.to_str())
     whole.add_special_tokens(SPECIAL_TOKENS)
     return whole
 
 
+def merges_of(judge):
+    found = json.loads(judge.to_str())["model"]["merges"]
+    return [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in found]
+
+
+@pytest.fixture(scope="module")
+def judge(texts):
+    return trained(texts, vocab_size=VOCAB_SIZE, min_frequency=2)
+
+
 @pytest.fixture(scope="module")
 def learned(frame):
-    return bpe.learn(bpe.pretoken_counts(frame), bpe.FIRST_MERGE_ID + MERGES)
+    return bpe.learn(bpe.pretoken_counts(frame))
 
 
 def test_pretokens(spark, texts):
@@ -58,17 +66,38 @@ def test_pretokens(spark, texts):
         assert got[i] == [t[a:b] for a, b in spans]
 
 
-def test_same_merges_and_vocabulary(judge, learned):
+def test_all_merges_and_the_vocabulary(judge, learned):
     model = json.loads(judge.to_str())["model"]
-    expected = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
-    assert [(learned.tokens[a], learned.tokens[b]) for a, b, _ in learned.merges] == expected
+    assert len(learned.merges) > 10_000
+    assert [(learned.tokens[a], learned.tokens[b]) for a, b, _ in learned.merges] == merges_of(judge)
     assert {t: i for i, t in enumerate(learned.tokens)} == model["vocab"]
 
 
-def test_batches_equal_one_merge_at_a_time(spark, frame, learned, monkeypatch):
-    monkeypatch.setattr(bpe, "_independent_prefix", lambda rows: [rows[0][:2]])
-    single = bpe.learn(bpe.pretoken_counts(frame), bpe.FIRST_MERGE_ID + 30)
-    assert single.merges == learned.merges[:30]
+@pytest.mark.parametrize("options", [{"candidates": 1}, {"candidates": 7}, {"max_segments": 3}, {"max_symbols": 40}])
+def test_small_rounds_give_the_same_merges(frame, learned, options):
+    some = bpe.learn(bpe.pretoken_counts(frame), bpe.FIRST_MERGE_ID + 12, **options)
+    assert some.merges == learned.merges[:12]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_few_letters_and_many_ties(spark, seed):
+    """Repeats, equal counts, and merges to tokens that exist already."""
+    r = random.Random(seed)
+    words = ["".join(r.choice("ab" if seed else "abc") for _ in range(r.randint(1, 14))) for _ in range(150)]
+    texts = [" ".join(r.choices(words, k=40)) for _ in range(30)]
+    judge = trained(texts, vocab_size=2000, min_frequency=2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for options in ({}, {"candidates": 16}):
+        got = bpe.learn(bpe.pretoken_counts(df), 2000, **options)
+        assert [(got.tokens[a], got.tokens[b]) for a, b, _ in got.merges] == merges_of(judge)
+        assert {t: i for i, t in enumerate(got.tokens)} == json.loads(judge.to_str())["model"]["vocab"]
+
+
+def test_a_merge_to_a_known_token_ends_its_round(spark):
+    # ab+c and a+bc both make abc; xbc keeps bc apart from ab.
+    counts = spark.createDataFrame([("xbc", 9), ("ab", 7), ("abd", 6), ("abc", 5), ("yabc", 4)], "piece string, n bigint")
+    whole, single = bpe.learn(counts, 400), bpe.learn(counts, 400, candidates=1)
+    assert whole == single and len(whole.merges) > 4
 
 
 def test_minimum_frequency_stops_learning(spark):
@@ -101,6 +130,40 @@ def test_encoding_is_a_map(spark, learned):
     assert "Exchange" not in plan
 
 
+def test_tokenizer_file(spark, texts, judge, learned, tmp_path):
+    path = V.export_json(spark, learned, str(tmp_path / "tokenizer.json"))
+    assert V.import_json(spark, path) == learned
+    library = Tokenizer.from_file(path)
+    ids = bpe.encode(spark.createDataFrame(list(enumerate(texts + ODD)), "doc_id int, text string"), ["doc_id"], F.array("text"), learned)
+    for r in ids.collect():
+        assert r["input_ids"] == [library.encode(f"<BOS>{(texts + ODD)[r['doc_id']]}<SEP>").ids]
+    judge.save(str(tmp_path / "theirs.json"))
+    assert V.import_json(spark, str(tmp_path / "theirs.json")) == learned
+    with pytest.raises(Exception):
+        V.export_json(spark, learned, path)  # never overwritten
+
+
+def test_tokenizer_files_of_other_forms(spark, tmp_path):
+    def stored(name, change):
+        whole = json.loads(V.to_json(bpe.Vocabulary([*SPECIAL_TOKENS, "a", "b", "ab"], [(6, 7, 8)])))
+        change(whole)
+        (tmp_path / name).write_text(json.dumps(whole))
+        return str(tmp_path / name)
+
+    older = stored("older.json", lambda w: w["model"].update(merges=["a b"]))
+    assert V.import_json(spark, older).merges == [(6, 7, 8)]
+    without = stored("without.json", lambda w: w.update(added_tokens=[]))
+    assert V.import_json(spark, without).tokens[:6] == SPECIAL_TOKENS
+    for name, change in (
+        ("moved.json", lambda w: w["model"]["vocab"].update({"<PAD>": 8, "ab": 0})),
+        ("gap.json", lambda w: w["model"]["vocab"].update({"ab": 11})),
+        ("lost.json", lambda w: w["model"].update(merges=[["a", "x"]])),
+        ("none.json", lambda w: (w.update(added_tokens=[]), [w["model"]["vocab"].pop(t) for t in SPECIAL_TOKENS])),
+    ):
+        with pytest.raises(ValueError):
+            V.import_json(spark, stored(name, change))
+
+
 def test_store_and_load(spark, learned, tmp_path):
     name = V.artefact_name("ByteLevelBPETokenizer", 30522, 2)
     assert name == "ByteLevelBPETokenizer-vocab_size=30522-min_frequency=2"

@@ -116,3 +116,23 @@ def test_free_hits(spark):
 def test_an_unbounded_proposal_is_refused(spark):
     with pytest.raises(ValueError):
         C.proposal_table(spark.range(20).select(F.col("id"), F.lit(1).alias("n")), vocab_size=10)
+
+
+def test_sampling_by_position(spark):
+    """Every position draws from its own candidates, with the softmax's shares."""
+    n = 3000
+    docs = spark.range(n).select("id", F.lit([7, 8, 9, 10]).alias("input_ids"), F.lit([True, True, False, True]).alias("replaced"))
+    offered = "stack(4, 0, 20, 2.0D, 0, 21, 0.0D, 1, 30, 1.0D, 2, 40, 9.0D) AS (position, token, logit)"
+    logits = docs.select("id", F.expr(offered)).select(F.col("id").alias("doc"), "position", F.col("token").alias("id"), "logit")
+    odd = spark.createDataFrame([(0, 1, 99, None), (0, 1, 98, float("nan")), (n + 5, 0, 77, 5.0), (0, 3, None, 1.0)], logits.schema)
+    docs = docs.withColumnRenamed("id", "doc")
+    got = C.sample_by_position(docs, "doc", logits.union(odd).where("id is not null"), temperature=2.0).collect()
+    assert len(got) == n
+    first = [r["sampled_input_ids"][0] for r in got]
+    share = first.count(20) / n
+    assert set(first) == {20, 21} and abs(share - math.e / (1 + math.e)) < 0.03
+    assert {tuple(r["sampled_input_ids"][1:]) for r in got} == {(30, 9, 10)}
+    again = C.sample_by_position(docs.repartition(3), "doc", logits.repartition(9), temperature=2.0).collect()
+    assert {r["doc"]: r["sampled_input_ids"] for r in again} == {r["doc"]: r["sampled_input_ids"] for r in got}
+    with pytest.raises(ValueError):
+        C.sample_by_position(docs, "doc", logits, temperature=0)

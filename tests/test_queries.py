@@ -14,6 +14,9 @@ spec.loader.exec_module(entry_module)
 QUERIES, ORACLES = entry_module.queries(), entry_module.oracle_sql()
 OPTIONAL = {n for n in QUERIES if re.match(r"op\d+_|pipeline$", n)}
 
+# Compared with a tokenizer library in test_bpe.py: SQL cannot follow so many merges.
+BY_LIBRARY = {"bpe_learn", "bpe_learn_words", "bpe_encode", "bpe_encode_words", "tokenizer_file"}
+
 
 @pytest.fixture(scope="module")
 def con():
@@ -21,7 +24,7 @@ def con():
 
 
 def test_only_known_queries_have_no_twin():
-    assert set(QUERIES) - set(ORACLES) <= OPTIONAL
+    assert set(QUERIES) - set(ORACLES) <= OPTIONAL | BY_LIBRARY
     assert set(ORACLES) <= set(QUERIES)
 
 

@@ -73,6 +73,46 @@ def test_gate_keeps_its_state_between_batches(spark, folder):
     assert [r["gate"] for r in rows] == [True, True, False, False, True, True, False]
 
 
+DAY = 86_400_000
+
+
+def gated(spark, folder, batches, delay="2 days", idle=4 * DAY):
+    """Rows (run, day of January, metric) of some micro-batches, one after the other."""
+    SE.use_rocksdb(spark)
+    for rows in batches:
+        df = spark.createDataFrame(rows, "run bigint, day int, metric double")
+        df = df.select("run", F.expr("timestamp'2024-01-01' + make_interval(0, 0, 0, day)").alias("window_start"), "metric")
+        df.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(df.schema).parquet(f"{folder}/in")
+        SC.write_stream(SE.run_gate_stream(stream, 0.0, delay, idle), f"{folder}/out", f"{folder}/log")
+    out = spark.read.parquet(f"{folder}/out").collect()
+    return sorted((r["run"], r["window_start"].timetuple().tm_yday - 1, r["gate"], r["restarted"]) for r in out)
+
+
+def live_runs(spark, folder, name):
+    rows = spark.read.format("statestore").option("stateVarName", name).load(f"{folder}/log")
+    return {r["key"]["run"] for r in rows.collect()}
+
+
+def test_evaluations_out_of_order(spark, folder):
+    batches = [[(1, 3, 0.5), (1, 1, -1.0), (2, 2, -2.0)], [(1, 2, None), (1, 5, -0.5), (2, 4, 1.0)], [(1, 4, 0.1), (3, 9, 0.0)], [(3, 20, 1.0), (1, 2, 9.0)]]
+    got = gated(spark, folder, batches)
+    # Rows of run 1 came as 3 1 2 5 4; its last one is long behind the watermark and is dropped.
+    assert [g for g in got if g[0] == 1] == [(1, 1, False, True), (1, 2, False, False), (1, 3, True, False), (1, 4, True, False), (1, 5, False, False)]
+    assert [g for g in got if g[0] == 2] == [(2, 2, False, True), (2, 4, True, False)]
+    assert [g for g in got if g[0] == 3] == [(3, 9, False, True)]
+
+
+def test_silent_runs_end_and_leave_the_store(spark, folder):
+    batches = [[(1, 1, -1.0), (2, 1, -1.0)], [(1, 3, None), (2, 9, None)], [(2, 11, 5.0)], [(2, 12, 5.0), (2, 16, 1.0)], [(2, 17, 1.0), (2, 18, 1.0)]]
+    got = gated(spark, folder, batches)
+    assert [g for g in got if g[0] == 1] == [(1, 1, False, True), (1, 3, False, False)]
+    # Eight silent days: the run starts anew with an open gate.
+    assert [g for g in got if g[0] == 2][:3] == [(2, 1, False, True), (2, 9, True, True), (2, 11, True, False)]
+    assert live_runs(spark, folder, "gate") == {2}
+    assert live_runs(spark, folder, "waiting") == {2}
+
+
 def test_files_grow_with_the_table(spark, folder):
     df = spark.range(6000).select("id", F.pmod("id", F.lit(3)).alias("part"))
     SC.deliver(df, F.col("part").cast("int"), f"{folder}/in", "id", rows_per_file=500)
