@@ -31,13 +31,16 @@ def is_special(x: Column, protected=PROTECTED_IDS) -> Column:
 
 
 def corrupted_sentences(sequence_ids, key: str, cfg: CorruptionConfig) -> Column:
-    """True at the tokens of sentences drawn to be left unmasked."""
-    return F.transform(
-        col(sequence_ids),
-        lambda s: happens(
-            cfg.sentence_probability, cfg.seed, f"sentence:{cfg.epoch}", key, s, algorithm=cfg.algorithm
-        ),
+    """True at the tokens of sentences drawn to be left unmasked: one draw for a sentence,
+    however long it is. Sentence numbers are 0 or more."""
+    ids = col(sequence_ids)
+    numbers = F.sequence(F.lit(0), F.coalesce(F.array_max(ids), F.lit(0)).cast("int"))
+    draws = F.transform(
+        numbers,
+        lambda s: happens(cfg.sentence_probability, cfg.seed, f"sentence:{cfg.epoch}", key, s, algorithm=cfg.algorithm),
     )
+    # As an argument the draws are made once; inside the lambda they would be made for each token.
+    return F.zip_with(ids, F.array_repeat(draws, F.size(ids)), lambda s, drawn: F.element_at(drawn, s + 1))
 
 
 def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfig()) -> DataFrame:
@@ -47,19 +50,16 @@ def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfi
     A selected position becomes MASK with the replace probability and otherwise
     keeps its id. The label is the id where selected, else the ignore value.
     """
-    if cfg.sentence_probability > 0:
-        df = df.withColumn("_spared", corrupted_sentences("sequence_ids", key, cfg))
-        spared = lambda i: F.element_at("_spared", i + 1)
-    else:
-        spared = lambda i: F.lit(False)
-
     def draw(p, purpose, i):
         return happens(p, cfg.seed, f"{purpose}:{cfg.epoch}", key, i, algorithm=cfg.algorithm)
 
-    selected = F.transform(
-        "input_ids",
-        lambda x, i: ~is_special(x, cfg.protected) & ~spared(i) & draw(cfg.mask_probability, "mask", i),
-    )
+    if cfg.sentence_probability > 0:
+        spared = corrupted_sentences("sequence_ids", key, cfg)
+        tokens = F.arrays_zip(F.col("input_ids").alias("x"), spared.alias("spared"))
+        free = lambda t: ~is_special(t["x"], cfg.protected) & ~t["spared"]
+    else:
+        tokens, free = "input_ids", lambda x: ~is_special(x, cfg.protected)
+    selected = F.transform(tokens, lambda t, i: free(t) & draw(cfg.mask_probability, "mask", i))
     out = df.withColumn("masked", selected)
     out = out.withColumn(
         "replaced", F.transform("masked", lambda m, i: m & draw(cfg.replace_probability, "replace", i))
@@ -69,7 +69,7 @@ def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfi
         "labels_generator": F.zip_with(
             "masked", "input_ids", lambda m, x: F.when(m, x).otherwise(F.lit(IGNORE))
         ),
-    }).drop("_spared")
+    })
 
 
 def token_proposal(tokens: DataFrame, protected=PROTECTED_IDS) -> DataFrame:

@@ -20,7 +20,7 @@ from ..constants import MIN_FREQUENCY, UNK
 from ..functions.text import MARKED_WORD, add_markers, pieces
 from ..session import materialized
 from .encode import FIRST_WORD_ID, special_rows
-from .ordering import global_index, range_buckets
+from .ordering import range_ranked
 from .skew import salted_lookup
 
 SPLIT_TOKENS = 200_000
@@ -29,8 +29,8 @@ SPLIT_TOKENS = 200_000
 def dictionary(counts: DataFrame, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
     """``piece, id`` (bigint): the special tokens, then every piece that is frequent
     enough, most frequent first, ties by piece."""
-    frequent = materialized(counts.where(F.col("n") >= min_frequency).select("piece", (-F.col("n")).alias("order")))
-    ranked = global_index(range_buckets(frequent, ["order", "piece"]), ["order", "piece"], out="rank")
+    frequent = counts.where(F.col("n") >= min_frequency).select("piece", (-F.col("n")).alias("order"))
+    ranked = range_ranked(frequent, ["order", "piece"], out="rank")
     numbered = ranked.select("piece", (F.col("rank") + (FIRST_WORD_ID - 1)).cast("bigint").alias("id"))
     return special_rows(counts.sparkSession).withColumn("id", F.col("id").cast("bigint")).unionByName(numbered)
 

@@ -104,16 +104,21 @@ def pad_batches(batched: DataFrame, cfg: FeatureConfig = FeatureConfig(), to_chu
     return out.withColumns({c: pad_right(c, "width", PAD) for c in VECTORS})
 
 
-def collate(df: DataFrame, key: str, batch_size: int, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
-    """Encoded documents in, padded batches out.
+def batched(df: DataFrame, key: str, batch_size: int, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Encoded documents in, feature rows with ``batch_id`` and ``width`` out, not yet padded.
 
     Batches and widths are settled on keys and sizes; the rows themselves are moved
-    once, to meet their batch, and padding is a map. Keys are unique.
+    once, to meet their batch. Keys are unique.
     """
     rows = features(df, key, cfg)
     sizes = assign_batches(rows.select(key, F.size("input_ids").alias("_size")), key, batch_size)
     widths = sizes.select(key, "batch_id", F.max("_size").over(Window.partitionBy("batch_id")).alias("width"))
-    return rows.join(widths, key).withColumns({c: pad_right(c, "width", PAD) for c in VECTORS})
+    return rows.join(widths, key)
+
+
+def collate(df: DataFrame, key: str, batch_size: int, cfg: FeatureConfig = FeatureConfig()) -> DataFrame:
+    """Encoded documents in, padded batches out: :func:`batched`, and padding as a map."""
+    return batched(df, key, batch_size, cfg).withColumns({c: pad_right(c, "width", PAD) for c in VECTORS})
 
 
 def resume(batched: DataFrame, global_step: int, steps_per_epoch: int) -> DataFrame:

@@ -9,16 +9,18 @@ spread over many buckets, so no single task sees it whole.
 from __future__ import annotations
 
 import math
-from bisect import bisect_right
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import scratch_partitions
+from ..session import discard, materialized, scratch_partitions
+from .skew import small_side
 
 BUCKET = "_bucket"
 
@@ -27,6 +29,7 @@ _EXACT = float(2**53)
 
 
 ROWS_PER_BUCKET = 1_000_000
+RANKED_ROWS_A_TASK = 200_000
 
 
 def default_buckets(df: DataFrame) -> int:
@@ -72,9 +75,10 @@ def _sampled_buckets(df: DataFrame, column: str, buckets: int) -> DataFrame:
     found = sorted(r["v"] for r in sample.collect())  # bounded by the bucket count
     bounds = sorted({found[len(found) * i // buckets] for i in range(1, buckets)}) if found else []
 
-    @F.pandas_udf("double")
-    def place(keys: pd.Series) -> pd.Series:
-        return pd.Series([float(bisect_right(bounds, k)) if k is not None else -1.0 for k in keys])
+    @F.arrow_udf("double")
+    def place(keys: pa.Array) -> pa.Array:
+        found = np.searchsorted(np.array(bounds, object), pc.fill_null(keys, "").to_numpy(zero_copy_only=False), side="right")
+        return pc.if_else(keys.is_null(), -1.0, pa.array(found.astype(float)))
 
     return df.withColumn(BUCKET, place(F.col(column)))
 
@@ -143,6 +147,26 @@ def global_index(
     return joined.drop(BUCKET, "_inside", "_rows", "_offset", "_total")
 
 
+def range_ranked(df: DataFrame, order: list[str], out: str = "rn") -> DataFrame:
+    """Add the exact 1-based rank of every row in ``order`` (ascending, nulls first).
+
+    Rows are dealt to ranges of all order columns at once, so a value that many rows share is
+    spread by the columns after it; a row's rank is its place in its part, which the stored
+    row keeps, after the rows of the parts before. Rows equal in all order columns are in one part.
+    """
+    stored = materialized(df)
+    parts = max(scratch_partitions(df.sparkSession), -(-stored.count() // RANKED_ROWS_A_TASK))
+    dealt = stored.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    # The upper bits of this number are the part, the lower ones the place in it.
+    placed = materialized(dealt.withColumn("_at", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_at", 33)))
+    discard(stored)
+    counts = placed.groupBy("_part").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    # One row per part.
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_part")
+    starts = counts.select("_part", (F.sum("_n").over(earlier) - F.col("_n") - F.col("_first") + 1).alias("_shift"))
+    return placed.join(small_side(starts), "_part").withColumn(out, F.col("_at") + F.col("_shift")).drop("_at", "_part", "_shift")
+
+
 def order_cuts(
     bucketed: DataFrame, order: list[str], wanted: dict[str, Column], group: list[str] = ()
 ) -> DataFrame:

@@ -32,6 +32,22 @@ def lookup_sum(rows: DataFrame, tables: dict[str, DataFrame], max_rows: int, dim
     return rows.withColumn(out, add_vectors(*vectors)).drop(*vectors)
 
 
+def counted(rows: DataFrame, keys: list[str], ids: list[Column], out: str = "weight") -> DataFrame:
+    """``keys, id, weight``: how often each id is in the arrays ``ids`` of a key's rows. What a
+    vector table is to be looked up for; its vectors then meet few rows."""
+    each = rows.select(*keys, F.explode(F.concat(*ids)).alias("id"))
+    return each.groupBy(*keys, "id").agg(F.count(F.lit(1)).alias(out))
+
+
+def weighted_sum(counts: DataFrame, keys: list[str], table: DataFrame, max_rows: int, out: str = "vector") -> DataFrame:
+    """Sum of the vectors of a key's ids, each as often as its ``weight`` says, in doubles. An
+    id without a vector adds nothing; a key with none of them is absent. ``table`` is
+    ``(id, vector)``, one row per id, and is sent only if it is found to be small."""
+    met = counts.join(small_side(table.select("id", "vector"), max_rows), "id")
+    total = Summarizer.sum(array_to_vector(F.col("vector").cast("array<double>")), F.col("weight").cast("double"))
+    return met.groupBy(*keys).agg(vector_to_array(total).alias(out))
+
+
 def masked_mean(vector: str, keep: Column) -> Column:
     """Aggregate: entry-wise mean of the vectors where ``keep`` holds, with one running
     sum per entry whatever the dimension."""

@@ -756,23 +756,24 @@ def macro_score(spark, sf):
 # --- vectors ---------------------------------------------------------------
 
 
-def conversation_vectors(spark, sf) -> DataFrame:
-    """Padded token rows of conversations with their summed vectors.
-
-    A conversation is a document and its turns are its segments.
-    """
+def conversation_vectors(spark, sf) -> tuple[DataFrame, DataFrame]:
+    """Feature rows of conversations with the width of their batch, and the vectors. A
+    conversation is a document and its turns are its segments. Padding is counted, not made."""
     turns = table(spark, sf, "conversations")
     vecs = table(spark, sf, "embeddings").select(F.col("vec_id").cast("int").alias("id"), F.col("embedding").alias("vector"))
     vocabulary = E.word_vocabulary(E.piece_counts(turns))
     in_order = F.sort_array(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
     docs = turns.groupBy("conv_id").agg(F.transform(in_order, lambda x: x["text"]).alias("segs"))
-    batches = X.collate(E.encode_words(docs, "segs", vocabulary).drop("segs"), "conv_id", BATCH)
-    vectors = F.arrays_zip(
-        F.col("input_ids").alias("token"), F.col("position_ids").alias("position"), F.col("sequence_ids").alias("sequence")
-    )
-    rows = batches.select("conv_id", F.posexplode(vectors).alias("pos", "t"))
-    rows = rows.select("conv_id", "pos", "t.token", "t.position", "t.sequence")
-    return pooling.lookup_sum(rows, dict.fromkeys(("token", "position", "sequence"), vecs), VOCAB_SIZE, VECTOR_DIM)
+    return X.batched(E.encode_words(docs, "segs", vocabulary).drop("segs"), "conv_id", BATCH), vecs
+
+
+def own_cells(rows: DataFrame, keep=lambda token: F.lit(True)) -> tuple[DataFrame, DataFrame]:
+    """How often each id stands for a token, a position or a sentence of a conversation, and
+    the conversations' numbers of cells."""
+    marked = F.arrays_zip(F.col("input_ids").alias("t"), F.col("position_ids").alias("p"), F.col("sequence_ids").alias("s"))
+    held = rows.select("conv_id", "width", F.size("input_ids").alias("size"), F.filter(marked, lambda c: keep(c["t"])).alias("cells"))
+    held = materialized(held)
+    return pooling.counted(held, ["conv_id"], [F.col("cells.t"), F.col("cells.p"), F.col("cells.s")]), held
 
 
 def by_dimension(frame: DataFrame, keys: list[str], vector: str, digits: int = 5) -> DataFrame:
@@ -783,27 +784,40 @@ def by_dimension(frame: DataFrame, keys: list[str], vector: str, digits: int = 5
 @query
 def vector_lookup_sum(spark, sf):
     """JOIN-5. Entry sums of every token's summed vector, padding included."""
-    rows = conversation_vectors(spark, sf)
-    total = A.array_sum(F.transform("vector", lambda x: x.cast("double")))
-    return rows.groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_cells"), rounded(F.sum(total), 3).alias("total")
+    rows, vecs = conversation_vectors(spark, sf)
+    counts, held = own_cells(rows)
+    padding = held.select("conv_id", F.lit(0).alias("id"), (3 * (F.col("width") - F.col("size"))).cast("bigint").alias("weight"))
+    counts = counts.union(padding.where("weight > 0")).groupBy("conv_id", "id").agg(F.sum("weight").alias("weight"))
+    found = pooling.weighted_sum(counts, ["conv_id"], vecs, VOCAB_SIZE)
+    total = F.coalesce(A.array_sum("vector"), F.lit(0.0))
+    return held.select("conv_id", F.col("width").cast("bigint").alias("n_cells")).join(found, "conv_id", "left").select(
+        "conv_id", "n_cells", rounded(total, 3).alias("total")
     )
 
 
 @query
 def mean_pool(spark, sf):
     """AGG-16, FLT-4. Mean vector of the tokens that are not padding."""
-    rows = conversation_vectors(spark, sf)
-    mean = pooling.masked_mean("vector", F.col("token") != 0)
-    return by_dimension(rows.groupBy("conv_id").agg(mean.alias("pooled")), ["conv_id"], "pooled")
+    rows, vecs = conversation_vectors(spark, sf)
+    counts, held = own_cells(rows, keep=lambda token: token != 0)
+    found = pooling.weighted_sum(counts, ["conv_id"], vecs, VOCAB_SIZE)
+    joined = held.where(F.size("cells") > 0).join(found, "conv_id", "left")
+    mean = F.zip_with(
+        F.coalesce("vector", F.array_repeat(F.lit(0.0), VECTOR_DIM)), F.array_repeat(F.size("cells"), VECTOR_DIM), lambda x, n: x / n
+    )
+    return by_dimension(joined.select("conv_id", mean.alias("pooled")), ["conv_id"], "pooled")
 
 
 @query
 def first_vector(spark, sf):
-    """ARR-16. The first vector of every turn."""
-    rows = conversation_vectors(spark, sf).where("sequence > 0")
+    """ARR-16. The first vector of every turn: found among the tokens, then looked up."""
+    rows, vecs = conversation_vectors(spark, sf)
+    cells = F.arrays_zip(F.col("input_ids").alias("token"), F.col("position_ids").alias("position"), F.col("sequence_ids").alias("sequence"))
+    each = rows.select("conv_id", F.posexplode(cells).alias("pos", "c")).select("conv_id", "pos", "c.*").where("sequence > 0")
     keys = ["conv_id", "sequence"]
-    return by_dimension(rows.groupBy(*keys).agg(pooling.first_vector("vector", "pos").alias("v")), keys, "v")
+    first = each.groupBy(*keys).agg(F.min_by(F.struct("token", "position"), "pos").alias("c")).select(*keys, "c.*")
+    found = pooling.lookup_sum(first, dict.fromkeys(("token", "position", "sequence"), vecs), VOCAB_SIZE, VECTOR_DIM)
+    return by_dimension(found, keys, "vector")
 
 
 @query

@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
 
 _local_folders: dict[str, str] = {}
+_record = threading.local()
 
 
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
@@ -67,6 +72,36 @@ def clear_scratch(spark: SparkSession) -> None:
     delete_path(spark, shared_path(spark, "scratch", spark.sparkContext.applicationId))
 
 
+@contextmanager
+def tracked() -> Iterator[list[tuple[str, str]]]:
+    """Collects what :func:`materialized` and :func:`bucketed` store in this thread, as
+    table name (or nothing) and path, so that it can be given back by :func:`release`."""
+    outer = getattr(_record, "made", None)
+    _record.made = []
+    try:
+        yield _record.made
+    finally:
+        if outer is not None:
+            outer += _record.made
+        _record.made = outer
+
+
+def _stored(table: str, path: str) -> None:
+    if getattr(_record, "made", None) is not None:
+        _record.made.append((table, path))
+
+
+def release(spark: SparkSession, made: list[tuple[str, str]], keep: DataFrame | None = None) -> None:
+    """Delete tracked tables, except those that ``keep`` reads. Other frames made from them
+    can no longer be read."""
+    kept = {f.rpartition("/")[0].rpartition("/")[2] for f in keep.inputFiles()} if keep is not None else set()
+    for table, path in made:
+        if path.rpartition("/")[2] not in kept:
+            if table:
+                spark.sql(f"DROP TABLE IF EXISTS `{table}`")
+            delete_path(spark, path)
+
+
 def materialized(df: DataFrame) -> DataFrame:
     """Write to a new folder of the shared storage and read back.
 
@@ -75,6 +110,7 @@ def materialized(df: DataFrame) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, "table")
     df.write.mode("errorifexists").parquet(path)
+    _stored("", path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -88,8 +124,9 @@ def bucketed(df: DataFrame, column: str, buckets: int | None = None) -> DataFram
     spark = df.sparkSession
     name = _table_prefix(spark) + uuid.uuid4().hex
     buckets = buckets or scratch_partitions(spark)
-    writer = df.write.bucketBy(buckets, column).option("path", scratch_path(spark, "bucketed"))
-    writer.option("compression", "zstd").saveAsTable(name)
+    path = scratch_path(spark, "bucketed")
+    df.write.bucketBy(buckets, column).option("path", path).option("compression", "zstd").saveAsTable(name)
+    _stored(name, path)
     return spark.table(name)
 
 
@@ -113,16 +150,57 @@ def delete_path(spark: SparkSession, path: str) -> None:
     jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jvm_path, True)
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file with this text, in any file system that Spark reaches."""
+def _file_system(spark: SparkSession, path: str):
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    out = jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(jvm_path, False)
+    return jvm_path, jvm_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def write_text(spark: SparkSession, path: str, text: str, overwrite: bool = False) -> None:
+    """One small file with this text, in any file system that Spark reaches. Fails if it
+    exists, unless it may be overwritten."""
+    jvm_path, files = _file_system(spark, path)
+    out = files.create(jvm_path, overwrite)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
 
 
+def create_text(spark: SparkSession, path: str, text: str) -> bool:
+    """Write a small file only if there is none; of several that try, one succeeds."""
+    try:
+        write_text(spark, path, text)
+    except Py4JJavaError:
+        if not path_exists(spark, path):
+            raise
+        return False
+    return True
+
+
+def overwrite_text(spark: SparkSession, path: str, text: str) -> None:
+    write_text(spark, path, text, overwrite=True)
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of a small file, if it exists."""
+    jvm_path, files = _file_system(spark, path)
+    if not files.exists(jvm_path):
+        return None
+    source = files.open(jvm_path)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def list_folder(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """Names in a folder and when each was last written, in milliseconds."""
+    jvm_path, files = _file_system(spark, path)
+    if not files.exists(jvm_path):
+        return []
+    return [(f.getPath().getName(), f.getModificationTime()) for f in files.listStatus(jvm_path)]
+
+
 def local_table(spark: SparkSession, rows: list[tuple], schema: T.StructType | str) -> DataFrame:
     """Small fixed table whose size the optimizer knows."""
     schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import time
 import uuid
 from collections.abc import Callable
 
@@ -11,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import __version__
-from ..session import path_exists, publish, shared_path
+from ..session import create_text, delete_path, list_folder, overwrite_text, path_exists, read_text, shared_path
 
 
 def scan(spark: SparkSession, name_or_path: str) -> DataFrame:
@@ -62,20 +63,59 @@ def cache_path(spark: SparkSession, name: str, subset: str | None, options: dict
     return shared_path(spark, *where, f"{name}-{subset}-{digest}.cache")
 
 
+COMMIT, LEASE = "_COMMIT", "_USED"
+COMMIT_WAITS = 100
+
+
 def cached(
     spark: SparkSession, name: str, subset: str | None, options: dict, build: Callable[[], DataFrame]
 ) -> DataFrame:
     """Prepared corpus: read if it was written before, else built and written.
 
-    It is written under a name of its own and then renamed, so a folder with the final
-    name is complete, and two jobs cannot write into each other's.
+    Each attempt writes a folder of its own; the first one to create the commit file, which
+    names the folder, wins, and the others give theirs up. No rename is needed, so it holds
+    on object stores too, and a reader sees a whole corpus or none. Every use renews the
+    lease that :func:`evict` looks at.
     """
     path = cache_path(spark, name, subset, options)
-    if not path_exists(spark, path):
-        half = f"{path}.part-{uuid.uuid4().hex}"
-        build().write.mode("errorifexists").parquet(half)
-        publish(spark, half, path)
-    return spark.read.parquet(path)
+    found = committed(spark, path)
+    if found is None:
+        attempt = f"attempt-{uuid.uuid4().hex}"
+        build().write.mode("errorifexists").parquet(f"{path}/{attempt}")
+        if not create_text(spark, f"{path}/{COMMIT}", attempt):
+            delete_path(spark, f"{path}/{attempt}")
+        found = committed(spark, path)
+    overwrite_text(spark, f"{path}/{LEASE}", found)
+    return spark.read.parquet(f"{path}/{found}")
+
+
+def committed(spark: SparkSession, path: str) -> str | None:
+    """The folder that a cache's commit file names, if there is one. A file that another job
+    has created but not yet filled is waited for."""
+    for _ in range(COMMIT_WAITS):
+        found = read_text(spark, f"{path}/{COMMIT}")
+        if found != "":
+            return found
+        time.sleep(0.1)
+    raise RuntimeError(f"{path}/{COMMIT} stays empty: its writer was lost, so delete it")
+
+
+def evict(spark: SparkSession, unused_ms: int) -> list[str]:
+    """Delete caches that nobody has used for so long, and attempts without commit that are as
+    old. The commit goes first, so no reader finds half a cache; a reader that has begun
+    just before may fail and is to be run again. Names of what was deleted."""
+    root = shared_path(spark, "data")
+    now, gone = int(time.time() * 1000), []
+    for name, _ in list_folder(spark, root):
+        if not name.endswith(".cache"):
+            continue
+        inside = dict(list_folder(spark, f"{root}/{name}"))
+        last = inside.get(LEASE, max(inside.values(), default=0))
+        if now - last >= unused_ms:
+            delete_path(spark, f"{root}/{name}/{COMMIT}")
+            delete_path(spark, f"{root}/{name}")
+            gone.append(name)
+    return gone
 
 
 def write_lines(df: DataFrame, path: str, column: str = "text") -> None:

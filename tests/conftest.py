@@ -1,3 +1,4 @@
+import os
 import sys
 from pathlib import Path
 
@@ -13,7 +14,7 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("8", shuffle_partitions=8)
+    session = local_session(os.environ.get("TEST_CPUS", "8"), shuffle_partitions=8)
     session.sparkContext.setLogLevel("ERROR")
     yield session
     clear_scratch(session)

@@ -1,3 +1,5 @@
+import threading
+import time
 import uuid
 
 import pytest
@@ -6,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.functions import text as T
 from corpuswright.plans.prepare import Corpus, encoded_documents, make_datasets
-from corpuswright.session import bucketed, local_table, materialized, shared_folder
+from corpuswright.session import bucketed, delete_path, list_folder, local_table, materialized, path_exists, release, shared_folder, tracked, write_text
 from corpuswright.sources import catalog as C
 from corpuswright.sources import corpus as R
 from corpuswright.sources import ledger as L
@@ -94,6 +96,49 @@ def test_cache_reads_through_and_knows_its_options(spark):
     assert "/data/toy-None-" in path and path.endswith(".cache") and path.startswith(shared_folder(spark))
 
 
+def test_two_jobs_race_for_a_cache(spark):
+    """One result, no orphan, and both read the same rows."""
+    options, both_built, out = {"race": uuid.uuid4().hex}, threading.Barrier(2, timeout=120), []
+
+    def build():
+        both_built.wait()  # neither has committed before the other builds
+        return spark.range(4).withColumn("by", F.lit(threading.get_ident()))
+
+    def job():
+        out.append(sorted(map(tuple, R.cached(spark, "race", None, options, build).collect())))
+
+    jobs = [threading.Thread(target=job) for _ in range(2)]
+    for j in jobs:
+        j.start()
+    for j in jobs:
+        j.join()
+    assert len(out) == 2 and out[0] == out[1] and len(out[0]) == 4
+    path = R.cache_path(spark, "race", None, options)
+    names = [n for n, _ in list_folder(spark, path)]
+    assert sorted(n for n in names if not n.startswith(".")) == sorted([R.COMMIT, R.LEASE, R.committed(spark, path)])
+    delete_path(spark, path)
+
+
+def test_a_lost_attempt_is_no_cache_and_unused_ones_go(spark):
+    options = {"lost": uuid.uuid4().hex}
+    path = R.cache_path(spark, "lost", None, options)
+    spark.range(9).write.parquet(f"{path}/attempt-of-a-lost-job")
+    assert R.committed(spark, path) is None
+    assert R.cached(spark, "lost", None, options, lambda: spark.range(2)).count() == 2
+    other = R.cache_path(spark, "kept", None, options)
+    time.sleep(1.5)
+    R.cached(spark, "kept", None, options, lambda: spark.range(1))
+    assert path.rpartition("/")[2] in R.evict(spark, 1_000) and not path_exists(spark, path)
+    assert path_exists(spark, other)
+    write_text(spark, f"{path}/{R.COMMIT}", "")
+    R.COMMIT_WAITS, waits = 2, R.COMMIT_WAITS
+    with pytest.raises(RuntimeError):
+        R.committed(spark, path)
+    R.COMMIT_WAITS = waits
+    delete_path(spark, path)
+    delete_path(spark, other)
+
+
 def test_changed_files_are_encoded_anew(spark, documents, tmp_path):
     path = str(tmp_path / "docs")
     few = documents.select("doc_id", "text").limit(5)
@@ -181,9 +226,27 @@ def test_local_tables_and_materialized(spark):
 
 
 def test_bucketed_tables_join_without_moving_and_go(spark):
-    left = bucketed(spark.range(500).withColumn("payload", F.lit("x")), "id", 4)
+    with tracked() as made:
+        left = bucketed(spark.range(500).withColumn("payload", F.lit("x")), "id", 4)
     joined = left.join(spark.range(500).withColumn("y", F.col("id") * 2).repartition(3).hint("shuffle_hash"), "id")
     plan = joined._jdf.queryExecution().executedPlan().toString()
     assert joined.count() == 500 and "Bucketed: true" in plan
-    name = next(t.name for t in spark.catalog.listTables() if t.name.startswith("corpuswright_"))
+    (name, path), = made
     assert spark.table(name).count() == 500
+    release(spark, made)
+    assert not spark.catalog.tableExists(name) and not path_exists(spark, path)
+
+
+def test_tracked_tables_are_given_back(spark):
+    with tracked() as outer:
+        first = materialized(spark.range(5))
+        with tracked() as inner:
+            second, third = materialized(spark.range(6)), bucketed(spark.range(7), "id", 2)
+        release(spark, inner, keep=second)
+        assert second.count() == 6 and not path_exists(spark, inner[1][1])
+    assert [p for _, p in outer][1:] == [p for _, p in inner] and len(outer) == 3
+    assert first.count() == 5
+    release(spark, outer)
+    assert not any(path_exists(spark, p) for _, p in outer)
+    materialized(spark.range(1))
+    assert len(outer) == 3
