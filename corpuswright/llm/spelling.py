@@ -51,28 +51,26 @@ def vocabulary(docs: DataFrame, key: str = "doc_id", column: str = "text", every
     return words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def prefix_of(word: str, order: dict[str, tuple[int, str]]) -> list[int]:
-    """Places of the word's rarest bigrams: three, and all further ones equal to the third."""
-    places = sorted(range(len(word) - 1), key=lambda p: (order[word[p : p + 2]], p))
-    last = order[word[places[PREFIX - 1] : places[PREFIX - 1] + 2]]
-    end = PREFIX
-    while end < len(places) and order[word[places[end] : places[end] + 2]] == last:
-        end += 1
-    return places[:end]
+def prefix_of(word: str, order: dict[str, tuple[int, int]]) -> list[int]:
+    """Places, from the left, of the word's three first bigrams in the order and of all others
+    equal to the last of these. ``order`` has each bigram's rank and number of words."""
+    ranks = [order[word[p : p + 2]][0] for p in range(len(word) - 1)]
+    last = sorted(ranks)[PREFIX - 1]
+    return [p for p, rank in enumerate(ranks) if rank <= last]
 
 
-def pivots_of(word: str, prefix: list[int], order: dict[str, tuple[int, str]]) -> tuple[int, int]:
+def pivots_of(word: str, prefix: list[int], order: dict[str, tuple[int, int]]) -> tuple[int, int]:
     """The two disjoint bigrams of the prefix that the fewest words hold in all: from left to
     right, the best bigram that ends before each place, and the best pair so far."""
     best: tuple[int, int, int] | None = None
     waiting: list[tuple[int, int]] = []
     left: tuple[int, int] | None = None
-    for p in sorted(prefix):
+    for p in prefix:
         while waiting and waiting[0][1] <= p - 2:
             cost, place = waiting.pop(0)
             if left is None or cost < left[0]:
                 left = (cost, place)
-        cost = order[word[p : p + 2]][0]
+        cost = order[word[p : p + 2]][1]
         if left is not None and (best is None or left[0] + cost < best[0]):
             best = (left[0] + cost, left[1], p)
         waiting.append((cost, p))
@@ -86,44 +84,87 @@ def gram_counts(words: DataFrame) -> DataFrame:
     return words.select(F.explode(F.array_distinct(grams)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("c"))
 
 
-def _grams(words: DataFrame, order: dict[str, tuple[int, str]]) -> DataFrame:
-    """``word, last, pivot, side, shared``: pivots and prefix bigrams, each with what the word
-    has up to it (side f) and from it on (side b)."""
+class Parts:
+    """Hashes of a word's beginnings and endings, each in one step. Equal hashes of unequal
+    parts only make a candidate that is found out."""
+
+    BASE, MODULUS = 0x1F3D5B79A2C4E687, (1 << 61) - 1
+
+    def __init__(self, word: str):
+        self.run, self.power = [0], [1]
+        for c in word:
+            self.run.append((self.run[-1] * self.BASE + ord(c)) % self.MODULUS)
+            self.power.append(self.power[-1] * self.BASE % self.MODULUS)
+
+    def up_to(self, end: int) -> int:
+        return self.run[end] << 1
+
+    def from_on(self, start: int) -> int:
+        return (self.run[-1] - self.run[start] * self.power[len(self.run) - 1 - start]) % self.MODULUS << 1 | 1
+
+
+def marks(word: str) -> tuple[int, int]:
+    """Two bags of 64 bits, of letters and of bigrams, in which a bit tells whether an even or
+    odd number fell on it. One edit flips at most two bits of the first and four of the second."""
+    letters = grams = 0
+    for c in word:
+        letters ^= 1 << (ord(c) & 63)
+    for a, b in zip(word, word[1:]):
+        grams ^= 1 << ((ord(a) * 131 + ord(b)) * 0x9E3779B1 >> 13 & 63)
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (letters, grams))
+
+
+def _grams(words: DataFrame, order: dict[str, tuple[int, int]]) -> DataFrame:
+    """``id, length, last, letters, grams, pivot, shared``: pivots and prefix bigrams of words
+    ``id, word``, each with what the word has up to it and with what it has from it on, as
+    hashes."""
     shipped = words.sparkSession.sparkContext.broadcast(order)
 
     def run(batches):
         order = shipped.value
         for batch in batches:
-            out: tuple[list, ...] = ([], [], [], [], [])
-            for word in batch.column("word").to_pylist():
-                prefix = prefix_of(word, order)
-                count, gram = order[word[prefix[-1] : prefix[-1] + 2]]
+            out: tuple[list, ...] = ([], [], [], [], [], [], [])
+            for key, word in zip(batch.column("id").to_pylist(), batch.column("word").to_pylist()):
+                prefix, parts = prefix_of(word, order), Parts(word)
+                last = max(order[word[p : p + 2]][0] for p in prefix)
                 pivots = pivots_of(word, prefix, order)
+                own = (key, len(word), last, *marks(word))
                 for is_pivot, places in ((True, pivots), (False, prefix)):
                     for p in places:
-                        for side, shared in (("f", word[: p + 2]), ("b", word[p:])):
-                            for values, value in zip(out, (word, f"{count:019d}{gram}", is_pivot, side, shared)):
+                        for shared in (parts.up_to(p + 2), parts.from_on(p)):
+                            for values, value in zip(out, (*own, is_pivot, shared)):
                                 values.append(value)
-            kinds = (pa.string(), pa.string(), pa.bool_(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], ["word", "last", "pivot", "side", "shared"])
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int64())
+            names = ["id", "length", "last", "letters", "grams", "pivot", "shared"]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out, kinds)], names)
 
-    return words.select("word").mapInArrow(run, "word string, last string, pivot boolean, side string, shared string")
+    schema = "id long, length int, last int, letters long, grams long, pivot boolean, shared long"
+    return words.select("id", "word").mapInArrow(run, schema)
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """Pairs ``word, other`` of different words that one inserted, deleted or replaced code
-    point apart, both ways. Words of at least four letters."""
-    counts = {r["gram"]: (r["c"], r["gram"]) for r in gram_counts(words).collect()}
-    grams = materialized(_grams(words, counts))
+    """``word, other, n_other`` for all different words of a stored table ``id, word, n`` that one
+    inserted, deleted or replaced code point parts, both ways. Words of at least four letters.
+
+    Only numbers meet in the join, so a long word is sent once for each candidate, not once for
+    each of its bigrams.
+    """
+    counts = sorted((r["c"], r["gram"]) for r in gram_counts(words).collect())
+    grams = materialized(_grams(words, {gram: (rank, c) for rank, (c, gram) in enumerate(counts)}))
     of = lambda name, pivot: grams.where(F.col("pivot") == pivot).select(
-        "side", "shared", F.col("word").alias(name), F.col("last").alias(f"last_{name}"), F.length("word").alias(f"length_{name}")
+        "shared", *[F.col(c).alias(f"{c}_{name}") for c in ("id", "length", "last", "letters", "grams")]
     )
     # The word whose prefix ends later has the other's pivot in it.
-    met = of("a", True).join(of("b", False), ["side", "shared"])
-    near = met.where("a <> b and last_a <= last_b and abs(length_a - length_b) <= 1")
-    pairs = near.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    found = materialized(pairs.where(F.levenshtein("a", "b", 1) == 1))
-    return found.select(F.col("a").alias("word"), F.col("b").alias("other")).union(found.select("b", "a"))
+    met = of("a", True).join(of("b", False), "shared")
+    near = met.where("id_a <> id_b and last_a <= last_b and abs(length_a - length_b) <= 1")
+    # Most candidates are ruled out here, so that few are sent on to be verified.
+    near = near.where("bit_count(letters_a ^ letters_b) <= 2 and bit_count(grams_a ^ grams_b) <= 4")
+    pairs = near.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct()
+    named = lambda name: words.select(*[F.col(c).alias(f"{c}_{name}") for c in ("id", "word", "n")])
+    candidates = pairs.join(named("a"), "id_a").join(named("b"), "id_b")
+    found = materialized(candidates.where(F.levenshtein("word_a", "word_b", 1) == 1))
+    both = lambda a, b: found.select(F.col(f"word_{a}").alias("word"), F.col(f"word_{b}").alias("other"), F.col(f"n_{b}").alias("n_other"))
+    return both("a", "b").union(both("b", "a"))
 
 
 def roots(forms: DataFrame) -> DataFrame:
@@ -149,9 +190,8 @@ def variants(docs: DataFrame, key: str = "doc_id", column: str = "text", every:
     itself without any. Null and empty texts have no words; a null key deletes nothing; repeated
     rows count each. Other columns are not read. An empty table gives no rows.
     """
-    words = materialized(vocabulary(docs, key, column, every))
-    other = words.select(F.col("word").alias("other"), F.col("n").alias("n_other"))
-    near = near_words(words).join(other, "other")
+    words = materialized(vocabulary(docs, key, column, every).withColumn("id", F.monotonically_increasing_id()))
+    near = near_words(words)
     first = F.min(F.struct((-F.col("n_other")).alias("n"), F.col("other").alias("word")))
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), first.alias("best"))
     follows = -F.col("best")["n"] >= FACTOR * F.col("n")
