@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialized
+from ..session import discard, materialized
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+def _settled(e: DataFrame) -> bool:
+    """Is every node either a child of one link, or only a parent? Links are combined per
+    node before the shuffle."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        e.select("b", F.lit(0), F.lit(1))
+    )
+    both = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1")
+    return both.isEmpty()
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -20,35 +26,34 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     the smallest neighbour, so that the links shrink to one star per component in
     a logarithmic number of rounds. Each round is a grouped minimum, which is
     combined before the shuffle, and an equi-join that Spark can split; it is
-    written to the shared folder, so nothing depends on one executor. Raises if
-    the links still change after ``max_rounds``.
+    written to the shared folder, so nothing depends on one executor. It ends when all
+    links are stars. Raises if they are not after ``max_rounds``.
     """
     e = materialized(
         edges.where("a <> b")
         .select(F.greatest("a", "b").cast("long").alias("a"), F.least("a", "b").cast("long").alias("b"))
         .distinct()
     )
-    before = _mark(e)
     for _ in range(max_rounds):
-        if before[0] == 0:
+        if _settled(e):
             break
         both = e.select("a", "b").union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialized(large)
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        e = materialized(
+        moved = materialized(
             large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
             .union(low.select("a", F.col("m").alias("b")))
             .distinct()
         )
-        now = _mark(e)
-        if now == before:
-            break
-        before = now
+        for used in (e, large):
+            discard(used)
+        e = moved
     else:
-        raise RuntimeError(f"components still change after {max_rounds} rounds")
+        if not _settled(e):
+            raise RuntimeError(f"components are not settled after {max_rounds} rounds")
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         roots.select("node", F.col("node").alias("component"))

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import materialized
+from ..session import discard, materialized
 from . import words
 from .batches import flat, ranges, slices
 from .components import components
@@ -375,11 +375,19 @@ def near_duplicates(
     several = labelled.groupBy("band").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x < y").select("band")
     mixed = materialized(labelled.join(several, "band"))
     more = materialized(_across(mixed, sketches, docs, size, percent, key, column))
-    found = components(links.union(more))
     named = classes.join(found, F.col("smallest") == F.col("node"), "left").select(
         *marks, F.coalesce("component", "smallest").alias("component")
     )
+    if more.limit(1).count():
+        # Links between components join these, not the documents anew.
+        label = lambda name: found.select(F.col("node").alias(name), F.col("component").alias(f"of_{name}"))
+        between = more.join(label("a"), "a", "left").join(label("b"), "b", "left")
+        joined = components(between.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")))
+        joined = joined.select(F.col("node").alias("component"), F.col("component").alias("further"))
+        named = named.join(joined, "component", "left").select(*marks, F.coalesce("further", "component").alias("component"))
     named = materialized(named)
+    for used in (sketches, shared, links, labelled, mixed, more, classes):
+        discard(used)
     out = all_rows.select("doc", *marks).join(named, marks, "left")
     component = F.when((F.col("n") > 0) & F.col("doc").isNotNull(), F.col("component")).otherwise(F.col("doc"))
     return out.select(

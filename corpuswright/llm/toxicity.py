@@ -198,7 +198,7 @@ def train(
         sent = spark.sparkContext.broadcast((at.astype(np.int32), state.z[at], state.n[at]))
 
         done = shares.mapInArrow(_one_pass(sent, turn), _STATES).collect()  # one row for each learner
-        sent.unpersist()
+        sent.destroy()
         if not done:
             break
         state = State.new()
