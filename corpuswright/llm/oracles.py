@@ -126,4 +126,72 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
-ORACLES = {"op11_spelling": SPELLING, "op12_merkle": _merkle(5), "op13_bitsliced": SEARCH}
+_WORDS = r"[^\x20\x09-\x0D]+"
+
+
+def _components(nodes: str, links: str) -> str:
+    """``named(node, component)`` from tables of one column ``node`` and of two, ``a, b``, both ways."""
+    return f"""reach(node, goal) AS (
+    SELECT node, node FROM {nodes}
+    UNION
+    SELECT reach.node, l.b FROM reach JOIN {links} l ON l.a = reach.goal),
+named AS (SELECT node, min(goal) AS component FROM reach GROUP BY node)"""
+
+
+NEAR_COPIES = f"""
+WITH RECURSIVE texts AS (
+    SELECT doc_id, coalesce(regexp_extract_all(translate(text, '{_UPPER}', '{_LOWER}'), '{_WORDS}'), []) AS w FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
+        ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM texts),
+sizes AS (SELECT doc_id AS node, len(s) AS n FROM sets),
+members AS (SELECT doc_id, unnest(s) AS x FROM sets),
+common AS (
+    SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS c FROM members p JOIN members q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY ALL),
+links AS (
+    SELECT a, b FROM common JOIN sizes x ON x.node = a JOIN sizes y ON y.node = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+{_components("sizes", "links")}
+SELECT node AS doc_id, n AS n_shingles, component AS component_id, node = component AS kept FROM sizes JOIN named USING (node)
+"""
+
+PASSAGES = f"""
+WITH texts AS (SELECT doc_id, coalesce(regexp_extract_all(text, '{_WORDS}'), []) AS w FROM documents),
+words AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM texts),
+windows AS (
+    SELECT doc_id, place, word, CASE WHEN lead(place, 19) OVER ahead IS NOT NULL
+        THEN string_agg(word, ' ') OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN CURRENT ROW AND 19 FOLLOWING) END AS seen
+    FROM words WINDOW ahead AS (PARTITION BY doc_id ORDER BY place)),
+repeated AS (
+    SELECT doc_id, place, word, seen IS NOT NULL AND row_number() OVER (PARTITION BY seen ORDER BY doc_id, place) > 1 AS again FROM windows),
+covered AS (
+    SELECT doc_id, place, word, max(again::INTEGER) OVER (PARTITION BY doc_id ORDER BY place ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) = 1 AS gone
+    FROM repeated),
+kept AS (
+    SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY place) FILTER (NOT gone), '') AS text
+    FROM covered GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM documents LEFT JOIN kept USING (doc_id)
+"""
+
+VECTOR_LINKS = f"""
+WITH RECURSIVE sound AS (
+    SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+    SELECT p.vec_id AS a, q.vec_id AS b FROM sound p JOIN sound q ON p.vec_id <> q.vec_id
+    WHERE list_inner_product(p.v, q.v) >= 0.95 * sqrt(list_inner_product(p.v, p.v)) * sqrt(list_inner_product(q.v, q.v))),
+nodes AS (SELECT vec_id AS node FROM embeddings),
+{_components("nodes", "links")}
+SELECT node AS vec_id, count(links.b) AS n_links, component AS component_id, node = component AS kept
+FROM named LEFT JOIN links ON links.a = node GROUP BY node, component
+"""
+
+ORACLES = {
+    "op6_minhash": NEAR_COPIES,
+    "op7_passages": PASSAGES,
+    "op8_embedding_links": VECTOR_LINKS,
+    "op11_spelling": SPELLING,
+    "op12_merkle": _merkle(5),
+    "op13_bitsliced": SEARCH,
+}
