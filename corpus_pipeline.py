@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from corpuswright.llm import packing, passages, setsketch, toxicity
 from corpuswright.llm.queries import WORD_TOKENIZER, vocabulary
-from corpuswright.session import materialized
+from corpuswright.session import materialized, release, tracked
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SHINGLE_WORDS, SIMILARITY_PERCENT = 5, 80
@@ -61,9 +61,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. What a stage has stored goes once its result is
+    written; what the last one has stored stays as long as the session's scratch folder,
+    since its result reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before: list[tuple[str, str]] = []
     for name, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = materialized(docs)
+        with tracked() as made:
+            out = stage(spark, docs, sf_dir)
+            if name == STAGES[-1][0]:
+                return out
+            out = materialized(out)
+        release(spark, before + made, keep=out)
+        docs, before = out, made[-1:]
     return docs
