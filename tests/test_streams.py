@@ -125,3 +125,26 @@ def test_files_grow_with_the_table(spark, folder):
     assert sum(r["n"] for r in per_file) == rows.select("id").distinct().count() == 6000
     ends = [(r["part"], r["a"], r["b"]) for r in per_file]
     assert all(x[0] < y[0] or x[0] == y[0] and x[2] < y[1] for x, y in zip(ends, ends[1:]))
+
+
+def test_files_to_a_micro_batch_grow_with_the_table(spark, folder):
+    df = spark.range(6000).select("id", F.when(F.col("id") < 30, 0).otherwise(1).alias("part"))
+    at_once = SC.deliver(df, F.col("part").cast("int"), f"{folder}/in", "id", rows_per_file=100, batches=5, apart=True)
+    stream = SC.read_files(spark, f"{folder}/in", df.schema, files_at_once=at_once)
+    seen = []
+    SC.run_to_end(
+        stream.writeStream.option("checkpointLocation", f"{folder}/log").foreachBatch(
+            lambda rows, number: seen.append({r["id"]: r["part"] for r in rows.collect()})
+        )
+    )
+    # About sixty files in five micro-batches, and one more for the small first arrival.
+    assert at_once >= 10 and 5 <= len(seen) <= 7
+    assert all(len(set(batch.values())) == 1 for batch in seen)
+    assert [i for batch in seen for i in sorted(batch)] == list(range(6000))
+    assert set(seen[0]) == set(range(30))
+
+
+def test_no_batches_asked_for_is_one_file_at_once(spark, folder):
+    df = spark.range(100).select("id")
+    assert SC.deliver(df, F.lit(0), f"{folder}/in", "id", rows_per_file=10) == 1
+    assert SC.deliver(df, F.lit(0), f"{folder}/in2", "id", rows_per_file=100, batches=12, apart=True) == 1
