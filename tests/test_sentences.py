@@ -98,3 +98,25 @@ def test_whole_documents(spark, documents):
 
 def test_null(spark):
     assert split(spark, [None]) == [None]
+
+
+def test_letters_are_passed_by_one_test(spark):
+    """The rules are looked at before ending signs only: the same sentences in a fraction of
+    the time that they take when tried before every letter."""
+    import time
+
+    guard = f"(?=[{T._class(T.ENDS + T.WIDE_ENDS)}])"
+    pattern = T.ruled_pattern()
+    assert guard in pattern
+    df = spark.range(200, numPartitions=1).selectExpr("id", "concat(repeat('some plain words ', 500 + id % 7), 'e.g. Dr. No 3. x. End!') AS text").cache()
+
+    def timed(p):
+        start = time.time()
+        rows = df.select("id", T.pieces("text", p).alias("s")).collect()
+        return time.time() - start, rows
+
+    timed(pattern)
+    quick, ours = timed(pattern)
+    slow, theirs = timed(pattern.replace(guard, ""))
+    df.unpersist()
+    assert ours == theirs and quick < slow
