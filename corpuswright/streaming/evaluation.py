@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -87,30 +87,41 @@ class GateProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("open", "open boolean")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         # One row per evaluation, not per log row: a run's new rows are few.
-        frame = pd.concat(list(rows)).sort_values("window_start")
-        state = bool(self.state.get()[0]) if self.state.exists() else True
-        flags = []
-        for metric in frame["metric"]:
-            if not pd.isna(metric):
+        found = self.state.get()
+        state = bool(found[0]) if found is not None else True
+        out = []
+        for row in sorted(rows, key=lambda r: (r["at"] is None, r["at"] or 0)):
+            metric = row["metric"]
+            if not _absent(metric):
                 state = bool(metric > self.threshold)
-            flags.append(state)
+            out.append(Row(run=key[0], at=row["at"], gate=state))
         self.state.update((state,))
-        yield pd.DataFrame({"run": key[0], "window_start": frame["window_start"].to_numpy(), "gate": flags})
+        return iter(out)
 
     def close(self) -> None:
         pass
 
 
+def _absent(metric: float | None) -> bool:
+    return metric is None or metric != metric
+
+
 def gate_stream(evaluations: DataFrame, threshold: float) -> DataFrame:
-    """Gate per evaluation from a stream of ``(run, window_start, metric)``."""
-    return evaluations.groupBy("run").transformWithStateInPandas(
+    """Gate per evaluation from a stream of ``(run, window_start, metric)``.
+
+    Rows go to the state as they are, many runs to an Arrow batch: a frame for every run
+    would cost more than all the rest of it.
+    """
+    micros = evaluations.select("run", F.unix_micros("window_start").alias("at"), F.col("metric").cast("double").alias("metric"))
+    gates = micros.groupBy("run").transformWithState(
         statefulProcessor=GateProcessor(threshold),
-        outputStructType="run bigint, window_start timestamp, gate boolean",
+        outputStructType="run bigint, at bigint, gate boolean",
         outputMode="append",
         timeMode="none",
     )
+    return gates.select("run", F.timestamp_micros("at").alias("window_start"), "gate")
 
 
 class RunGateProcessor(StatefulProcessor):
