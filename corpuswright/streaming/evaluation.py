@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -140,37 +139,37 @@ class RunGateProcessor(StatefulProcessor):
         self.waiting = handle.getListState("waiting", "at bigint, metric double")
         self.gate = handle.getValueState("gate", "open boolean, last bigint")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        for frame in rows:
-            millis = frame["at"].astype("int64").tolist()
-            metrics = [None if pd.isna(m) else float(m) for m in frame["metric"]]
-            due = [(at, m) for at, m in zip(millis, metrics) if at > passed * 1000]
-            if due:
-                self.waiting.appendList(due)
-                for at in {at for at, _ in due}:
-                    self.handle.registerTimer(_fires(at))
+        due = [(r["at"], None if _absent(r["metric"]) else float(r["metric"])) for r in rows]
+        due = [(at, m) for at, m in due if at is not None and at > passed * 1000]
+        if due:
+            self.waiting.appendList(due)
+            # One timer: when it fires, it sees to the next one.
+            self.handle.registerTimer(_fires(min(at for at, _ in due)))
         return iter(())
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         passed = timerValues.getCurrentWatermarkInMs()
-        held = [(r[0], r[1]) for r in self.waiting.get()] if self.waiting.exists() else []
+        held = [(r[0], r[1]) for r in self.waiting.get()]
         due = sorted((h for h in held if _fires(h[0]) <= passed), key=lambda h: (h[0], h[1] is not None, h[1] or 0.0))
-        is_open, last = self.gate.get() if self.gate.exists() else (True, None)
-        flags, starts = [], []
+        found = self.gate.get()
+        is_open, last = found if found is not None else (True, None)
+        out = []
         for at, metric in due:
-            starts.append(last is None or at - last > self.idle_ms * 1000)
-            if starts[-1]:
+            restarted = last is None or at - last > self.idle_ms * 1000
+            if restarted:
                 is_open = True
             if metric is not None:
                 is_open = metric > self.threshold
             last = at
-            flags.append(is_open)
+            out.append(Row(run=key[0], at=at, gate=bool(is_open), restarted=restarted))
         rest = [h for h in held if _fires(h[0]) > passed]
         ended = last is not None and last + self.idle_ms * 1000 < passed * 1000
         if due:
             if rest:
                 self.waiting.put(rest)
+                self.handle.registerTimer(_fires(min(at for at, _ in rest)))
             else:
                 self.waiting.clear()
         if ended:
@@ -178,9 +177,7 @@ class RunGateProcessor(StatefulProcessor):
         elif due:
             self.gate.update((bool(is_open), last))
             self.handle.registerTimer(_fires(last + self.idle_ms * 1000) + 1)
-        if due:
-            times = pd.to_datetime([at for at, _ in due], unit="us", utc=True)
-            yield pd.DataFrame({"run": key[0], "window_start": times, "gate": flags, "restarted": starts})
+        return iter(out)
 
     def close(self) -> None:
         pass
@@ -202,12 +199,13 @@ def run_gate_stream(evaluations: DataFrame, threshold: float, delay: str, idle_m
     """
     clocked = evaluations.withWatermark("window_start", delay)
     micros = clocked.select("run", "window_start", "metric", F.unix_micros("window_start").alias("at"))
-    return micros.groupBy("run").transformWithStateInPandas(
+    gates = micros.groupBy("run").transformWithState(
         statefulProcessor=RunGateProcessor(threshold, idle_ms),
-        outputStructType="run bigint, window_start timestamp, gate boolean, restarted boolean",
+        outputStructType="run bigint, at bigint, gate boolean, restarted boolean",
         outputMode="append",
         timeMode="eventTime",
     )
+    return gates.select("run", F.timestamp_micros("at").alias("window_start"), "gate", "restarted")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
