@@ -148,3 +148,49 @@ def test_no_batches_asked_for_is_one_file_at_once(spark, folder):
     df = spark.range(100).select("id")
     assert SC.deliver(df, F.lit(0), f"{folder}/in", "id", rows_per_file=10) == 1
     assert SC.deliver(df, F.lit(0), f"{folder}/in2", "id", rows_per_file=100, batches=12, apart=True) == 1
+
+
+class Recorder:
+    """Stands for the handle, the states and the timer values of a processor."""
+
+    def __init__(self):
+        self.timers, self.held = [], []
+
+    def getListState(self, *_):
+        return self
+
+    def getValueState(self, *_):
+        return self
+
+    def registerTimer(self, at):
+        self.timers.append(at)
+
+    def appendList(self, rows):
+        self.held += rows
+
+    def get(self):
+        return None
+
+    def update(self, value):
+        self.held = [value]
+
+    def getCurrentWatermarkInMs(self):
+        return 0
+
+
+def test_a_run_waits_for_one_timer():
+    handle = Recorder()
+    gate = SE.RunGateProcessor(0.0, DAY)
+    gate.init(handle)
+    rows = iter([{"at": 3000 * i, "metric": 1.0} for i in (5, 2, 9)])
+    assert list(gate.handleInputRows((1,), rows, handle)) == []
+    assert handle.timers == [6] and [at for at, _ in handle.held] == [15000, 6000, 27000]
+
+
+def test_gate_takes_rows():
+    handle = Recorder()
+    gate = SE.GateProcessor(0.0)
+    gate.init(handle)
+    rows = iter([{"at": 2, "metric": float("nan")}, {"at": 1, "metric": -1.0}, {"at": 3, "metric": 2.0}])
+    assert [(r["at"], r["gate"]) for r in gate.handleInputRows((1,), rows, handle)] == [(1, False), (2, False), (3, True)]
+    assert handle.held == [(True,)]
