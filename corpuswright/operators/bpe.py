@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, VOCAB_SIZE
 from ..functions.arrays import col
-from ..functions.text import LINE, MARKED_PRETOKEN, PRETOKEN, add_markers, cut_at_padding, pieces
+from ..functions.cutting import clean, count_pieces, marked_ids
+from ..functions.text import MARKED_PRETOKEN, add_markers, cut_at_padding, pieces
 from ..session import discard, local_table, materialized, scratch_partitions
 from .sampling import draws_with_replacement
 
@@ -70,11 +71,7 @@ def pretoken_counts(df: DataFrame, text: str = "text", by_line: bool = True) ->
     By default each line is split on its own, with its newline, as for a text
     file that has one document after the other.
     """
-    if by_line:
-        lines = F.explode(pieces(F.concat(col(text), F.lit("\n")), LINE))
-        df = df.select(lines.alias(text))
-    words = df.select(F.explode(pieces(text, PRETOKEN)).alias("piece"))
-    return words.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    return count_pieces(df, text, by_line)
 
 
 def pair_counts(words: DataFrame) -> DataFrame:
@@ -461,6 +458,125 @@ def merge_ids(ids: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [i for i in ids if i >= 0]
 
 
+MATRIX_BYTES = 64
+ENCODED_BYTES = 8 << 20
+
+
+class _Merger:
+    """Merges of many words at once. Words of about one length are the rows of a matrix; a step
+    makes the first merge in rank, leftmost if there are several, in all rows that have one."""
+
+    def __init__(self, merges: list[tuple[int, int, int]]):
+        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
+        for rank, (a, b, c) in enumerate(merges):
+            self.ranks.setdefault((a, b), (rank, c))
+        table = np.array([(a, b, r, c) for (a, b), (r, c) in self.ranks.items()], np.int64).reshape(-1, 4)
+        codes = (table[:, 0] << 32) | table[:, 1]
+        order = np.argsort(codes)
+        self.none = len(merges)
+        self.codes = np.append(codes[order], np.int64(2**62))
+        self.rank = np.append(table[order, 2], self.none).astype(np.int32)
+        self.made = np.zeros(self.none + 1, np.int32)
+        self.made[table[:, 2]] = table[:, 3]
+        self.byte_ids = np.array(BYTE_IDS, np.int32)
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        codes = (left.astype(np.int64) << 32) | right
+        place = np.searchsorted(self.codes, codes)
+        return np.where(self.codes[place] == codes, self.rank[place], self.none)
+
+    def _rows(self, symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Rows of byte symbols to rows of ids; places that are merged away hold -1."""
+        n, width = symbols.shape
+        done = symbols.copy()
+        # A column more on either side stands for no neighbour.
+        after = np.tile(np.arange(2, width + 2), (n, 1))
+        after[np.arange(width) >= lengths[:, None] - 1] = width + 1
+        after = np.pad(after, ((0, 0), (1, 1)), constant_values=width + 1)
+        before = np.tile(np.arange(-1, width + 1), (n, 1))
+        before[:, 0] = 0
+        held = np.pad(symbols, ((0, 0), (1, 1)), constant_values=-1)
+        rank = np.full((n, width + 2), self.none, np.int32)
+        inner = np.arange(width - 1) < lengths[:, None] - 1
+        rank[:, 1:width][inner] = self._rank_of(symbols[:, :-1][inner], symbols[:, 1:][inner])
+        which = np.arange(n)
+        while len(which):
+            at = rank.argmin(axis=1)
+            row = np.arange(len(which))
+            first = rank[row, at]
+            open_ = first < self.none
+            if not open_.all():
+                done[which[~open_]] = held[~open_, 1 : width + 1]
+                which, rank, held, after, before = which[open_], rank[open_], held[open_], after[open_], before[open_]
+                at, first, row = at[open_], first[open_], np.arange(len(which))
+                if not len(which):
+                    break
+            gone = after[row, at]
+            behind = after[row, gone]
+            held[row, at] = self.made[first]
+            held[row, gone] = -1
+            rank[row, gone] = self.none
+            after[row, at] = behind
+            before[row, behind] = at
+            ahead = before[row, at]
+            now = held[row, at]
+            right = self._rank_of(now, held[row, behind])
+            rank[row, at] = np.where(behind <= width, right, self.none)
+            left = self._rank_of(held[row, ahead], now)
+            rank[row, ahead] = np.where(ahead > 0, left, self.none)
+        return done
+
+    def __call__(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words, one word after the other, and how many each has."""
+        offsets = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+        sizes = np.diff(offsets)
+        data = np.frombuffer(words.buffers()[2], np.uint8) if len(words) and offsets[-1] else np.zeros(1, np.uint8)
+        lengths = np.zeros(len(words), np.int64)
+        parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        low = 0
+        for high in (4, 8, 12, 16, 24, 32, MATRIX_BYTES):
+            rows = np.flatnonzero((sizes > low) & (sizes <= high))
+            low = high
+            for part in (rows[i : i + 4096] for i in range(0, len(rows), 4096)):
+                size = sizes[part]
+                column = np.arange(high)
+                used = column < size[:, None]
+                symbols = np.full((len(part), high), -1, np.int32)
+                symbols[used] = self.byte_ids[data[(offsets[part][:, None] + column)[used]]]
+                found = self._rows(symbols, size)
+                kept = found >= 0
+                lengths[part] = kept.sum(axis=1)
+                parts.append((part, found[kept], lengths[part]))
+        for i in np.flatnonzero(sizes > MATRIX_BYTES).tolist():
+            ids = merge_ids(self.byte_ids[data[offsets[i] : offsets[i + 1]]].tolist(), self.ranks)
+            lengths[i] = len(ids)
+            parts.append((np.array([i]), np.array(ids, np.int32), np.array([len(ids)])))
+        starts = np.cumsum(lengths) - lengths
+        flat = np.zeros(int(lengths.sum()), np.int32)
+        for which, ids, counts in parts:
+            flat[np.arange(len(ids)) + np.repeat(starts[which] - (np.cumsum(counts) - counts), counts)] = ids
+        return flat, lengths
+
+
+def encode_texts(df: DataFrame, keys: list[str], text: str, vocabulary: Vocabulary, words: bool = False) -> DataFrame:
+    """The same as :func:`encode` of the sentences of a text, by pre-tokens or by plain words, in
+    array operations: the distinct pieces of a batch are merged all at once."""
+    merger = _Merger(vocabulary.merges)
+    special = {t: i for i, t in enumerate(SPECIAL_TOKENS)}
+
+    def ids_of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        entry = pc.index_in(distinct, value_set=pa.array(list(special), pa.string()))
+        marked = np.flatnonzero(entry.is_valid().to_numpy(zero_copy_only=False))
+        # A byte that is no more than a place for the special token's id.
+        plain = pc.if_else(entry.is_valid(), "!", distinct)
+        flat, lengths = merger(plain)
+        flat[(np.cumsum(lengths) - lengths)[marked]] = entry.drop_null().to_numpy(zero_copy_only=False)
+        return flat, lengths
+
+    ids = marked_ids(df.sparkSession, words, ids_of, ENCODED_BYTES)(clean(text))
+    return df.select(*keys, ids.alias("input_ids"))
+
+
 MEMO_PIECES = 200_000
 
 

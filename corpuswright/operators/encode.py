@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, SPECIAL_TOKENS, UNK, VOCAB_SIZE
+from ..functions.cutting import clean, count_pieces, marked_ids
 from ..functions.text import MARKED_WORD, WORD, add_markers, pieces
 from ..session import local_table
 
@@ -17,6 +18,8 @@ FIRST_WORD_ID = len(SPECIAL_TOKENS)
 
 def piece_counts(df: DataFrame, text: str = "text", pattern: str = WORD) -> DataFrame:
     """Corpus frequency ``n`` of every ``piece``; counted before the shuffle."""
+    if pattern == WORD:
+        return count_pieces(df, text)
     return (
         df.select(F.explode(pieces(text, pattern)).alias("piece")).groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
     )
@@ -99,3 +102,17 @@ def encode_words(
     words, ids = vocabulary_arrays(vocabulary, vocab_size)
     split = F.transform(add_markers(segs), lambda s: pieces(s, pattern))
     return df.withColumn(out, _nested_lookup(words, ids, UNK)(split))
+
+
+def encode_texts(
+    df: DataFrame, text: str, vocabulary: DataFrame, vocab_size: int = VOCAB_SIZE, out: str = "input_ids"
+) -> DataFrame:
+    """The same as :func:`encode_words` of the sentences of a text, cut by array operations."""
+    words, ids = vocabulary_arrays(vocabulary, vocab_size)
+
+    def ids_of(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        places = pc.index_in(distinct, value_set=pa.array(words, pa.string()))
+        found = pc.fill_null(pc.take(pa.array(ids), places), UNK)
+        return found.to_numpy(zero_copy_only=False), np.ones(len(distinct), np.int64)
+
+    return df.withColumn(out, marked_ids(df.sparkSession, True, ids_of)(clean(text)))

@@ -9,8 +9,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..constants import MIN_FREQUENCY, VOCAB_SIZE
-from ..functions.text import MARKED_WORD, SENTENCE, WORD, segments
-from ..operators.encode import encode_words, piece_counts, word_vocabulary
+from ..functions.text import MARKED_WORD, SENTENCE, WORD
+from ..operators.encode import encode_texts, piece_counts, word_vocabulary
 from ..operators.sampling import concat_corpora, head_fraction, make_splits, train_subset
 from ..session import materialized
 from ..sources.corpus import cached, file_state, prune, require_sizes
@@ -46,7 +46,7 @@ def encoded_documents(
     def build() -> DataFrame:
         texts = docs.select(key, "text")
         vocabulary = word_vocabulary(piece_counts(texts), vocab_size, min_frequency)
-        return encode_words(texts, segments(["text"], True), vocabulary).select(key, "input_ids")
+        return encode_texts(texts, "text", vocabulary).select(key, "input_ids")
 
     options |= {
         "files": file_state(docs), "vocab": vocab_size, "min": min_frequency, "patterns": [SENTENCE, MARKED_WORD, WORD]
