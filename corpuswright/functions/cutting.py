@@ -200,7 +200,7 @@ def count_pieces(df: DataFrame, text: str = "text", by_line: bool | None = None)
     return rows.mapInArrow(run, "piece string, n bigint").groupBy("piece").agg(F.sum("n").alias("n"))
 
 
-def _marked(texts: pa.Array, table: np.ndarray, words: bool):
+def cut_marked(texts: pa.Array, table: np.ndarray, words: bool):
     """Sentences of texts with their markers, cut into pieces: the distinct pieces, one place
     among them for each piece, and the offsets of sentences in these and of texts in the sentences."""
     held = Texts(texts, table)
@@ -239,7 +239,7 @@ def marked_ids(
             tables.append(unpacked(classes))
         parts = []
         for part in chunks(texts, limit):
-            distinct, codes, of_sentences, of_texts = _marked(part, tables[0], words)
+            distinct, codes, of_sentences, of_texts = cut_marked(part, tables[0], words)
             flat, lengths = ids_of(distinct)
             counts = lengths[codes]
             ends = np.append(0, np.cumsum(counts))

@@ -6,10 +6,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..constants import IGNORE, MASK, MASK_PROBABILITY, PROTECTED_IDS, REPLACE_PROBABILITY, VOCAB_SIZE
+from ..functions import digests
 from ..functions.arrays import col, where
 from ..functions.hashing import happens, uniform, uniform_index
 from ..functions.scores import gumbel
@@ -50,6 +52,9 @@ def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfi
     A selected position becomes MASK with the replace probability and otherwise
     keeps its id. The label is the id where selected, else the ignore value.
     """
+    if cfg.algorithm == "md5" and cfg.sentence_probability <= 0:
+        return _with_drawn(df, key, cfg)
+
     def draw(p, purpose, i):
         return happens(p, cfg.seed, f"{purpose}:{cfg.epoch}", key, i, algorithm=cfg.algorithm)
 
@@ -72,6 +77,73 @@ def mask_tokens(df: DataFrame, key: str, cfg: CorruptionConfig = CorruptionConfi
     })
 
 
+_MASKED = ("masked", "replaced", "generator_input_ids", "labels_generator")
+
+
+def _with_drawn(df: DataFrame, key: str, cfg: CorruptionConfig, table: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """The columns of :func:`mask_tokens` and, with a table, of :func:`replace_tokens` and
+    :func:`replacement_labels`, for whole Arrow batches: the same draws, many at once."""
+    kind = df.schema["input_ids"].dataType.elementType.simpleString()
+    types = dict.fromkeys(_MASKED, f"array<{kind}>") | {"masked": "array<boolean>", "replaced": "array<boolean>"}
+    if table is not None:
+        ids, running = table
+        total = int(running[-1])
+        types |= {"sampled_input_ids": f"array<{kind}>", "labels_at_token_level": "array<int>"}
+
+    @F.arrow_udf("struct<" + ", ".join(f"{n}: {t}" for n, t in types.items()) + ">")
+    def drawn(lists: pa.Array, keys: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.append(0, np.cumsum(sizes))
+        values = lists.flatten()
+        unknown = values.is_null().to_numpy(zero_copy_only=False)
+        x = pc.fill_null(values, 0).to_numpy(zero_copy_only=False)
+        open_ = unknown | ~np.isin(x, cfg.protected)
+
+        def happening(p, purpose, among):
+            at = np.flatnonzero(among)
+            rows = np.searchsorted(offsets, at, "right") - 1
+            hit = digests.happen(p, digests.prefixes(cfg.seed, f"{purpose}:{cfg.epoch}", keys), rows, at - offsets[rows])
+            out = np.zeros(len(among), bool)
+            out[at[hit]] = True
+            return out
+
+        masked = happening(cfg.mask_probability, "mask", open_)
+        replaced = happening(cfg.replace_probability, "replace", masked)
+        # What is not known is neither masked nor replaced for sure.
+        sure, changed = masked & ~unknown, replaced & ~unknown
+        made = {
+            "masked": pa.array(masked, mask=masked & unknown),
+            "replaced": pa.array(replaced, mask=replaced & unknown),
+            "generator_input_ids": pa.array(np.where(changed, MASK, x), values.type, mask=unknown & ~changed),
+            "labels_generator": pa.array(np.where(sure, x, IGNORE), values.type),
+        }
+        if table is not None:
+            at = np.flatnonzero(changed)
+            rows = np.searchsorted(offsets, at, "right") - 1
+            ranks = digests.indices(total, digests.prefixes(cfg.seed, f"sample:{cfg.epoch}", keys), rows, at - offsets[rows])
+            sampled = x.copy()
+            sampled[at] = ids[np.searchsorted(running, ranks, side="right")]
+            labels = np.where(open_, (changed & (sampled != x)).astype(np.int32), np.int32(IGNORE))
+            made |= {"sampled_input_ids": pa.array(sampled, values.type, mask=unknown), "labels_at_token_level": pa.array(labels)}
+        starts = pa.array(offsets.astype(np.int32), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(starts, made[n]) for n in types], list(types))
+
+    out = df.withColumn("_drawn", drawn("input_ids", F.col(key).cast("string")))
+    return out.withColumns({n: F.col(f"_drawn.{n}") for n in types}).drop("_drawn")
+
+
+def array_proposal(df: DataFrame, ids: str = "input_ids", protected=PROTECTED_IDS) -> DataFrame:
+    """:func:`token_proposal` of lists of ids, counted before they become rows."""
+
+    def run(batches):
+        for batch in batches:
+            counted = batch.column(0).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([counted.field("values").cast(pa.int32()), counted.field("counts")], ["id", "n"])
+
+    counted = df.select(ids).mapInArrow(run, "id int, n bigint").where(~F.col("id").isin(*protected))
+    return counted.groupBy("id").agg(F.sum("n").alias("n"))
+
+
 def token_proposal(tokens: DataFrame, protected=PROTECTED_IDS) -> DataFrame:
     """Corpus frequency ``n`` per token id, the distribution replacements come
     from. At most one row per vocabulary entry."""
@@ -188,4 +260,6 @@ def corrupt(
     df: DataFrame, key: str, table: tuple[np.ndarray, np.ndarray], cfg: CorruptionConfig = CorruptionConfig()
 ) -> DataFrame:
     """Masking, replacing and labelling in one map."""
+    if cfg.algorithm == "md5" and cfg.sentence_probability <= 0:
+        return _with_drawn(df, key, cfg, table)
     return replacement_labels(replace_tokens(mask_tokens(df, key, cfg), key, table, cfg), cfg.protected)

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..constants import MIN_FREQUENCY, UNK
+from ..functions.cutting import character_classes, chunks, clean, cut_marked, unpacked
 from ..functions.text import MARKED_WORD, add_markers, pieces
 from ..session import materialized
 from .encode import FIRST_WORD_ID, special_rows
@@ -24,6 +25,7 @@ from .ordering import range_ranked
 from .skew import salted_lookup
 
 SPLIT_TOKENS = 200_000
+TEXT_BYTES = 4 << 20
 
 
 def dictionary(counts: DataFrame, min_frequency: int = MIN_FREQUENCY) -> DataFrame:
@@ -40,32 +42,51 @@ def _starts(lists: pa.Array) -> np.ndarray:
     return offsets - offsets[0]
 
 
-def _splits(rows: DataFrame, split_tokens: int) -> DataFrame:
-    """Stored ``split, documents, pieces`` from rows ``key, nested``."""
+def _pieces_of(nested: pa.Array, _) -> tuple:
+    """Nested pieces as distinct ones and places among them; offsets of sentences and rows."""
+    sentences = nested.flatten()
+    coded = sentences.flatten().dictionary_encode()
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False), _starts(sentences), _starts(nested)
+
+
+def _splits(rows: DataFrame, split_tokens: int, of_texts: bool = False) -> DataFrame:
+    """Stored ``split, documents, pieces`` from rows ``key, nested``, or ``key, text``."""
     key_type = rows.schema["key"].dataType
     document = T.StructType([T.StructField("key", key_type), T.StructField("codes", T.ArrayType(T.ArrayType(T.IntegerType())))])
     schema = T.StructType([T.StructField("documents", T.ArrayType(document)), T.StructField("pieces", T.ArrayType(T.StringType()))])
+    classes = character_classes(rows.sparkSession) if of_texts else None
+
+    def parts(batch: pa.RecordBatch, table):
+        if table is None:
+            yield batch.column(1), 0
+            return
+        at = 0
+        for texts in chunks(batch.column(1), TEXT_BYTES):
+            yield texts, at
+            at += len(texts)
 
     def run(batches):
+        table = unpacked(classes) if of_texts else None
+        cut = (lambda texts, table: cut_marked(texts, table, True)) if of_texts else _pieces_of
         for batch in batches:
             if batch.num_rows == 0:
                 continue
-            nested = batch.column("nested")
-            tokens = _starts(nested.flatten())[_starts(nested)]
-            at = 0
-            while at < batch.num_rows:
-                to = int(np.searchsorted(tokens, tokens[at] + split_tokens, "right")) - 1
-                to = min(max(to, at + 1), batch.num_rows)
-                part = nested.slice(at, to - at)
-                sentences = part.flatten()
-                coded = sentences.flatten().dictionary_encode()
-                codes = pa.ListArray.from_arrays(pa.array(_starts(sentences).astype(np.int32)), coded.indices.cast(pa.int32()))
-                codes = pa.ListArray.from_arrays(pa.array(_starts(part).astype(np.int32)), codes)
-                held = pa.StructArray.from_arrays([batch.column("key").slice(at, to - at), codes], ["key", "codes"])
-                ends = pa.array([0, to - at], pa.int32())
-                distinct = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, held), distinct], ["documents", "pieces"])
-                at = to
+            for values, first in parts(batch, table):
+                distinct, codes, of_sentences, of_rows = cut(values, table)
+                tokens = of_sentences[of_rows]
+                at = 0
+                while at < len(values):
+                    to = int(np.searchsorted(tokens, tokens[at] + split_tokens, "right")) - 1
+                    to = min(max(to, at + 1), len(values))
+                    held, places = np.unique(codes[tokens[at] : tokens[to]], return_inverse=True)
+                    sentences = of_sentences[of_rows[at] : of_rows[to] + 1]
+                    lists = pa.ListArray.from_arrays(pa.array((sentences - tokens[at]).astype(np.int32)), pa.array(places.astype(np.int32)))
+                    lists = pa.ListArray.from_arrays(pa.array((of_rows[at : to + 1] - of_rows[at]).astype(np.int32)), lists)
+                    documents = pa.StructArray.from_arrays([batch.column("key").slice(first + at, to - at), lists], ["key", "codes"])
+                    ends = pa.array([0, to - at], pa.int32())
+                    found = pa.ListArray.from_arrays(pa.array([0, len(held)], pa.int32()), distinct.take(pa.array(held)))
+                    yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, documents), found], ["documents", "pieces"])
+                    at = to
 
     made = rows.mapInArrow(run, schema)
     return materialized(made.select(F.monotonically_increasing_id().alias("split"), "documents", "pieces"))
@@ -83,6 +104,20 @@ def encode(
     """
     nested = F.coalesce(F.transform(add_markers(segs), lambda s: pieces(s, pattern)), F.array().cast("array<array<string>>"))
     splits = _splits(df.select(F.struct(*keys).alias("key"), nested.alias("nested")), split_tokens)
+    return _answered(df, keys, splits, words, unknown, out)
+
+
+def encode_texts(
+    df: DataFrame, keys: list[str], text: str, words: DataFrame, unknown: int = UNK, out: str = "input_ids",
+    split_tokens: int = SPLIT_TOKENS,
+) -> DataFrame:
+    """The same as :func:`encode` of the sentences of a text, cut by array operations."""
+    splits = _splits(df.select(F.struct(*keys).alias("key"), clean(text).alias("text")), split_tokens, of_texts=True)
+    return _answered(df, keys, splits, words, unknown, out)
+
+
+def _answered(df: DataFrame, keys: list[str], splits: DataFrame, words: DataFrame, unknown: int, out: str) -> DataFrame:
+    """Documents of stored splits with the ids of their pieces."""
     asked = splits.select("split", F.posexplode("pieces").alias("place", "piece"))
     # Few rows: how many splits ask for each entry, and its id.
     wanted = asked.groupBy("piece").agg(F.count(F.lit(1)).alias("splits"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import IGNORE
+from ..constants import IGNORE, VOCAB_SIZE
 from ..functions.arrays import argmax, col
 from ..functions.scores import class_one, nan_to_zero, ratio, sigmoid, softmax
 from ..session import materialized
@@ -184,23 +187,36 @@ def token_accuracy(prediction, label) -> Column:
     return nan_to_zero(F.avg(F.when(kept(label), (col(prediction) == col(label)).cast("double"))))
 
 
+_COUNTS = ["selected", "right", "replaced", "replaced_right"]
+
+
 def masked_accuracy(corrupted: DataFrame, prediction: str = "sampled_input_ids") -> DataFrame:
     """Accuracy over the selected positions, counted inside each row's arrays.
 
     ``mlm_accuracy`` takes all selected positions; the ones left unreplaced show
     their own id and are always right. ``replaced_accuracy`` leaves those out.
     """
-    right = F.zip_with(prediction, "labels_generator", lambda p, y: p == y)
-    hits = F.zip_with("masked", right, lambda m, r: m & r)
-    replaced_hits = F.zip_with("replaced", right, lambda m, r: m & r)
-
-    def total(flags):
-        return F.sum(F.size(F.filter(flags, lambda f: f)))
-
-    sums = corrupted.agg(
-        total(F.col("masked")).alias("selected"), total(hits).alias("right"),
-        total(F.col("replaced")).alias("replaced"), total(replaced_hits).alias("replaced_right"),
-    )
+    names = ["masked", "replaced", "labels_generator", prediction]
+
+    def counts(lists: list[pa.Array]) -> list[int]:
+        masked, replaced, target, predicted = (x.flatten() for x in lists)
+        right = pc.fill_null(pc.equal(predicted, target), False)
+        masked, replaced = pc.fill_null(masked, False), pc.fill_null(replaced, False)
+        each = (masked, pc.and_(masked, right), replaced, pc.and_(replaced, right))
+        return [pc.sum(x, min_count=0).as_py() for x in each]
+
+    def run(batches):
+        for batch in batches:
+            lists = [batch.column(i) for i in range(4)]
+            widths = [pc.fill_null(pc.list_value_length(x), -1) for x in lists]
+            if not all(w.equals(widths[0]) for w in widths):
+                # Lists of unequal length: what is missing at an end is not known.
+                most = [max(w) for w in zip(*(w.to_pylist() for w in widths))]
+                lists = [pa.array([[*(v or []), *[None] * (n - len(v or []))] for v, n in zip(x.to_pylist(), most)], x.type) for x in lists]
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in counts(lists)], _COUNTS)
+
+    found = corrupted.select(*names).mapInArrow(run, ", ".join(f"{c} bigint" for c in _COUNTS))
+    sums = found.agg(*[F.sum(c).alias(c) for c in _COUNTS])
     return sums.select(
         "selected", "replaced",
         ratio("right", "selected").alias("mlm_accuracy"),
@@ -208,6 +224,44 @@ def masked_accuracy(corrupted: DataFrame, prediction: str = "sampled_input_ids")
     )
 
 
+def document_loss_sums(corrupted: DataFrame, tokens: DataFrame, vocab_size: int = VOCAB_SIZE) -> DataFrame:
+    """``doc_id, s, n, gs, gn`` per row: sum and number of the token-level losses, and of the
+    generator's losses. ``tokens`` has ``id, logit, surprise`` for at most ``vocab_size`` ids,
+    which travel to the tasks; other ids are left out."""
+    rows = tokens.select("id", "logit", "surprise").orderBy("id").limit(vocab_size + 1).collect()
+    if len(rows) > vocab_size:
+        raise ValueError(f"more than {vocab_size} tokens have a logit")
+    ids = np.array([r["id"] for r in rows], np.int64)
+    logit, surprise = (np.array([r[c] for r in rows], np.float64) for c in ("logit", "surprise"))
+
+    def sums(batch: pa.RecordBatch, name: str, label: str, loss) -> tuple[pa.Array, pa.Array]:
+        lists = batch.column(label)
+        rows = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        x, y = (pc.fill_null(batch.column(c).flatten(), IGNORE).to_numpy(zero_copy_only=False) for c in (name, label))
+        at = np.flatnonzero(y != IGNORE)
+        place = np.minimum(np.searchsorted(ids, x[at]), max(len(ids) - 1, 0))
+        known = ids[place] == x[at] if len(ids) else np.zeros(len(at), bool)
+        at, place = at[known], place[known]
+        n = np.bincount(rows[at], minlength=len(lists))
+        total = np.bincount(rows[at], loss(place, y[at]), len(lists))
+        return pa.array(total.astype(np.float64), mask=n == 0), pa.array(n.astype(np.int64), mask=n == 0)
+
+    def judged(place, label):
+        # The stable form of the binary cross entropy of a logit.
+        x = logit[place]
+        return np.maximum(x, 0.0) - x * label + np.log1p(np.exp(-np.abs(x)))
+
+    def run(batches):
+        for batch in batches:
+            s, n = sums(batch, "sampled_input_ids", "labels_at_token_level", judged)
+            gs, gn = sums(batch, "labels_generator", "labels_generator", lambda place, _: surprise[place])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), s, n, gs, gn], ["doc_id", "s", "n", "gs", "gn"])
+
+    lists = ["sampled_input_ids", "labels_at_token_level", "labels_generator"]
+    kind = corrupted.schema["doc_id"].dataType.simpleString()
+    return corrupted.select("doc_id", *lists).mapInArrow(run, f"doc_id {kind}, s double, n bigint, gs double, gn bigint")
+
+
 def evaluation_loss(batches: DataFrame, loss: str, examples: str, compat: bool = False) -> Column:
     """Aggregate over one row per batch (mean loss, number of examples).
 
