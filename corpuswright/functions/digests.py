@@ -8,6 +8,8 @@ import math
 import numpy as np
 import pyarrow as pa
 
+from .scores import TINY
+
 _TURNS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
 _SINES = [int(abs(math.sin(i + 1)) * 2**32) for i in range(64)]
 _FIRST = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
@@ -96,3 +98,8 @@ def indices(size: int, heads: list[bytes], rows: np.ndarray, numbers: np.ndarray
     """Whole numbers from 0 to ``size`` - 1."""
     uniform = draws(heads, rows, numbers) / float(2**52)
     return np.minimum(np.floor(uniform * float(size)).astype(np.int64), size - 1)
+
+
+def gumbel(draw: np.ndarray) -> np.ndarray:
+    """Standard Gumbel noise of draws of 52 bits."""
+    return -np.log(-np.log(np.clip(draw / float(2**52), TINY, 1.0 - TINY)))

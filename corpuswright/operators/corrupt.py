@@ -243,6 +243,79 @@ def sample_by_position(
     return joined.withColumn("sampled_input_ids", drawn).drop("_found")
 
 
+def sample_by_token(
+    masked: DataFrame, key: str, offers: DataFrame, temperature: float = 1.0, cfg: CorruptionConfig = CorruptionConfig(),
+    max_offers: int = 16 * VOCAB_SIZE,
+) -> DataFrame:
+    """:func:`sample_by_position` where the logits of a position are those of the token before
+    it: ``offers`` has ``before, id, logit``, some rows for each entry of the vocabulary. More
+    than ``max_offers`` rows are refused, so they travel to the tasks and nothing is joined.
+    The same draws, for whole Arrow batches. The first position has no token before it.
+    """
+    if not temperature > 0:
+        raise ValueError("temperature must be positive")
+    if cfg.algorithm != "md5":
+        raise ValueError("only md5 is drawn for whole batches")
+    given = offers.select(*[F.col(c).cast(t).alias(c) for c, t in (("before", "int"), ("id", "int"), ("logit", "double"))])
+    given = given.where("before is not null and id is not null and logit is not null and not isnan(logit)")
+    held = given.orderBy("before", "id").limit(max_offers + 1).toArrow()
+    if held.num_rows > max_offers:
+        raise ValueError(f"more than {max_offers} offers")
+    ids, logits = held["id"].to_numpy(), held["logit"].to_numpy() / float(temperature)
+    tokens, starts, counts = np.unique(held["before"].to_numpy(), return_index=True, return_counts=True)
+
+    @F.arrow_udf("array<int>")
+    def drawn(lists: pa.Array, replaced: pa.Array, keys: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        offsets = np.append(0, np.cumsum(sizes))
+        values = lists.flatten()
+        x = pc.fill_null(values, -1).to_numpy(zero_copy_only=False).astype(np.int32)
+        out = x.copy()
+        at = np.flatnonzero(pc.fill_null(replaced.flatten(), False).to_numpy(zero_copy_only=False))
+        rows = np.searchsorted(offsets, at, "right") - 1
+        inner = at > offsets[rows]
+        at, rows = at[inner], rows[inner]
+        token = np.searchsorted(tokens, x[at - 1])
+        offered = np.append(tokens, -1)[token] == x[at - 1]
+        at, rows, token = at[offered], rows[offered], token[offered]
+        if len(at):
+            n = counts[token]
+            first = np.cumsum(n) - n
+            which = np.repeat(np.arange(len(at)), n)
+            entry = np.arange(len(which)) + np.repeat(starts[token] - first, n)
+            heads = digests.prefixes(cfg.seed, f"sample:{cfg.epoch}", keys)
+            places = [heads[r] + b"%d:" % i for r, i in zip(rows.tolist(), (at - offsets[rows]).tolist())]
+            score = logits[entry] + digests.gumbel(digests.draws(places, which, ids[entry]))
+            best = np.flatnonzero(score == np.maximum.reduceat(score, first)[which])
+            # Ids ascend inside of a token's offers, so the first of equals is the lowest.
+            out[at] = ids[entry[best[np.unique(which[best], return_index=True)[1]]]]
+        ends = pa.array(offsets.astype(np.int32), mask=np.append(lists.is_null().to_numpy(zero_copy_only=False), False))
+        return pa.ListArray.from_arrays(ends, pa.array(out, mask=(out == -1) & values.is_null().to_numpy(zero_copy_only=False)))
+
+    return masked.withColumn("sampled_input_ids", drawn("input_ids", "replaced", F.col(key).cast("string")))
+
+
+def pair_counts(df: DataFrame, ids: str = "input_ids", protected=PROTECTED_IDS) -> DataFrame:
+    """``before, id, n``: how often an id that is not protected follows another, counted in
+    Arrow batches before anything becomes a row."""
+
+    def run(batches):
+        for batch in batches:
+            lists = batch.column(0)
+            sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            x = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            inner = np.ones(len(x) + 1, bool)
+            inner[np.append(0, np.cumsum(sizes))] = False
+            at = np.flatnonzero(inner[: len(x)])
+            at = at[~np.isin(x[at], protected)]
+            codes, n = np.unique((x[at - 1] << 32) | x[at], return_counts=True)
+            columns = [pa.array((codes >> 32).astype(np.int32)), pa.array((codes & 0xFFFFFFFF).astype(np.int32)), pa.array(n.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["before", "id", "n"])
+
+    counted = df.select(ids).mapInArrow(run, "before int, id int, n bigint")
+    return counted.groupBy("before", "id").agg(F.sum("n").alias("n"))
+
+
 def replacement_labels(df: DataFrame, protected=PROTECTED_IDS) -> DataFrame:
     """Add ``labels_at_token_level``: 1 where a replaced token really differs,
     0 elsewhere, the ignore value at protected ids."""
